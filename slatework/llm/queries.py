@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op6_packing
 from .sharding import op4_sharding
 from .simhash import op10_simhash
+from .tokencount import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }
 
