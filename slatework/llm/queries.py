@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .huffman import op5_huffman
 from .packing import op6_packing
 from .sharding import op4_sharding
 from .simhash import op10_simhash
 from .tokencount import op2_token_counts
+from .wordbpe import op3_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op5_huffman": op5_huffman,
     "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }

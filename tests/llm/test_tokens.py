@@ -78,3 +78,53 @@ def test_sum_of_squares_against_brute_force():
             levels[level] -= 1
         if level + size < 50:
             levels[level + size] = levels.get(level + size, 0) + 1
+
+
+def test_word_bpe_matches_the_library(spark):
+    from slatework.llm.wordbpe import encode_decode
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    more = ["".join(rng.choice(list(letters), 3000)) for letters in ("ab", "the", "ing", "aeiourstlnmdé", "!?.#")]
+    given = rows() + [(1000 + i, t, 0, 0) for i, t in enumerate(more)] + [(None, "no id", 0, 0)]
+    want = sorted((str(i), np.array((e := library.encode(t or "", add_special_tokens=False)).ids, dtype="<u4").tobytes(), library.decode(e.ids, skip_special_tokens=False)) for i, t, _, _ in given)
+    got = sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in encode_decode(spark.createDataFrame(given, SCHEMA)).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a == b, (a[0], a[2][:80], b[2][:80])
+    assert encode_decode(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_huffman_round_trip(spark, tmp_path):
+    from slatework.llm.huffman import encode_ids, read_ids, write_ids
+
+    tokens = encode_ids(spark.createDataFrame(rows()[: len(TEXTS)], SCHEMA).repartition(3))
+    write_ids(tokens, f"file://{tmp_path}/ids")
+    got = sorted(tuple(r) for r in read_ids(spark, f"file://{tmp_path}/ids").collect())
+    before = 0
+    for (doc, start, raw), text in zip(got, TEXTS, strict=True):
+        want = np.array(_gpt_ids(text), dtype="<u4")
+        assert start == before and bytes(raw) == want.tobytes(), doc
+        before += len(want)
+    write_ids(encode_ids(spark.createDataFrame([], SCHEMA)), f"file://{tmp_path}/none")
+    assert read_ids(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_code_lengths_are_optimal_and_limited():
+    import heapq
+
+    from slatework.llm.huffman import code_lengths
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        counts = rng.integers(0, 1000, 40) ** 2
+        heap = [int(c) for c in counts if c]
+        heapq.heapify(heap)
+        best = 0
+        while len(heap) > 1:
+            heapq.heappush(heap, (pair := heapq.heappop(heap) + heapq.heappop(heap)))
+            best += pair
+        free = code_lengths(counts, 30).astype(int)
+        assert (free * counts).sum() == best
+        short = code_lengths(counts, 6).astype(int)
+        assert short.max() <= 6 and sum(2.0 ** -x for x in short if x) <= 1
