@@ -5,8 +5,14 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +55,65 @@ def unpack(blob: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let batches of whole texts between Spark and Python hold ``limit`` bytes at most, if the session allows more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(key, f"{limit}b")
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit integers as differences, byte plane by byte plane; high planes of zeros vanish."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    planes = steps.view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[int, pa.Table]]:
+    """A task's rows in tables of about ``limit`` bytes of text, with numbers that the same input gives again."""
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        begin = 0
+        # chunks end after a row, wherever batches end: those depend on the columns that are read
+        for row, n in enumerate(pa.compute.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_pylist()):
+            size += n
+            if size >= limit:
+                held.append(batch.slice(begin, row + 1 - begin))
+                yield part << 32 | number, pa.Table.from_batches(held)
+                number, held, size, begin = number + 1, [], 0, row + 1
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield part << 32 | number, pa.Table.from_batches(held)
+
+
+def signature(texts: list[bytes | None]) -> int:
+    """Tells two chunks of texts apart."""
+    digest = xxhash.xxh64()
+    for t in texts:
+        digest.update(t or b"")
+        digest.update(b"\xff")
+    return digest.intdigest()
+
+
+def bundle(table: pa.Table) -> bytes:
+    """A table of whole rows as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def unbundle(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

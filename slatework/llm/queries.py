@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .anisotropic import op8_anisotropic
 from .huffman import op5_huffman
+from .normbuckets import op9_norm_buckets
 from .packing import op6_packing
 from .sharding import op4_sharding
 from .simhash import op10_simhash
+from .substrings import op7_substrings
 from .tokencount import op2_token_counts
 from .wordbpe import op3_bpe
 
@@ -19,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_huffman": op5_huffman,
     "op6_packing": op6_packing,
+    "op7_substrings": op7_substrings,
+    "op8_anisotropic": op8_anisotropic,
+    "op9_norm_buckets": op9_norm_buckets,
     "op10_simhash": op10_simhash,
 }
 

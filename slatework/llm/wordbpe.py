@@ -21,7 +21,7 @@ LONG, LEAF = 512, 256
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 300_000
 #: The characters with the Unicode property White_Space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_SPACE = re.compile(f"[^{SPACES}]+")
 #: str.split() also cuts at these, which aren't White_Space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
