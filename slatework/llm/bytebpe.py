@@ -12,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Distinct units whose ids a worker keeps; beyond that it starts anew.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 #: A space between two characters that aren't white space. The pre-tokenizer always starts a token there, so
 #: what lies between two such places can be encoded by itself.
 CUT = re.compile(r"(?<=\S) (?=\S)")

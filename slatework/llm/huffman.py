@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe, default_files
-from .common import discard, materialize, pack, shared_dir, shuffle_partitions, unpack
+from .common import bounded_batches, discard, materialize, pack, shared_dir, shuffle_partitions, unpack
 
 #: Tokens from one checkpoint to the next, and payload bytes at which a block ends.
 CHECKPOINT, BLOCK_BYTES = 512, 1 << 20
@@ -114,6 +114,7 @@ class Codes:
 def encode_ids(docs: DataFrame, end_id: int = 0, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` of every row with ``end_id`` appended, as unsigned 16-bit integers (vocabularies below 65,536)."""
     files = files or default_files()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(*files)
@@ -154,6 +155,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     come first, equal ones in any order. An empty table gives files without blocks.
     """
     spark = tokens.sparkSession
+    bounded_batches(spark)
     lengths = code_lengths(global_counts(tokens))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id bigint, bits int").coalesce(1).write.parquet(f"{path}/codes")
