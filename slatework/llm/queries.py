@@ -10,6 +10,7 @@ from .anisotropic import op8_anisotropic
 from .huffman import op5_huffman
 from .normbuckets import op9_norm_buckets
 from .packing import op6_packing
+from .quality import op1_quality
 from .sharding import op4_sharding
 from .simhash import op10_simhash
 from .substrings import op7_substrings
@@ -17,6 +18,7 @@ from .tokencount import op2_token_counts
 from .wordbpe import op3_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
