@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Distinct units whose ids a worker keeps; beyond that it starts anew.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 #: A space between two characters that aren't white space. The pre-tokenizer always starts a token there, so
 #: what lies between two such places can be encoded by itself.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -34,15 +35,21 @@ class ByteBpe:
     """``ids(text)`` gives what the tokenizers library gives for ``json_file`` without special tokens added."""
 
     def __init__(self, json_file: str, ranks_file: str):
-        self.library = Tokenizer.from_file(json_file)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.json_file = json_file
+        with open(json_file, encoding="utf-8") as file:
+            self.specials = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         plain = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.units = _Units(plain.encode_ordinary)
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        found = Tokenizer.from_file(self.json_file)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
