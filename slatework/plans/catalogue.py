@@ -2,5 +2,66 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import functions as F
+
+from ..operators import objects as ob
+from ..operators import text as tx
+from ..sources.carriers import LINES_SQL, OBJECTS_SQL, conversation_pages, lines, objects, table
+
+WORDS = {"english": ["the", "and", "thing"], "french": ["le ", "de ", "que"], "german": ["der", "ein", "ung"]}
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+QUERIES = {
+    "text_exclusion": lambda s, d: tx.exclude(lines(s, d), 0.1, 12),
+    "text_numbering": lambda s, d: tx.number(tx.exclude(lines(s, d), 0.1, 12)),
+    "text_tidy_adjacent": lambda s, d: tx.tidy(lines(s, d)),
+    "text_direct_pages": lambda s, d: tx.direct_pages(_docs(s, d)),
+    "text_subject_keywords": lambda s, d: tx.subject(_docs(s, d), WORDS, "other"),
+    "text_batches": lambda s, d: tx.batches(_docs(s, d).select(F.col("source").alias("deck"), F.col("doc_id").alias("page_key"), F.length("text").cast("bigint").alias("size"))),
+    "page_titles": lambda s, d: tx.titles(_docs(s, d)),
+    "page_outer_merge": lambda s, d: tx.merge_sources(conversation_pages(s, d), "user", "assistant"),
+    "page_missing": lambda s, d: _docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left_anti"),
+    "obj_noise_filter": lambda s, d: objects(s, d).select("deck_id", "page", "z_index", ob.outcome().alias("outcome")),
+    "obj_visibility": lambda s, d: ob.body(objects(s, d)).select("deck_id", "page", "z_index", "kind"),
+    "obj_block_seeds": lambda s, d: ob.seeds(objects(s, d)).select("deck_id", "page", "z_index", "block_id"),
+    "obj_block_types": lambda s, d: ob.blocks(objects(s, d)),
+    "obj_summary": lambda s, d: ob.summary(objects(s, d)),
+    "obj_adjacency": lambda s, d: ob.adjacency(objects(s, d)),
+    "obj_components": lambda s, d: ob.page_components(objects(s, d), ob.adjacency(objects(s, d))),
+    "obj_knn2": lambda s, d: ob.nearest_two(objects(s, d)),
+    "obj_heuristic_edges": lambda s, d: ob.neighbour_edges(objects(s, d)),
+    "obj_tree_test": lambda s, d: ob.tree_pages(objects(s, d), ob.neighbour_edges(objects(s, d))),
+    "obj_grid_detect": lambda s, d: ob.grids(objects(s, d)),
+    "obj_gap_cuts": lambda s, d: ob.gap_cuts(objects(s, d)),
+}
+
+_L = f"with l as ({LINES_SQL}), r as (select * from l where text <> '')"
+_O = f"with o as ({OBJECTS_SQL})"
+_EXCLUDED = _L + """, p as (select deck, text, count(distinct page_key) on_pages from r group by all), n as (select deck, count(distinct page_key) pages from r group by all),
+x as (select r.deck, page_key, seq, r.text, ph, case when ph in ('ftr','sldNum','hdr','dt') then 'placeholder' when pages >= 2 and on_pages >= 0.1 * pages then 'global'
+ when length(r.text) < 12 then 'short' end reason from r join p on r.deck = p.deck and r.text = p.text join n on r.deck = n.deck)"""
+_PAIRS = _O + """, p as (select o.*, b.z_index bz, b.kind bk, b.text bt, b.x bx, b.y byy, b.w bw, b.h bh from o join o b using (deck_id, page))"""
+
+ORACLE_SQL = {
+    "text_exclusion": _EXCLUDED + " select deck, page_key, seq, text, ph, reason from x",
+    "text_numbering": _EXCLUDED + " select deck, page_key, seq, printf('TXT%03d-%02d', page_key, row_number() over (partition by deck, page_key order by seq)) id, text from x where reason is null",
+    "text_tidy_adjacent": _L + " select deck, page_key, seq, text from (select *, lag(text) over (partition by deck, page_key order by seq) b from r) where b is null or b <> text",
+    "text_direct_pages": "select doc_id, cast(length(replace(replace(text, ' ', ''), chr(10), '')) as bigint) n_chars_solid from documents where length(replace(replace(text, ' ', ''), chr(10), '')) > 500",
+    "page_missing": "select doc_id from documents where doc_id not in (select doc_id from labels)",
+    "obj_noise_filter": _O + """ select deck_id, page, z_index, case when kind = 'formula' then 'drop formula' when trim(text) <> '' then 'keep text'
+ when kind in ('raster','vector') and w >= 864 and h > 0 and h <= 80 then 'drop banner' when kind in ('raster','vector','visio') then 'keep file' when kind = 'table' then 'keep table'
+ when w * h < 1600 or least(w, h) < 48 or greatest(w, h) > 10 * least(w, h) then 'drop small' else 'keep rest' end outcome from o""",
+    "obj_adjacency": _PAIRS + """, g as (select *, greatest(x, bx) - least(x + w, bx + bw) gx, greatest(y, byy) - least(y + h, byy + bh) gy,
+ case when trim(text) <> '' and trim(bt) <> '' then 100 else 40 end t from p where z_index < bz)
+ select deck_id, page, z_index a, bz b from g where (gx <= t and gy <= 40) or (gy <= t and gx <= 40)""",
+    "obj_heuristic_edges": _PAIRS + """, q as (select *, bx + bw / 2 - x - w / 2 dx, byy + bh / 2 - y - h / 2 dy from p where z_index <> bz),
+ k as (select *, dx * dx + dy * dy d2, row_number() over (partition by deck_id, page, z_index order by dx * dx + dy * dy, bz) rn from q where dx > -10 and dy > -10 and (dx > 0 or dy > 0))
+ select deck_id, page, z_index a, bz b from k where rn = 1 and d2 < 160000""",
+    "obj_gap_cuts": _O + """, e as (select deck_id, page, greatest(x, 0) a, least(x + w, 960) b, z_index from o),
+ m as (select *, max(b) over (partition by deck_id, page order by a, b, z_index rows between unbounded preceding and 1 preceding) reach from e)
+ select deck_id, page, (reach + a) / 2 cut from m where a - reach > 40""",
+}
