@@ -6,17 +6,19 @@ import base64
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
 
 #: Distinct units whose ids a worker keeps; beyond that it starts anew.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 60_000
 #: A space between two characters that aren't white space. The pre-tokenizer always starts a token there, so
 #: what lies between two such places can be encoded by itself.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters that are split into units at a time.
+WINDOW = 1 << 16
 WIDE_SPACE = re.compile(r"\s\s")
 
 
@@ -35,29 +37,42 @@ class ByteBpe:
     """``ids(text)`` gives what the tokenizers library gives for ``json_file`` without special tokens added."""
 
     def __init__(self, json_file: str, ranks_file: str):
-        self.json_file = json_file
         with open(json_file, encoding="utf-8") as file:
-            self.specials = [t["content"] for t in json.load(file)["added_tokens"]]
+            added = json.load(file)["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.special_ids = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        longest_first = sorted(self.special_ids, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         plain = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.units = _Units(plain.encode_ordinary)
 
-    @functools.cached_property
-    def library(self) -> Tokenizer:
-        found = Tokenizer.from_file(self.json_file)
-        found.no_truncation()
-        found.no_padding()
-        return found
-
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        """Special strings are cut out first, as the library does; what lies between them is encoded by itself."""
+        found = []
+        for part in self.special.split(text) if self.special else [text]:
+            if part in self.special_ids:
+                found.append(self.special_ids[part])
+            else:
+                found.extend(map(self._plain, windows(part)))
+        return np.frombuffer(b"".join(found), dtype="<u4")
+
+    def _plain(self, text: str) -> bytes:
         if len(self.units) > CACHE_UNITS:
             self.units.clear()
         parts = CUT.split(text) if WIDE_SPACE.search(text) else text.split(" ")
-        units = [parts[0], *[" " + p for p in parts[1:]]]
-        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), dtype="<u4")
+        return b"".join(map(self.units.__getitem__, [parts[0], *[" " + p for p in parts[1:]]]))
+
+
+def windows(text: str, size: int = WINDOW) -> Iterator[str]:
+    """``text`` in stretches of ``size`` characters or a little more, cut only where a token starts anyway."""
+    at = 0
+    while len(text) - at > size and (cut := CUT.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 @functools.cache

@@ -17,6 +17,8 @@ from .common import bounded_batches, discard, materialize, pack, shared_dir, shu
 #: Tokens from one checkpoint to the next, and payload bytes at which a block ends.
 CHECKPOINT, BLOCK_BYTES = 512, 1 << 20
 MAX_BITS = 16
+#: Tokens that are coded at a time, and bytes of ids in a batch that a task reads or gives.
+STRETCH, BATCH_BYTES = 1 << 16, 2 << 20
 
 TOKENS = "doc_id bigint, ids binary"
 CODED = "doc_id bigint, part int, n bigint, bits binary, checkpoints binary"
@@ -68,27 +70,37 @@ class Codes:
         self.size[: int(steps.sum())] = np.repeat(sized, steps)
 
     def encode(self, documents: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
-        """Each document's bits, padded to whole bytes, and the bit offset of every CHECKPOINT-th token."""
+        """Each document's bits, padded to whole bytes, and the bit offset of every CHECKPOINT-th token.
+
+        Works on STRETCH tokens at a time, so that what it needs besides ids and bits doesn't grow with them.
+        """
         counts = np.array([len(d) for d in documents])
-        ids = np.concatenate(documents).astype(np.int64)
-        size = self.lengths[ids]
-        total = np.concatenate([[0], np.cumsum(size)])
-        first = np.cumsum(counts) - counts
-        doc_bytes = (total[first + counts] - total[first] + 7) // 8
+        ids = np.concatenate(documents)
+        ends = np.cumsum(counts)
+        n_bits = np.zeros(len(documents), dtype=np.int64)
+        for at in range(0, len(ids), STRETCH):
+            doc = np.searchsorted(ends, np.arange(at, min(at + STRETCH, len(ids))), side="right")
+            n_bits += np.bincount(doc, weights=self.lengths[ids[at : at + STRETCH]], minlength=len(documents)).astype(np.int64)
+        doc_bytes = (n_bits + 7) // 8
         doc_start = np.cumsum(doc_bytes) - doc_bytes
-        at = total[:-1] + np.repeat(8 * doc_start - total[first], counts)
-        word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
-        value = self.codes[ids] << shift
-        runs = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-        out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
-        out[word[runs]] += np.add.reduceat(value >> np.uint64(32), runs)
-        out[word[runs] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), runs)
+        padding = 8 * doc_start - (np.cumsum(n_bits) - n_bits)
+        out = np.zeros(int(doc_bytes.sum()) // 4 + 2, dtype=np.uint64)
+        marks, before = [], 0
+        for lo in range(0, len(ids), STRETCH):
+            place = np.arange(lo, min(lo + STRETCH, len(ids)))
+            doc = np.searchsorted(ends, place, side="right")
+            size = self.lengths[ids[lo : lo + STRETCH]]
+            at = before + np.cumsum(size) - size + padding[doc]
+            before += int(size.sum())
+            marks.append((at - 8 * doc_start[doc])[(place - ends[doc] + counts[doc]) % CHECKPOINT == 0])
+            word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
+            value = self.codes[ids[lo : lo + STRETCH]] << shift
+            runs = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            out[word[runs]] += np.add.reduceat(value >> np.uint64(32), runs)
+            out[word[runs] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), runs)
         raw = out.astype(">u4").tobytes()
-        found = []
-        for i, n in enumerate(counts):
-            own = at[first[i] : first[i] + n : CHECKPOINT] - 8 * doc_start[i]
-            found.append((raw[doc_start[i] : doc_start[i] + doc_bytes[i]], own))
-        return found
+        own = np.split(np.concatenate(marks) if marks else np.zeros(0, dtype=np.int64), np.cumsum(-(-counts // CHECKPOINT))[:-1])
+        return [(raw[a : a + n], m) for a, n, m in zip(doc_start.tolist(), doc_bytes.tolist(), own)]
 
     def decode(self, payload: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of all stretches, one after the other; ``starts`` are bit offsets and ``sizes`` counts of tokens.
@@ -114,7 +126,7 @@ class Codes:
 def encode_ids(docs: DataFrame, end_id: int = 0, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` of every row with ``end_id`` appended, as unsigned 16-bit integers (vocabularies below 65,536)."""
     files = files or default_files()
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(*files)
@@ -155,7 +167,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     come first, equal ones in any order. An empty table gives files without blocks.
     """
     spark = tokens.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     lengths = code_lengths(global_counts(tokens))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id bigint, bits int").coalesce(1).write.parquet(f"{path}/codes")
