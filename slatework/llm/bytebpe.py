@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with the ids of each distinct unit computed once per worker."""
+"""Byte-level BPE ids of whole texts, a stretch at a time."""
 
 from __future__ import annotations
 
@@ -12,25 +12,11 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 
-#: Distinct units whose ids a worker keeps; beyond that it starts anew.
-CACHE_UNITS = 60_000
 #: A space between two characters that aren't white space. The pre-tokenizer always starts a token there, so
 #: what lies between two such places can be encoded by itself.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters that are split into units at a time.
+#: Characters that are encoded at a time.
 WINDOW = 1 << 16
-WIDE_SPACE = re.compile(r"\s\s")
-
-
-class _Units(dict):
-    """Ids of a unit as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode, pack_type: str = "<u4"):
-        self.encode, self.pack_type = encode, pack_type
-
-    def __missing__(self, unit: str) -> bytes:
-        self[unit] = found = np.array(self.encode(unit), dtype=self.pack_type).tobytes()
-        return found
 
 
 class ByteBpe:
@@ -46,8 +32,7 @@ class ByteBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        plain = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.units = _Units(plain.encode_ordinary)
+        self.plain = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         """Special strings are cut out first, as the library does; what lies between them is encoded by itself."""
@@ -60,10 +45,7 @@ class ByteBpe:
         return np.frombuffer(b"".join(found), dtype="<u4")
 
     def _plain(self, text: str) -> bytes:
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        parts = CUT.split(text) if WIDE_SPACE.search(text) else text.split(" ")
-        return b"".join(map(self.units.__getitem__, [parts[0], *[" " + p for p in parts[1:]]]))
+        return np.array(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 def windows(text: str, size: int = WINDOW) -> Iterator[str]:

@@ -5,6 +5,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
+from slatework.llm.bytebpe import byte_bpe, default_files
 from slatework.llm.packing import SumOfSquares, pack_documents, pieces
 from slatework.llm.tokencount import token_counts
 
@@ -128,3 +129,11 @@ def test_code_lengths_are_optimal_and_limited():
         assert (free * counts).sum() == best
         short = code_lengths(counts, 6).astype(int)
         assert short.max() <= 6 and sum(2.0 ** -x for x in short if x) <= 1
+
+
+def test_byte_ids_match_the_library_around_specials_and_cuts():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end} b  {end}{end}c {end[:-1]}", f"  x {end}", "y " * 70_000 + "  \n b", "q" * 70_000, "d\u00e9  \x85 y " * 9_000]
+    for text in texts:
+        assert byte_bpe(*default_files()).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
