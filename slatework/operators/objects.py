@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,13 +159,36 @@ def _roots(nodes: list, edges: list) -> dict:
 
 
 def page_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(deck_id, page, z_index, root)``: connected objects of a page share the smallest number. A page fits a task."""
+    """``(deck_id, page, z_index, root)``: connected objects of a page share the smallest number.
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _roots(left["z_index"].tolist(), list(zip(right["a"], right["b"])))
-        return left[[*PAGE, "z_index"]].assign(root=[found[z] for z in left["z_index"]])
+    Objects and edges come sorted by page, as a stream of which the task holds one page at a time.
+    """
 
-    return nodes.select(*PAGE, "z_index").groupBy(*PAGE).cogroup(edges.groupBy(*PAGE)).applyInPandas(run, "deck_id bigint, page bigint, z_index bigint, root bigint")
+    def page(held: list[tuple]) -> list[tuple]:
+        found = _roots([a for _, _, a, b in held if b is None], [(a, b) for _, _, a, b in held if b is not None])
+        return [(held[0][0], held[0][1], z, root) for z, root in found.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=[*PAGE, "z_index", "root"])
+
+        for frame in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in frame.columns)):
+                if held and row[:2] != held[0][:2]:
+                    out.extend(page(held))
+                    held = []
+                held.append(row)
+            if out:
+                yield batch(out)
+        if held:
+            yield batch(page(held))
+
+    own = nodes.select(*PAGE, F.col("z_index").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    rows = own.unionByName(edges.select(*PAGE, "a", "b")).repartition(*PAGE).sortWithinPartitions(*PAGE, F.asc_nulls_first("b"))
+    return rows.mapInArrow(run, "deck_id bigint, page bigint, z_index bigint, root bigint")
 
 
 def nearest_two(objects: DataFrame) -> DataFrame:
