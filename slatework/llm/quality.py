@@ -259,8 +259,10 @@ def _limits(checked: DataFrame, quantile: float, margin: float) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, columns as they are."""
-    return classify(docs, labels).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the classifier keeps, columns as they are, whatever further ones are called."""
+    inner = {n: n if n in ("doc_id", "text", "lang") else f"extra{i}" for i, n in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{n}`").alias(own) for n, own in inner.items()])
+    return classify(plain, labels).where("_keep").select(*[F.col(own).alias(n) for n, own in inner.items()])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
