@@ -106,19 +106,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: in
 #: The near-copy stage: 64-bit fingerprints of a document, blocks of each and how many of them have to agree.
 PRINTS, BLOCKS, AGREE = 4, 5, 2
 #: Bits of all PRINTS together in which copies of a five-word similarity of 0.8 differ: 24 on average, 5 about it.
-FAR_BITS = 32
+FAR_BITS = 44
 #: Blocks of up to so many fingerprints are joined with themselves.
-SMALL_BLOCK = 6
+SMALL_BLOCK = 32
+#: Documents are near copies if they share this much of their distinct shingles of so many words.
+SIMILARITY, SHINGLE = 0.8, 5
 
 
-def wide_fingerprint(text: bytes | None, words: int = 2) -> list[int]:
-    """PRINTS signed 64-bit SimHashes of the text's distinct word shingles, each from hashes of its own; zeros without words."""
-    parts = (text or b"").lower().split()
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """Sorted XXH64 values of the distinct word shingles; the whole sequence if it has fewer words, none without words."""
     if not parts:
-        return [0] * PRINTS
-    digest = xxhash.xxh64_intdigest
+        return np.zeros(0, dtype=np.uint64)
     shingles = zip(*(parts[i:] for i in range(words))) if len(parts) >= words else [parts]
-    hashes = np.unique(np.fromiter((digest(s, 42) for s in map(b" ".join, shingles)), dtype=np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, shingles)), dtype=np.uint64))
+
+
+def wide_fingerprint(parts: list[bytes], words: int = 2) -> list[int]:
+    """PRINTS signed 64-bit SimHashes of the distinct word shingles, each from hashes of its own; zeros without words."""
+    hashes = shingle_hashes(parts, words)
     found = []
     for i in range(PRINTS):
         ones = np.zeros(64, dtype=np.int64)
@@ -132,56 +137,123 @@ def wide_fingerprint(text: bytes | None, words: int = 2) -> list[int]:
     return found
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, keep)`` of every row: whether it stays when one document of each group of near copies does.
+def similar(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``links(u, v)`` whose texts, in ``texts(rep, text)``, have a Jaccard similarity of SIMILARITY or more."""
 
-    Near copies have a similarity of 0.8 or more in five-word shingles. Of two-word shingles, which a changed word
-    spoils fewer of, they share some nine in ten; PRINTS fingerprints of those are cut into BLOCKS blocks each, and
-    two documents meet where AGREE blocks of one print agree (89 of 100 pairs at a similarity of 0.8 do, 99 at 0.9),
-    then their Hamming distance over all prints is verified. Documents of equal prints are one class. In a large
-    block all are compared with one of them, another in each of its many blocks, so that a group of thousands
-    costs in proportion to its size; components join what the links leave apart. The smallest id of a component
-    stays. Texts without words are only copies of each other.
-    """
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes((t or b"").lower().split(), SHINGLE).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["rep", "hashes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = np.array([wide_fingerprint(t) for t in texts], dtype=np.int64).reshape(-1, PRINTS)
-            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)]]
-            yield pa.record_batch(columns, names=["id", *names])
+            close = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, two = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                close.append(shared >= SIMILARITY * (len(one) + len(two) - shared))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
 
-    bounded_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(PRINTS)]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    prints = materialize(rows.mapInArrow(run, "id bigint, " + ", ".join(f"{n} bigint" for n in names)), "copies-prints")
-    reps = prints.groupBy(*names).agg(F.coalesce(F.min("id"), F.lit(-(1 << 63))).alias("rep"))
-    reps = materialize(reps, "copies-classes")
+    ends = links.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    own = materialize(texts.join(ends, "rep", "left_semi").mapInArrow(sets, "rep bigint, hashes binary"), "copies-shingles")
+    near = links.join(own.select(F.col("rep").alias("u"), F.col("hashes").alias("a")), "u").join(own.select(F.col("rep").alias("v"), F.col("hashes").alias("b")), "v")
+    return near.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint")
+
+
+def block_keys(reps: DataFrame, names: list[str]) -> DataFrame:
+    """``(rep, k, key)`` for every choice of AGREE blocks of each fingerprint; texts without words have none."""
     cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
     blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
     masks = [sum(c) for c in combinations(blocks, AGREE)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(len(masks) * p + i).alias("k"), F.col(n).bitwiseAND(F.lit(m)).alias("key")) for p, n in enumerate(names) for i, m in enumerate(masks)])
-    worded = reps.where(" or ".join(f"{n} <> 0" for n in names))
-    keyed = worded.select("rep", F.inline(keys))
-    turn = F.xxhash64("rep", "k", "key")
-    sizes = materialize(keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min_by("rep", turn).alias("one")).where("n > 1"), "copies-blocks")
-    small = keyed.join(sizes.where(F.col("n") <= SMALL_BLOCK).select("k", "key"), ["k", "key"])
-    pairs = small.join(small.withColumnRenamed("rep", "v"), ["k", "key"]).where("rep < v").select(F.col("rep").alias("u"), "v")
-    stars = keyed.join(sizes.where(F.col("n") > SMALL_BLOCK), ["k", "key"]).where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v"))
-    links = pairs.unionByName(stars).distinct()
-    for end in ("u", "v"):
-        links = links.join(reps.select(F.col("rep").alias(end), *[F.col(n).alias(f"{end}{n}") for n in names]), end)
-    far = sum((F.bit_count(F.col(f"u{n}").bitwiseXOR(F.col(f"v{n}"))) for n in names), F.lit(0))
-    roots = components(links.where(far <= FAR_BITS).select("u", "v"))
-    classes = materialize(reps.join(roots, reps.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("root")), "copies-components")
-    return prints.join(classes, names).select("id", (F.coalesce("id", F.lit(-(1 << 63))) == F.col("root")).alias("keep"))
+    return reps.where(" or ".join(f"{n} <> 0" for n in names)).select("rep", F.inline(keys))
+
+
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, keep)`` of every row: whether it stays when one document of each group of near copies does.
+
+    Near copies have a Jaccard similarity of SIMILARITY or more in distinct five-word shingles. Candidates come
+    from two-word shingles, which a changed word spoils fewer of (near copies share some nine in ten): PRINTS
+    fingerprints of those are cut into BLOCKS blocks each, two documents meet where AGREE blocks of one print
+    agree (89 of 100 pairs at a similarity of 0.8 do, 99 at 0.9), their Hamming distance over all prints is
+    verified, and so is their similarity, from whole texts. Texts of equal words are one class before that.
+
+    A block of up to SMALL_BLOCK documents is joined with itself. In a larger one all are compared with one of
+    them; those that did not end in its component go on to a round with twice as many such centres, until what is
+    left is small. A group of thousands so costs in proportion to its size. Two documents whose similarity is seen
+    in one large block only, where one has joined a centre and the other has not, can stay apart. The smallest id
+    of a component stays. Texts without words are only copies of each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or b"").lower().split() for t in batch.column(1).to_pylist()]
+            found = np.array([wide_fingerprint(w) for w in words], dtype=np.int64).reshape(-1, PRINTS)
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
+            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(same)]
+            yield pa.record_batch(columns, names=["id", *names, "same"])
+
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names = [f"f{i}" for i in range(PRINTS)]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    fields = ", ".join(f"{n} bigint" for n in ["id", *names, "same"])
+    prints = materialize(rows.mapInArrow(run, fields), "copies-prints")
+    reps = materialize(prints.groupBy(*names, "same").agg(F.min("id").alias("rep")), "copies-classes")
+    left, centres, found = block_keys(reps, names), 1, spark.createDataFrame([], "u bigint, v bigint")
+    roots = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
+        turn = F.xxhash64("rep", "k", "key")
+        sizes = materialize(left.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "copies-blocks")
+        shared = left.join(sizes, ["k", "key"])
+        small = shared.where(F.col("n") <= SMALL_BLOCK).drop("n")
+        large = shared.where(F.col("n") > SMALL_BLOCK).drop("n")
+        chosen = large.groupBy("k", "key", F.pmod(turn, F.lit(centres)).alias("slot")).agg(F.min_by("rep", turn).alias("one"))
+        chosen = materialize(chosen.drop("slot"), "copies-centres")
+        pairs = small.join(small.withColumnRenamed("rep", "v"), ["k", "key"]).where("rep < v").select(F.col("rep").alias("u"), "v")
+        stars = large.join(chosen, ["k", "key"]).where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v"))
+        links = pairs.unionByName(stars).distinct()
+        for end in ("u", "v"):
+            links = links.join(reps.select(F.col("rep").alias(end), *[F.col(n).alias(f"{end}{n}") for n in names]), end)
+        far = sum((F.bit_count(F.col(f"u{n}").bitwiseXOR(F.col(f"v{n}"))) for n in names), F.lit(0))
+        links = materialize(links.select("u", "v", far.alias("far")).where(F.col("far") <= FAR_BITS), "copies-links")
+        # the closest partner of each first; what that joins needs no further look
+        first = links.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
+        rest = links.select("u", "v").join(first, ["u", "v"], "left_anti")
+        for part in (first, rest):
+            part = materialize(_apart(part, roots, "u", "v"), "copies-pairs")
+            if part.isEmpty():
+                continue
+            near = materialize(similar(part, rows.withColumnRenamed("id", "rep")), "copies-near")
+            if not near.isEmpty():
+                found = found.unionByName(near)
+                roots = materialize(components(found), "copies-roots")
+        if chosen.isEmpty():
+            break
+        joined = large.join(chosen, ["k", "key"])
+        gone = joined.join(_apart(joined.select("rep", "one").distinct(), roots, "rep", "one"), ["rep", "one"], "left_anti")
+        left = materialize(large.join(gone.select("k", "key", "rep").distinct(), ["k", "key", "rep"], "left_anti"), "copies-left")
+        centres *= 2
+    classes = materialize(reps.join(roots, reps.rep == roots.node, "left").select(*names, "same", F.coalesce("root", "rep").alias("root")), "copies-components")
+    return prints.join(classes, [*names, "same"]).select("id", (F.col("id") == F.col("root")).alias("keep"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, one: str, two: str) -> DataFrame:
+    """The rows of ``pairs`` whose two ends lie in different components of ``roots(node, root)``; an end without one is its own."""
+    for end in (one, two):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    same = F.coalesce(f"_{one}", one) == F.coalesce(f"_{two}", two)
+    return pairs.where(~same).select(one, two)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: the smallest id of each group stays, once if rows repeat."""
+    """The rows of ``docs`` without near copies: the smallest id of each group stays, once if rows repeat.
+
+    A null id counts as the smallest of all.
+    """
     groups = copy_groups(docs, id_col, text_col).where("keep").groupBy("id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(groups, docs[id_col].cast("bigint").eqNullSafe(groups["id"]), "left_semi")
+    kept = docs.join(groups, F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63))) == groups["id"], "left_semi")
     if groups.where("_rows > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col])

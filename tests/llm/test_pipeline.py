@@ -113,3 +113,29 @@ def test_without_trusted_documents_all_stay(spark, corpus):
     docs = spark.createDataFrame(corpus[0][:5], DOCS)
     found = classify(docs, spark.createDataFrame([], LABELS)).collect()
     assert len(found) == 5 and all(r["_keep"] and r["_perplexity"] is None for r in found)
+
+
+def test_near_copies_hold_against_brute_force_in_groups_larger_than_a_block(spark):
+    rng = np.random.default_rng(5)
+    base, other = prose(rng, 2)
+    texts = []
+    for i in range(90):  # variants of one text, and texts that share half of it
+        words = base.split()
+        words[i % len(words)] = f"v{i}"
+        texts.append(" ".join(words))
+    for i in range(6):
+        texts.append(" ".join([*base.split()[:60], *other.split()[i : i + 60]]))
+    texts += ["", None, "two words", "Two  WORDS", "three little words"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} - {()})
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    expected = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == expected
