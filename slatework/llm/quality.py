@@ -48,6 +48,17 @@ def spread(codes: np.ndarray) -> np.ndarray:
     return codes * np.uint64(SPREAD) & np.uint64((1 << BITS) - 1)
 
 
+def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """The texts in runs of about ``limit`` bytes: their n-grams take sixteen times that and more."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= limit:
+            yield texts[begin : i + 1]
+            begin, size = i + 1, 0
+    yield texts[begin:]
+
+
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(code, n)`` of all n-grams of the texts; every task sums its own before the shuffle."""
 
@@ -57,12 +68,12 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(codes.astype(np.int64)), pa.array(sums)], names=["code", "n"])
 
-        for batch in batches:
-            found, n = np.unique(grams(batch.column(0).to_pylist())[0], return_counts=True)
+        for texts in (part for batch in batches for part in slices(batch.column(0).to_pylist())):
+            found, n = np.unique(grams(texts)[0], return_counts=True)
             merged, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate([sums, n]), minlength=len(merged)).astype(np.int64)
             codes, sums = merged, total
-            if len(codes) > 4_000_000:
+            if len(codes) > 2_000_000:
                 yield out()
                 codes, sums = codes[:0], sums[:0]
         yield out()
@@ -144,7 +155,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in chunks(batches, at, CHUNK_BYTES):
             texts = table.column(at).cast(pa.binary()).to_pylist()
-            distinct = np.unique(spread(grams(texts)[0]))
+            distinct = np.unique(np.concatenate([np.unique(spread(grams(part)[0])) for part in slices(texts)]))
             shard = (distinct * np.uint64(shards)) >> np.uint64(BITS)
             ends = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
             mark = signature(texts)
@@ -220,6 +231,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     Null and empty texts have no perplexity; they have the mean as their score and are kept. Repeated rows get equal results;
     an empty table gives an empty table; without any trusted document all are kept.
     """
+    bounded_batches(docs.sparkSession)
     trusted = labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
     if labels.count() <= BROADCAST_ROWS:
         trusted = F.broadcast(trusted)
