@@ -188,14 +188,15 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(t or b"").lower().split() for t in batch.column(1).to_pylist()]
-            found = np.array([wide_fingerprint(w) for w in words], dtype=np.int64).reshape(-1, PRINTS)
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
-            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(same)]
+            found, same = np.zeros((batch.num_rows, PRINTS), dtype=np.int64), np.zeros(batch.num_rows, dtype=np.uint64)
+            for row, text in enumerate(batch.column(1)):  # the words of one text at a time
+                words = (text.as_py() or b"").lower().split()
+                found[row], same[row] = wide_fingerprint(words), xxhash.xxh64_intdigest(b" ".join(words))
+            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(same.view(np.int64))]
             yield pa.record_batch(columns, names=["id", *names, "same"])
 
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2 << 20)
     names = [f"f{i}" for i in range(PRINTS)]
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
     fields = ", ".join(f"{n} bigint" for n in ["id", *names, "same"])
