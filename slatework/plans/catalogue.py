@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
@@ -27,7 +28,27 @@ def _log(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("deck"), F.col("event_type").alias("step"), F.col("ts").alias("at"), F.col("event_id").alias("n"), status.alias("status"), (F.col("value") < 40).alias("artifact"))
 
 
+def _targets(spark, d):
+    """Raster objects, and for each deck one that is not there."""
+    own = objects(spark, d)
+    keys = own.where("kind = 'raster'").select("deck_id", "page", "z_index")
+    return keys.unionByName(own.select("deck_id", F.lit(0).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("z_index")).distinct())
+
+
+def _bound(spark, d):
+    """Documents as pages of text, raw pages as images of every third page, turns' conversations as captioned files."""
+    texts = _docs(spark, d).select(F.col("doc_id").alias("page"), "text")
+    images = table(spark, d, "pages").select(F.floor(F.col("page_id") * 3 / 2).cast("bigint").alias("page"), F.col("page_id").alias("file"))
+    return bd.bind_pages(texts, images, table(spark, d, "conversations").select(F.col("conv_id").alias("file"), "text"))
+
+
 QUERIES = {
+    "formula_symbols": lambda s, d: lines(s, d).select("deck", "page_key", "seq", bd.is_formula(F.col("text")).alias("keep")),
+    "del_renumber": lambda s, d: bd.delete_objects(objects(s, d), _targets(s, d)),
+    "del_summary": lambda s, d: bd.delete_summary(objects(s, d), _targets(s, d)),
+    "page_binding": _bound,
+    "page_binding_summary": lambda s, d: bd.binding_summary(_bound(s, d)),
+    "rule_relations": lambda s, d: bd.rule_relations(objects(s, d), ob.seeds(objects(s, d))),
     "text_exclusion": lambda s, d: tx.exclude(lines(s, d), 0.1, 12),
     "text_numbering": lambda s, d: tx.number(tx.exclude(lines(s, d), 0.1, 12)),
     "text_tidy_adjacent": lambda s, d: tx.tidy(lines(s, d)),
@@ -103,7 +124,18 @@ _IMAGES = _O + """, im as (select *, case when kind = 'vector' and w * h < 10000
  when least(w, h) < 48 then 'drop small' when greatest(w, h) / least(w, h) > 10 then 'drop thin' when kind = 'raster' and x % 12 <= 4 then 'drop plain' else 'keep' end verdict from o where kind in ('raster','vector'))"""
 _RELEVANT = """with rel as (select doc_id, coalesce(toxic, 0) <> 1 as keep, case when toxic = 1 then 'toxic' when toxic is null then 'no verdict' else '' end reason from documents left join labels using (doc_id))"""
 
+_BOUND = """with i as (select cast(floor(page_id * 3 / 2) as bigint) page, count(*) images, count(*) filter (page_id in (select conv_id from conversations)) captioned from pages group by all),
+b as (select coalesce(d.doc_id, i.page) page, d.text is not null has_text, coalesce(images, 0) images, coalesce(captioned, 0) captioned from documents d full join i on d.doc_id = i.page)"""
+
 ORACLE_SQL = {
+    "formula_symbols": _L + f" select deck, page_key, seq, trim(text) = '' or regexp_matches(text, '{bd.formula_pattern()}') keep from l",
+    "del_renumber": _O + """ select deck_id, page, z_index, row_number() over (partition by deck_id, page order by z_index) number,
+ row_number() over (partition by deck_id order by page, z_index) deck_number from o where kind <> 'raster'""",
+    "del_summary": _O + " select deck_id, count(*) filter (kind = 'raster') deleted, count(*) filter (kind <> 'raster') kept, 1 missing from o group by all",
+    "page_binding": _BOUND + " select page, has_text, images, captioned from b",
+    "page_binding_summary": _BOUND + " select count(*) pages, count(*) filter (has_text) pages_with_text, count(*) filter (images > 0) pages_with_image, sum(images) images from b",
+    "rule_relations": _SEEDS + """, an as (select deck_id, page, arg_min(trim(text), z_index) text_anchor from o where trim(text) <> '' group by all)
+ select deck_id, page, block_id, printf('rel_%02d_%02d', page, row_number() over (partition by deck_id, page order by z_index)) relation_id, text_anchor, 'elaboration' relation_type from sd join an using (deck_id, page)""",
     "text_exclusion": _EXCLUDED + " select deck, page_key, seq, text, ph, reason from x",
     "text_numbering": _EXCLUDED + " select deck, page_key, seq, printf('TXT%03d-%02d', page_key, row_number() over (partition by deck, page_key order by seq)) id, text from x where reason is null",
     "text_tidy_adjacent": _L + " select deck, page_key, seq, text from (select *, lag(text) over (partition by deck, page_key order by seq) b from r) where b is null or b <> text",
