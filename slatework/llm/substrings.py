@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, bundle, chunks, pack, shuffle_partitions, signature, squeeze, unbundle, unpack, unsqueeze
 
 #: A chunk of documents ends at so many bytes of text; its distinct phrases are looked up once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Distinct words whose hashes a worker keeps; beyond that it starts anew.
 CACHE_WORDS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
