@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -103,14 +104,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: in
     return prints.join(materialize(classes, "simhash-components"), "fp").select("id", "fp", "component")
 
 
-#: The near-copy stage: 64-bit fingerprints of a document, blocks of each and how many of them have to agree.
-PRINTS, BLOCKS, AGREE = 4, 5, 2
-#: Bits of all PRINTS together in which copies of a five-word similarity of 0.8 differ: 24 on average, 5 about it.
-FAR_BITS = 44
-#: Blocks of up to so many fingerprints are joined with themselves.
-SMALL_BLOCK = 32
+#: The near-copy stage: 64-bit SimHashes of a document; keys of a document and how many minimum hashes make one.
+PRINTS, KEYS, ROWS = 4, 30, 5
+#: Bits of all PRINTS together in which documents of a similarity of 0.8 differ at most: 39 on average, 6 about it.
+FAR_BITS = 72
+#: Blocks of up to so many documents are joined with themselves.
+SMALL_BLOCK = 8
+#: Shingle hashes of the documents that a task compares all with all, or with as many others.
+TILE_HASHES = 1_000_000
 #: Documents are near copies if they share this much of their distinct shingles of so many words.
 SIMILARITY, SHINGLE = 0.8, 5
+#: Multipliers that order a document's shingles anew for each minimum, and those that make a key of ROWS minima.
+ORDERS = np.random.default_rng(42).integers(1 << 63, size=KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIXERS = np.random.default_rng(43).integers(1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
@@ -121,10 +127,9 @@ def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, shingles)), dtype=np.uint64))
 
 
-def wide_fingerprint(parts: list[bytes], words: int = 2) -> list[int]:
-    """PRINTS signed 64-bit SimHashes of the distinct word shingles, each from hashes of its own; zeros without words."""
-    hashes = shingle_hashes(parts, words)
-    found = []
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS 64-bit SimHashes of shingle hashes, each from hashes of its own; zeros without any."""
+    found = np.zeros(PRINTS, dtype=np.int64)
     for i in range(PRINTS):
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 15):
@@ -133,17 +138,44 @@ def wide_fingerprint(parts: list[bytes], words: int = 2) -> list[int]:
                 block = (block ^ (block >> np.uint64(29 + i))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
                 block ^= block >> np.uint64(32)
             ones += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        found.append(int(np.packbits(2 * ones > len(hashes)).view(">i8")[0]))
+        found[i] = np.packbits(2 * ones > len(hashes)).view(">i8")[0]
     return found
 
 
-def similar(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``links(u, v)`` whose texts, in ``texts(rep, text)``, have a Jaccard similarity of SIMILARITY or more."""
+def copy_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS signed keys of ROWS minimum hashes each; sets of a similarity s agree in any one of them with probability s ** ROWS."""
+    low = np.full(len(ORDERS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 11):
+        np.minimum(low, (ORDERS[:, None] * hashes[None, at : at + (1 << 11)]).min(axis=1), out=low)
+    low ^= low >> np.uint64(31)
+    keys = (low.reshape(KEYS, ROWS) * MIXERS).sum(axis=1, dtype=np.uint64)
+    keys ^= keys >> np.uint64(32)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def text_key(words: list[bytes]) -> bytes:
+    """Texts of equal words have equal keys of 128 bits, others different ones."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(rep, hashes)`` of the texts ``wanted(rep, id, key)``, from ``rows(id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes((t or b"").lower().split(), SHINGLE).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["rep", "hashes"])
+            keys, found = [], []
+            for text in batch.column(0):
+                words = (text.as_py() or b"").lower().split()
+                keys.append(text_key(words))
+                found.append(shingle_hashes(words, SHINGLE).tobytes())
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "hashes"])
+
+    texts = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(run, "key binary, hashes binary")
+    return texts.join(wanted.select("rep", "key"), "key").select("rep", "hashes").dropDuplicates(["rep"])
+
+
+def similar(links: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``links(u, v)`` whose texts have a Jaccard similarity of SIMILARITY or more; see ``_sets``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,89 +187,157 @@ def similar(links: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
 
     ends = links.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    own = materialize(texts.join(ends, "rep", "left_semi").mapInArrow(sets, "rep bigint, hashes binary"), "copies-shingles")
+    own = materialize(_sets(rows, classes.join(ends, "rep", "left_semi")), "copies-shingles")
     near = links.join(own.select(F.col("rep").alias("u"), F.col("hashes").alias("a")), "u").join(own.select(F.col("rep").alias("v"), F.col("hashes").alias("b")), "v")
     return near.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint")
 
 
-def block_keys(reps: DataFrame, names: list[str]) -> DataFrame:
-    """``(rep, k, key)`` for every choice of AGREE blocks of each fingerprint; texts without words have none."""
-    cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(blocks, AGREE)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(len(masks) * p + i).alias("k"), F.col(n).bitwiseAND(F.lit(m)).alias("key")) for p, n in enumerate(names) for i, m in enumerate(masks)])
-    return reps.where(" or ".join(f"{n} <> 0" for n in names)).select("rep", F.inline(keys))
+def compare_all(reps: np.ndarray, roots: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all documents of a similarity of SIMILARITY or more, beyond what equal ``roots`` connect already.
+
+    Each document outside the largest component is compared with all documents of other components. A component
+    that a link reaches is one with its own from then on, and none of its documents is left out of later comparisons.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, own = np.unique(roots, return_inverse=True)
+    amount = np.bincount(own)
+    todo = np.flatnonzero(own != amount.argmax())
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    places = [local[e - n : e] for e, n in zip(ends, sizes)]
+    mark, prints = np.zeros(len(local), dtype=bool), prints.view(np.uint64)
+    found = []
+    for i in todo:
+        far = np.bitwise_count(prints ^ prints[i]).sum(axis=1, dtype=np.int32)
+        near = (own != own[i]) & (far <= FAR_BITS) & (sizes >= SIMILARITY * sizes[i]) & (sizes * SIMILARITY <= sizes[i])
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        mark[places[i]] = True
+        starts = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+        shared = np.add.reduceat(mark[np.concatenate([places[j] for j in at])], starts, dtype=np.int64)
+        mark[places[i]] = False
+        for j in at[shared >= SIMILARITY * (sizes[i] + sizes[at] - shared)]:
+            if own[i] != own[j]:
+                found.append((int(reps[i]), int(reps[j])))
+                own[own == own[j]] = own[i]
+    return found
+
+
+def _links_in_groups(members: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
+    """``(u, v)``: what connects the documents of each group of ``members(grp, rep, root, f0...)``, all compared with all.
+
+    Documents of a group's largest component are not compared with each other. They and the others are dealt into
+    tiles of about TILE_HASHES shingles; a task compares two tiles. So a group costs in proportion to its size
+    times the number of tiles of the documents that are not in its largest component.
+    """
+    spark = members.sparkSession
+    shares = members.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    biggest = shares.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("size").alias("all"), F.max_by("size", F.struct("n", "root")).alias("most"))
+    tiles = biggest.select("grp", "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / TILE_HASHES)).cast("bigint").alias("few"), F.greatest(F.lit(1), F.ceil(F.col("most") / TILE_HASHES)).cast("bigint").alias("many"))
+    turn = F.xxhash64("rep")
+    dealt = members.join(tiles, "grp").withColumn("mine", F.when(F.col("root") == F.col("main"), F.col("few") + F.pmod(turn, "many")).otherwise(F.pmod(turn, "few")))
+    others = F.when(F.col("mine") < F.col("few"), F.sequence(F.lit(0).cast("bigint"), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1))
+    dealt = dealt.select("grp", "rep", "root", *names, "mine", F.explode(others).alias("other"))
+    dealt = dealt.select("grp", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "rep", "root", *names)
+
+    def run(table: pa.Table) -> pa.Table:
+        prints = np.column_stack([table.column(n).to_numpy() for n in names])
+        held = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
+        found = compare_all(table.column("rep").to_numpy(), table.column("root").to_numpy(), prints, held)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return dealt.join(sets, "rep").groupBy("grp", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, keep)`` of every row: whether it stays when one document of each group of near copies does.
-
-    Near copies have a Jaccard similarity of SIMILARITY or more in distinct five-word shingles. Candidates come
-    from two-word shingles, which a changed word spoils fewer of (near copies share some nine in ten): PRINTS
-    fingerprints of those are cut into BLOCKS blocks each, two documents meet where AGREE blocks of one print
-    agree (89 of 100 pairs at a similarity of 0.8 do, 99 at 0.9), their Hamming distance over all prints is
-    verified, and so is their similarity, from whole texts. Texts of equal words are one class before that.
-
-    A block of up to SMALL_BLOCK documents is joined with itself. In a larger one all are compared with one of
-    them; those that did not end in its component go on to a round with twice as many such centres, until what is
-    left is small. A group of thousands so costs in proportion to its size. Two documents whose similarity is seen
-    in one large block only, where one has joined a centre and the other has not, can stay apart. The smallest id
-    of a component stays. Texts without words are only copies of each other.
+    """``(id, key, keep)`` of every row: whether a row of its id and text stays when one document of each group of near copies does.
+
+    Near copies have a Jaccard similarity of SIMILARITY or more in distinct five-word shingles. Texts of equal words
+    are one class, with a number of its own; ids only choose what stays. Classes meet in the blocks of KEYS keys of
+    ROWS minimum hashes each: a pair at a similarity of 0.8 is in no common block 7 times in a million, closer ones
+    more rarely. The Hamming distance of PRINTS SimHashes is a cheap filter; similarity is then verified from whole texts.
+
+    All of a block are compared with one of them, the same one in as many blocks as possible. A block that is one
+    component after that needs no further look. In any other, all pairs of different components are compared: blocks of up
+    to SMALL_BLOCK by a join, and larger ones, with all that they share documents with, in tiles (_links_in_groups).
+    The smallest id of a component stays. Texts without words are only copies of each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, same = np.zeros((batch.num_rows, PRINTS), dtype=np.int64), np.zeros(batch.num_rows, dtype=np.uint64)
+            n = batch.num_rows
+            found, sizes, keys, texts = np.zeros((n, PRINTS), dtype=np.int64), np.zeros(n, dtype=np.int64), [], []
             for row, text in enumerate(batch.column(1)):  # the words of one text at a time
                 words = (text.as_py() or b"").lower().split()
-                found[row], same[row] = wide_fingerprint(words), xxhash.xxh64_intdigest(b" ".join(words))
-            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(same.view(np.int64))]
-            yield pa.record_batch(columns, names=["id", *names, "same"])
+                hashes = shingle_hashes(words, SHINGLE)
+                found[row], sizes[row] = wide_fingerprint(hashes), len(hashes)
+                keys.append(copy_keys(hashes) if len(hashes) else [])
+                texts.append(text_key(words))
+            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
+            yield pa.record_batch(columns, names=["id", *names, "size", "keys", "key"])
 
     spark = docs.sparkSession
     bounded_batches(spark, 2 << 20)
     names = [f"f{i}" for i in range(PRINTS)]
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    fields = ", ".join(f"{n} bigint" for n in ["id", *names, "same"])
-    prints = materialize(rows.mapInArrow(run, fields), "copies-prints")
-    reps = materialize(prints.groupBy(*names, "same").agg(F.min("id").alias("rep")), "copies-classes")
-    left, centres, found = block_keys(reps, names), 1, spark.createDataFrame([], "u bigint, v bigint")
+    rows = _plain(docs, id_col, text_col)
+    fields = ", ".join(f"{n} bigint" for n in ["id", *names, "size"])
+    prints = materialize(rows.mapInArrow(run, f"{fields}, keys array<bigint>, key binary"), "copies-prints")
+    reps = prints.groupBy("key").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in [*names, "size", "keys"]])
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "copies-classes")  # written, so that numbers stay
+    keyed = reps.select("rep", F.posexplode("keys").alias("k", "block"))
+    turn = F.xxhash64("rep")
+    sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n"), F.min_by("rep", turn).alias("one")).where("n > 1")
+    blocks = materialize(keyed.join(materialize(sizes, "copies-sizes"), ["k", "block"]), "copies-blocks")
+    found = spark.createDataFrame([], "u bigint, v bigint")
     roots = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
-        turn = F.xxhash64("rep", "k", "key")
-        sizes = materialize(left.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "copies-blocks")
-        shared = left.join(sizes, ["k", "key"])
-        small = shared.where(F.col("n") <= SMALL_BLOCK).drop("n")
-        large = shared.where(F.col("n") > SMALL_BLOCK).drop("n")
-        chosen = large.groupBy("k", "key", F.pmod(turn, F.lit(centres)).alias("slot")).agg(F.min_by("rep", turn).alias("one"))
-        chosen = materialize(chosen.drop("slot"), "copies-centres")
-        pairs = small.join(small.withColumnRenamed("rep", "v"), ["k", "key"]).where("rep < v").select(F.col("rep").alias("u"), "v")
-        stars = large.join(chosen, ["k", "key"]).where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v"))
-        links = pairs.unionByName(stars).distinct()
+
+    def close(pairs: DataFrame) -> DataFrame:
         for end in ("u", "v"):
-            links = links.join(reps.select(F.col("rep").alias(end), *[F.col(n).alias(f"{end}{n}") for n in names]), end)
+            pairs = pairs.join(reps.select(F.col("rep").alias(end), *[F.col(n).alias(f"{end}{n}") for n in names]), end)
         far = sum((F.bit_count(F.col(f"u{n}").bitwiseXOR(F.col(f"v{n}"))) for n in names), F.lit(0))
-        links = materialize(links.select("u", "v", far.alias("far")).where(F.col("far") <= FAR_BITS), "copies-links")
-        # the closest partner of each first; what that joins needs no further look
-        first = links.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
-        rest = links.select("u", "v").join(first, ["u", "v"], "left_anti")
-        for part in (first, rest):
-            part = materialize(_apart(part, roots, "u", "v"), "copies-pairs")
-            if part.isEmpty():
-                continue
-            near = materialize(similar(part, rows.withColumnRenamed("id", "rep")), "copies-near")
-            if not near.isEmpty():
-                found = found.unionByName(near)
-                roots = materialize(components(found), "copies-roots")
-        if chosen.isEmpty():
-            break
-        joined = large.join(chosen, ["k", "key"])
-        gone = joined.join(_apart(joined.select("rep", "one").distinct(), roots, "rep", "one"), ["rep", "one"], "left_anti")
-        left = materialize(large.join(gone.select("k", "key", "rep").distinct(), ["k", "key", "rep"], "left_anti"), "copies-left")
-        centres *= 2
-    classes = materialize(reps.join(roots, reps.rep == roots.node, "left").select(*names, "same", F.coalesce("root", "rep").alias("root")), "copies-components")
-    return prints.join(classes, [*names, "same"]).select("id", (F.col("id") == F.col("root")).alias("keep"))
+        return materialize(pairs.select("u", "v", far.alias("far")).where(F.col("far") <= FAR_BITS), "copies-links")
+
+    def open_blocks() -> DataFrame:
+        """Members of the blocks that are not one component yet, with their roots."""
+        own = blocks.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "block", "n", "rep", F.coalesce("root", "rep").alias("root"))
+        apart = own.groupBy("k", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        return materialize(own.join(apart.select("k", "block"), ["k", "block"]), "copies-open")
+
+    links = close(blocks.where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v")).distinct())
+    # the closest partner of each first; what that joins needs no further look
+    first = links.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
+    rest = links.select("u", "v").join(first, ["u", "v"], "left_anti")
+    for turn_links in (first, rest, None):
+        if turn_links is None:
+            small = open_blocks().where(F.col("n") <= SMALL_BLOCK).select("k", "block", "rep", "root")
+            other = small.select("k", "block", F.col("rep").alias("v"), F.col("root").alias("root2"))
+            pairs = small.join(other, ["k", "block"]).where("rep < v and root <> root2").select(F.col("rep").alias("u"), "v").distinct()
+            turn_links = close(pairs.join(links, ["u", "v"], "left_anti")).select("u", "v")
+        part = materialize(_apart(turn_links, roots, "u", "v"), "copies-pairs")
+        if part.isEmpty():
+            continue
+        near = materialize(similar(part, rows, reps.select("rep", "id", "key")), "copies-near")
+        if not near.isEmpty():
+            found = found.unionByName(near)
+            roots = materialize(components(found), "copies-roots")
+    large = open_blocks().where(F.col("n") > SMALL_BLOCK)
+    if not large.isEmpty():
+        hubs = large.groupBy("k", "block").agg(F.min("rep").alias("u"))
+        groups = components(large.join(hubs, ["k", "block"]).select("u", F.col("rep").alias("v")).distinct())
+        members = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(large.select("rep", "root").distinct(), "rep")
+        members = materialize(members.join(reps.select("rep", "size", *names), "rep"), "copies-members")
+        sets = materialize(_sets(rows, reps.select("rep", "id", "key").join(members.select("rep"), "rep", "left_semi")), "copies-sets")
+        found = found.unionByName(materialize(_links_in_groups(members, sets, names), "copies-tiles"))
+        roots = materialize(components(found), "copies-roots")
+    owned = reps.select("rep", "id", "key").join(roots, reps.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
+    owned = materialize(owned.groupBy("root").agg(F.min(F.struct("id", "key")).alias("one")).select("one.id", "one.key"), "copies-kept")
+    return prints.select("id", "key").join(owned.withColumn("keep", F.lit(True)), ["id", "key"], "left").select("id", "key", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text)`` with the smallest number for null ids and the bytes of texts."""
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame, one: str, two: str) -> DataFrame:
@@ -251,13 +351,25 @@ def _apart(pairs: DataFrame, roots: DataFrame, one: str, two: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: the smallest id of each group stays, once if rows repeat.
 
-    A null id counts as the smallest of all.
+    A null id counts as the smallest of all. Different texts that share an id, or have none, are documents of their own.
     """
-    groups = copy_groups(docs, id_col, text_col).where("keep").groupBy("id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(groups, F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63))) == groups["id"], "left_semi")
-    if groups.where("_rows > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    groups = copy_groups(docs, id_col, text_col).groupBy("id", "key").agg(F.count("*").alias("_rows"), F.first("keep").alias("_keep"))
+    groups = materialize(groups, "copies-rows")
+    kept = groups.where("_keep")
+    own_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63)))
+    if groups.groupBy("id").agg(F.sum("_rows").alias("n")).where("n > 1").isEmpty():  # an id is enough to tell rows apart
+        kept = kept.select(F.col("id").alias("_copy_id"))
+        return docs.join(kept, own_id == F.col("_copy_id"), "left_semi")
+
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: text_key((t or b"").lower().split()))
+
+    rows = docs.withColumn("_copy_key", key_of(F.col(f"`{text_col}`").cast("binary"))).withColumn("_copy_id", own_id)
+    kept = rows.join(kept.select(F.col("id").alias("_copy_id"), F.col("key").alias("_copy_key"), F.col("_rows").alias("_copy_rows")), ["_copy_id", "_copy_key"])
+    # of repeated rows one stays; the others need no shuffle
+    once = kept.where("_copy_rows = 1").unionByName(kept.where("_copy_rows > 1").dropDuplicates(["_copy_id", "_copy_key"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

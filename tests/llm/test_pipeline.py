@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from slatework.llm import simhash
 from slatework.llm.quality import classify, keep_quality
 from slatework.llm.simhash import drop_near_copies
 from slatework.llm.substrings import remove_duplicates
@@ -139,3 +140,30 @@ def test_near_copies_hold_against_brute_force_in_groups_larger_than_a_block(spar
     expected = {min(i for i, g in enumerate(group) if g == k) for k in set(group)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == expected
+
+
+def hub_and_copies(n, seed):
+    """A text of 300 words and n copies of it with six words changed each: similar to it, not to each other."""
+    rng = np.random.default_rng(seed)
+    base, texts = [f"w{x}" for x in rng.integers(100_000, size=300)], []
+    for i in range(n):
+        words = list(base)
+        for at in range(6):
+            words[4 + 50 * at + int(rng.integers(42))] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    return " ".join(base), texts
+
+
+@pytest.mark.parametrize("tile", [1_000_000, 40_000])
+def test_a_hub_joins_its_copies_that_are_not_similar_to_each_other(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_HASHES", tile)
+    hub, copies = hub_and_copies(500, 21)
+    rows = [(i, t) for i, t in enumerate([*copies[:250], hub, *copies[250:]])]
+    # by brute force, copies are linked to the hub alone
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    alike = [(i, j) for i in range(501) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) == 500 and all(250 in pair for pair in alike)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]
+    # without the hub none is a near copy
+    assert drop_near_copies(docs.where("doc_id <> 250")).count() == 500
