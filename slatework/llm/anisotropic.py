@@ -8,14 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import GROUP_ROWS, best, pick, search_blocks, valid
+from .vectors import GROUP_ROWS, best, once, pick, search_blocks, usual_length, valid
 
 #: The codebooks are fitted on this many vectors at most, those with the smallest hashes of their ids.
 SAMPLE = 8_192
-#: Dimensions of a subspace, each with 16 centroids; candidates of a group that are scored exactly; queries scanned together.
+#: Dimensions of a subspace, each with 16 centroids; candidates of a group that are scored exactly at least; queries scanned together.
 SUB_DIM, RERANK, SCAN = 2, 128, 128
 #: Inner products above this share of a vector's length are what has to be right.
 THRESHOLD = 0.2
+#: Candidates are scored exactly as far down as the k-th best product less so many standard deviations of the tables' error.
+ERRORS = 3.0
 
 
 class Codebook:
@@ -105,26 +107,33 @@ def nearest(vectors: DataFrame, query_rows: "F.Column", k: int = 20, id_col: str
     Codebooks are fitted on a bounded sample, every row is encoded. In each group of candidates all are scored
     from tables of their 4-bit codes, and the ``rerank`` best (at least 2k) by the exact inner product of the
     original vectors in double precision, so that scores are exact and only which rows are found is approximate.
+    The error of the tables is taken from those; all others that tie with the last of them, or whose table score
+    could reach the k-th best product within ERRORS standard deviations of it, are scored exactly too, however many.
     Ties go to the smaller id. A query is no candidate of its own, nor are rows of the same id. Vectors that are
-    null, zero or hold null or non-finite components take no part, nor those of another length than most of the
-    sample's; repeated vectors all take part. An empty table gives an empty result.
+    null, zero or hold null or non-finite components take no part, nor those of another length than most rows have;
+    repeated vectors all take part. A query id that repeats is asked once, with its smallest vector. An empty
+    table gives an empty result.
     """
     rows = valid(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
+    dim = usual_length(rows)
+    rows = rows.where(F.size("vec") == dim)
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not drawn:
         return vectors.sparkSession.createDataFrame([], empty)
-    sizes = np.bincount([len(r["vec"]) for r in drawn])
-    dim = int(sizes.argmax())
-    book = Codebook(np.array([r["vec"] for r in drawn if len(r["vec"]) == dim]))
-    rows = rows.where(F.size("vec") == dim)
-    asked = rows.where(query_rows("id"))
+    book = Codebook(np.array([r["vec"] for r in drawn]))
+    asked = once(rows.where(query_rows("id")))
     total, n_queries = rows.agg(F.count("*"), F.count_if(query_rows("id"))).first()
     groups = max(1, math.ceil(total / GROUP_ROWS))
     wanted = max(rerank, 2 * k)
 
     def search(q_ids, q_vecs, _, ids, vecs):
         codes = book.encode(vecs)
+
+        def products(at, query):
+            """Row by row, so that equal vectors have equal products; in blocks."""
+            return np.concatenate([(vecs[at[i : i + 2048]] * query).sum(1) for i in range(0, len(at), 2048)])
+
         out: list[tuple] = []
         for at in range(0, len(q_ids), SCAN):
             block_ids, block = q_ids[at : at + SCAN], q_vecs[at : at + SCAN]
@@ -132,12 +141,21 @@ def nearest(vectors: DataFrame, query_rows: "F.Column", k: int = 20, id_col: str
             scores[block_ids[:, None] == ids[None, :]] = -np.inf
             n = min(wanted, len(ids))
             top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            exact = np.matmul(vecs[top], block[:, :, None])[:, :, 0]
-            exact[ids[top] == block_ids[:, None]] = -np.inf
-            order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            found, value = np.take_along_axis(ids[top], order, 1), np.take_along_axis(exact, order, 1)
-            keep = np.isfinite(value)
-            out.append((np.repeat(block_ids, keep.sum(1)), found[keep], value[keep]))
+            for own, query, table, first in zip(block_ids, block, scores, top):
+                first = first[np.isfinite(table[first])]
+                if not len(first):
+                    continue
+                exact = products(first, query)
+                error = exact - table[first]
+                last = np.partition(exact, -min(k, len(exact)))[-min(k, len(exact))]
+                bar = min(float(table[first].min()), last - error.mean() - ERRORS * error.std())
+                at = np.flatnonzero(table >= bar)
+                if len(at) > len(first):
+                    first, exact = at, products(at, query)
+                best_of = pick(exact, ids[first], k)
+                out.append((np.full(len(best_of), own), ids[first][best_of], exact[best_of]))
+        if not out:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         return tuple(np.concatenate(c) for c in zip(*out))
 
     grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)))

@@ -23,6 +23,17 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad)
 
 
+def usual_length(rows: DataFrame) -> int:
+    """The length that most vectors of ``rows(id, vec)`` have, the larger of equals; 0 without any."""
+    row = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return row["size"] if row else 0
+
+
+def once(queries: DataFrame) -> DataFrame:
+    """A row of each id, with the smallest of its vectors, so that none is asked twice."""
+    return queries.groupBy("id").agg(F.min("vec").alias("vec"))
+
+
 def bundles(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows ``(key..., id, vec, column...)`` gathered by task: a row per up to BUNDLE of them with equal keys.
 

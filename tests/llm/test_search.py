@@ -93,3 +93,22 @@ def test_removal_keeps_columns_and_untouched_texts(spark):
     assert got.columns == table.columns
     texts = pd.DataFrame([(r.doc_id, r.text) for r in got.collect()]).set_index(0)[1]
     assert texts[2] == " \n " and texts[0] is None and texts[5] == "a b" and texts[11] == "é ü " * 10
+
+
+def test_nearest_among_many_equal_and_nearly_equal_vectors(spark):
+    """Production settings: 128 of a group of up to 8,192; a third of the rows are copies, a sixth nearly so."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(8000, 64))
+    hot = rng.permutation(8000)[:4000]
+    x[hot] = x[0]
+    x[hot[:1300]] += rng.normal(size=(1300, 64)) * 0.01
+    ids = rng.permutation(8000)
+    table = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    got = nearest(table, lambda c: F.col(c) % 100 == 0).toPandas()
+    hits, equal = [], 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[list(ids).index(q)]).sum(1)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hits.append(len(set(g.vec_id) & {int(ids[i]) for i in order}) / 20)
+        equal += list(g.sort_values("rank").vec_id) == [int(ids[i]) for i in order]
+    assert len(hits) == 80 and np.mean(hits) >= 0.98 and min(hits) >= 0.8 and equal >= 60, (np.mean(hits), min(hits), equal)
