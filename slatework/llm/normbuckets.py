@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import GROUP_ROWS, best, pick, search_blocks, valid
+from .vectors import GROUP_ROWS, best, once, pick, search_blocks, usual_length, valid
 
 #: Vectors of a bucket; coordinates that coordinate pruning looks at; the local threshold from which it is used.
 BUCKET, FOCUS, COORDINATE_FROM = 1_024, 4, 0.4
@@ -79,14 +79,16 @@ def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataF
     first; the k-th product found there is each query's bar for all other groups, where buckets are pruned by
     their local cosine thresholds and what is left is verified by its product. Only what lies strictly below a
     bar is pruned, so ties go to the smaller id. A query is no candidate of its own, nor are rows of the same
-    id. Vectors of another length than the longest row's take no part. Sums must stay below 2^53. Zero vectors
+    id. Vectors of another length than most rows have take no part. A query id that repeats is asked
+    once, with its smallest vector. Sums must stay below 2^53. Zero vectors
     take part. An empty table gives an empty result; with fewer than k candidates all are returned.
     """
     rows = materialize(vectors.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))), "norms")
-    total, n_queries, dim = rows.agg(F.count("*"), F.count_if(query_rows("id")), F.max(F.size("vec"))).first()
+    dim = usual_length(rows)
+    rows = rows.where(F.size("vec") == dim)
+    total, n_queries = rows.agg(F.count("*"), F.count_if(query_rows("id"))).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    rows = rows.where(F.size("vec") == dim)
     bands = max(1, math.ceil(total / GROUP_ROWS))
     cuts = sorted(set(rows.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.2 / bands)), reverse=True) if bands > 1 else []
     band = F.lit(0)
@@ -100,7 +102,7 @@ def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataF
         groups += split
     placed = rows.join(rows.sparkSession.createDataFrame(parts, "band int, first int, split int"), "band")
     placed = placed.select("id", "vec", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("split"))).alias("grp"))
-    asked = rows.where(query_rows("id")).select("id", "vec")
+    asked = once(rows.where(query_rows("id")))
 
     def search(q_ids, q_vecs, columns, ids, vecs):
         held = Buckets(ids, vecs)

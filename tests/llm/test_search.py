@@ -112,3 +112,14 @@ def test_nearest_among_many_equal_and_nearly_equal_vectors(spark):
         hits.append(len(set(g.vec_id) & {int(ids[i]) for i in order}) / 20)
         equal += list(g.sort_values("rank").vec_id) == [int(ids[i]) for i in order]
     assert len(hits) == 80 and np.mean(hits) >= 0.98 and min(hits) >= 0.8 and equal >= 60, (np.mean(hits), min(hits), equal)
+
+
+def test_searches_take_the_usual_length_and_ask_repeated_ids_once(spark):
+    x, table = vectors(spark)
+    odd = [(900 + i, [9.0] * 17, 0.0, "x") for i in range(3)] + [(100, [float(f) for f in x[100]], 0.5, "x")]
+    more = table.unionByName(spark.createDataFrame(odd, table.schema))
+    for got, k, every in ((nearest(more, lambda c: F.col(c) % 20 == 0, rerank=60), 20, 20), (exact_top_k(quantise(valid(more)), lambda c: F.col(c) % 50 == 0), 5, 50)):
+        rows = got.toPandas()
+        assert set(rows.query_id) == set(range(0, 400, every)) and not set(rows.vec_id) & {900, 901, 902}
+        own = rows[rows.query_id == 100]
+        assert len(own) == k and own.vec_id.nunique() == k
