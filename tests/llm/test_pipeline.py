@@ -167,3 +167,36 @@ def test_a_hub_joins_its_copies_that_are_not_similar_to_each_other(spark, monkey
     assert [r.doc_id for r in drop_near_copies(docs).collect()] == [0]
     # without the hub none is a near copy
     assert drop_near_copies(docs.where("doc_id <> 250")).count() == 500
+
+
+def test_keys_meet_nearly_all_pairs_at_the_least_similarity():
+    """Sets at a similarity of 0.8 to 0.85: random ones, and a stretch that is replaced or appended."""
+    rng, met, close, n = np.random.default_rng(31), 0, 0, 0
+    for i in range(1500):
+        size = int(rng.integers(90, 600))
+        words = [f"w{x}".encode() for x in rng.integers(10**6, size=size)]
+        other, cut = list(words), size // 10
+        if i % 3 == 0:
+            other[:cut] = [f"x{j}".encode() for j in range(cut)]
+        elif i % 3 == 1:
+            other += [f"x{j}".encode() for j in range(size // 5)]
+        else:
+            for at in rng.choice(size // 10, size // 48, replace=False):
+                other[10 * at + 4] = b"changed"
+        a, b = simhash.shingle_hashes(words, 5), simhash.shingle_hashes(other, 5)
+        shared = len(np.intersect1d(a, b))
+        if not 0.8 <= shared / (len(a) + len(b) - shared) <= 0.85:
+            continue
+        n += 1
+        met += bool((simhash.copy_keys(a) == simhash.copy_keys(b)).any())
+        far = simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)
+        close += int(np.bitwise_count(far.view(np.uint64)).sum()) <= simhash.FAR_BITS
+    assert n > 500 and met == close == n, (n, met, close)
+
+
+def test_texts_without_an_id_or_with_the_same_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(41)
+    texts = prose(rng, 8)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[0]), (9, texts[1]), (10, texts[4]), (11, texts[4])]
+    left = drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (10, texts[4])])
