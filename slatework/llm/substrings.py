@@ -1,4 +1,4 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against sharded blocks of the corpus's phrases."""
+"""Substring duplicates by a join of window fingerprints, in place of relative Lempel-Ziv parsing (see README)."""
 
 from __future__ import annotations
 
@@ -68,11 +68,10 @@ def phrase_prints(documents: list[list[bytes]], length: int) -> tuple[np.ndarray
 
 
 def factors(found: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The long factors ``(start, end)`` of one document's greedy parse, in words.
+    """The runs ``(start, end)`` of found phrases of one document, in words.
 
-    ``found[i]``: the phrase at word i stands elsewhere in some reference block. A factor starts at the first
-    such word and is drawn out word by word as long as the phrase that ends there is found as well. The phrases
-    across a factor's end are checked too: one that is found starts the next factor, which may overlap.
+    ``found[i]``: the fingerprint of the phrase at word i stands elsewhere too. A run has no source of its own: its
+    phrases may stand in unrelated places. Runs that are not adjacent may overlap in words.
     """
     edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
     return [(int(a), int(b) + length - 1) for a, b in zip(edges[::2], edges[1::2])]
