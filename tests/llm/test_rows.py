@@ -5,7 +5,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from slatework.llm.common import components
-from slatework.llm.sharding import communication_matrix, shard_rows, write_shards
+from slatework.llm import sharding
+from slatework.llm.sharding import communication_matrix, hypergeometric, shard_rows, shard_sizes, write_shards
 from slatework.llm.simhash import block_masks, fingerprint, near_duplicates
 
 from .odd import TEXTS
@@ -13,9 +14,40 @@ from .odd import TEXTS
 
 def test_matrix_has_exact_sums():
     parts = [10, 0, 7, 33]
-    matrix = communication_matrix(parts, 6, 1)
-    assert matrix.sum(1).tolist() == parts and sorted(matrix.sum(0)) == [8, 8, 8, 8, 9, 9]
-    assert communication_matrix([], 4, 1).shape == (0, 4)
+    matrix = communication_matrix(parts, shard_sizes(50, 6), 1)
+    assert matrix.sum(1).tolist() == parts and matrix.sum(0).tolist() == [9, 9, 8, 8, 8, 8]
+    assert communication_matrix([], shard_sizes(0, 4), 1).shape == (0, 4)
+
+
+def test_matrix_against_dealing_every_row(monkeypatch):
+    """Over many draws each entry has the distribution that shuffling the rows themselves gives, by either draw."""
+    parts, sizes = [30, 10, 20], [25, 20, 15]
+    owner, rng = np.repeat([0, 1, 2], parts), np.random.default_rng(8)
+    shard = np.repeat([0, 1, 2], sizes)
+    dealt = np.array([np.histogram2d(owner, rng.permutation(shard), bins=(3, 3))[0] for _ in range(4000)])
+    for limit in (10**9, 0):
+        monkeypatch.setattr(sharding, "LIBRARY_ROWS", limit)
+        drawn = np.array([communication_matrix(parts, sizes, [limit, i]) for i in range(4000)])
+        assert np.abs(drawn.mean(0) - dealt.mean(0)).max() < 0.2 and np.abs(drawn.std(0) / dealt.std(0) - 1).max() < 0.08
+    rng = np.random.default_rng(1)
+    large = np.array([hypergeometric(4 * 10**10, 6 * 10**10, 10**6, rng) for _ in range(2000)])
+    assert abs(large.mean() - 400_000) < 60 and abs(large.std() / np.sqrt(240_000) - 1) < 0.08
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "_rank", "_bucket", "_at", "_part", "_key", "_ends", "_start", "part", "key", "rank", "c0", "c1", "a.b", "shard"]
+    table = spark.createDataFrame([tuple(-i - 100 * j for j in range(len(names))) for i in range(20)], ", ".join(f"`{n}` int" for n in names))
+    got = shard_rows(table, 3).collect()
+    assert sorted(tuple(r)[:14] for r in got) == sorted(tuple(r)[:14] for r in table.collect())
+    assert shard_rows(table, 3).columns == [*names[:-1], "shard", "slot"]
+
+
+def test_sharding_draws_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_PARTS", 2)
+    got = shard_rows(spark.range(1000).repartition(7), 6).toPandas()
+    assert sorted(got.groupby("shard").size()) == [166, 166, 167, 167, 167, 167] and got["id"].nunique() == 1000
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
 
 
 def test_shards_are_even_and_gapless(spark, tmp_path):
