@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -81,15 +82,18 @@ def test_sum_of_squares_against_brute_force():
             levels[level + size] = levels.get(level + size, 0) + 1
 
 
-def test_word_bpe_matches_the_library(spark):
+@pytest.mark.parametrize("leaf_chars, fan_in", [(8192, 64), (24, 2)])
+def test_word_bpe_matches_the_library(spark, leaf_chars, fan_in):
     from slatework.llm.wordbpe import encode_decode
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = np.random.default_rng(5)
     more = ["".join(rng.choice(list(letters), 3000)) for letters in ("ab", "the", "ing", "aeiourstlnmdé", "!?.#")]
+    more += ["".join(rng.choice(list("abe  \n.,'1é́😀"), n)) for n in (2000, 30_000)] + ["don't\0stop " * 2000, (" " * 900 + "it's") * 30]
     given = rows() + [(1000 + i, t, 0, 0) for i, t in enumerate(more)] + [(None, "no id", 0, 0)]
     want = sorted((str(i), np.array((e := library.encode(t or "", add_special_tokens=False)).ids, dtype="<u4").tobytes(), library.decode(e.ids, skip_special_tokens=False)) for i, t, _, _ in given)
-    got = sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in encode_decode(spark.createDataFrame(given, SCHEMA)).collect())
+    found = encode_decode(spark.createDataFrame(given, SCHEMA), leaf_chars=leaf_chars, fan_in=fan_in)
+    got = sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in found.collect())
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a == b, (a[0], a[2][:80], b[2][:80])
