@@ -1,34 +1,50 @@
-"""Substring duplicates by a join of window fingerprints, in place of relative Lempel-Ziv parsing (see README)."""
+"""Substring duplicates by relative Lempel-Ziv parsing: documents are factored greedily against indexed blocks of the corpus."""
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bundle, chunks, pack, shuffle_partitions, signature, squeeze, unbundle, unpack, unsqueeze
+from .common import bounded_batches, bundle, chunks, materialize, pack, shuffle_partitions, squeeze, unbundle, unpack, unsqueeze
 
-#: A chunk of documents ends at so many bytes of text; its distinct phrases are looked up once.
-CHUNK_BYTES = 4 << 20
-#: Distinct words whose hashes a worker keeps; beyond that it starts anew.
+#: A block of documents ends at so many bytes of text.
+BLOCK_BYTES = 4 << 20
+#: Distinct words that a worker keeps from one block to the next; beyond that it starts anew.
 CACHE_WORDS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class _Words(dict):
+class Vocabulary(dict):
+    """Numbers of words, given as they are met, and the hash of each; equal numbers are equal words."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = array("Q")
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word)
+        self[word] = found = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
         return found
 
 
-_WORDS = _Words()
+_VOCABULARY = Vocabulary()
+
+
+def vocabulary() -> Vocabulary:
+    """A worker's vocabulary, for one block: the numbers of an earlier block may mean other words."""
+    global _VOCABULARY
+    if len(_VOCABULARY) > CACHE_WORDS:
+        _VOCABULARY = Vocabulary()
+    return _VOCABULARY
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -36,22 +52,28 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def phrase_prints(documents: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints of all phrases of ``length`` words, and how many each document has (maybe none).
+class Words:
+    """The words of texts as one array of numbers, with the fingerprints of all phrases of ``length`` words."""
+
+    def __init__(self, texts: list[list[bytes]], length: int, known: Vocabulary):
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        get = known.__getitem__
+        self.numbers = np.fromiter((n for t in texts for n in map(get, t)), dtype=np.int32, count=int(self.sizes.sum()))
+        hashes = np.array(known.hashes, dtype=np.uint64)[self.numbers]
+        self.prints, self.starts = phrase_prints(hashes, self.sizes, length)
 
-    Sums of word hashes times powers of an odd base, modulo 2^64, so that equal phrases have equal ones
-    wherever they start; then mixed. Two different phrases of a corpus of n have the same one with a
-    probability of about n^2 / 2^65.
+
+def phrase_prints(hashes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit fingerprints of all phrases of ``length`` words within texts of these sizes, and where each starts.
+
+    Sums of word hashes times powers of an odd base, modulo 2^64, so that equal phrases have equal ones wherever they
+    start; then mixed. They only say where to look: words decide.
     """
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    sizes = np.array([len(d) for d in documents], dtype=np.int64)
-    total = int(sizes.sum())
-    get = _WORDS.__getitem__
-    hashes = np.fromiter((h for d in documents for h in map(get, d)), dtype=np.uint64, count=total)
+    total = len(hashes)
     counts = np.maximum(sizes - length + 1, 0)
     if not counts.sum():
-        return np.zeros(0, dtype=np.uint64), counts
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(total, BASE))
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * powers)])
@@ -61,164 +83,265 @@ def phrase_prints(documents: list[list[bytes]], length: int) -> tuple[np.ndarray
         prints *= np.uint64(0xD6E8FEB86659FD93)
         prints ^= prints >> np.uint64(32)
     first = np.cumsum(sizes) - sizes
-    own = np.zeros(total + 1, dtype=np.int32)  # of all starts, those whose phrase ends in its document
+    own = np.zeros(total + 1, dtype=np.int32)  # of all starts, those whose phrase ends in its text
     np.add.at(own, first[counts > 0], 1)
     np.add.at(own, (first + counts)[counts > 0], -1)
-    return prints[np.cumsum(own)[: len(prints)] > 0], counts
-
-
-def factors(found: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The runs ``(start, end)`` of found phrases of one document, in words.
-
-    ``found[i]``: the fingerprint of the phrase at word i stands elsewhere too. A run has no source of its own: its
-    phrases may stand in unrelated places. Runs that are not adjacent may overlap in words.
-    """
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
-    return [(int(a), int(b) + length - 1) for a, b in zip(edges[::2], edges[1::2])]
+    starts = np.flatnonzero(np.cumsum(own)[: len(prints)] > 0)
+    return prints[starts], starts
+
+
+def stretches(words: list[list[bytes]], own: Words, wanted: np.ndarray, length: int, occurrence: int = 0) -> list[tuple[int, bytes]]:
+    """``(at, words)``: the parts of a block that hold the wanted phrases, each phrase where it occurs first or second."""
+    place = np.minimum(np.searchsorted(wanted, own.prints), len(wanted) - 1)
+    hit = np.flatnonzero(wanted[place] == own.prints)
+    order = hit[np.argsort(place[hit], kind="stable")]  # by phrase, then where it starts
+    begins = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]]))
+    sizes = np.diff(np.append(begins, len(order)))
+    starts = np.sort(own.starts[order[begins[sizes > occurrence] + occurrence]])
+    if not len(starts):
+        return []
+    text = np.searchsorted(own.ends, starts, side="right")
+    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(text) != 0)) + 1
+    found = []
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(starts)]):
+        t = int(text[a])
+        before = int(own.ends[t] - own.sizes[t])
+        found.append((int(starts[a]), b" ".join(words[t][int(starts[a]) - before : int(starts[b - 1]) - before + length])))
+    return found
+
+
+class Reference:
+    """Parts of reference blocks, indexed by the fingerprints of their phrases."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], length: int, known: Vocabulary):
+        self.blocks, self.at = [p[0] for p in parts], [p[1] for p in parts]
+        self.words = Words([p[2].split(b" ") for p in parts], length, known)
+        self.order = np.argsort(self.words.prints, kind="stable")
+        self.keys = self.words.prints[self.order]
+
+    def longest(self, own: Words, at: int, end: int, key: int, block: int) -> tuple[int, int, int]:
+        """The longest match for the words from ``at`` on among all places with this fingerprint: its length, block and place.
+
+        The place itself, in block ``block``, is none; in this block a match may go on beyond the part that is indexed.
+        """
+        best, fingerprint = (0, -1, -1), self.keys[key]
+        while key < len(self.keys) and self.keys[key] == fingerprint:
+            start = int(self.words.starts[self.order[key]])
+            part = int(np.searchsorted(self.words.ends, start, side="right"))
+            place = self.at[part] + start - int(self.words.ends[part] - self.words.sizes[part])
+            key += 1
+            there, limit = (self.words.numbers[start:], int(self.words.ends[part]) - start)
+            if self.blocks[part] == block:
+                if place == at:
+                    continue
+                there, limit = own.numbers[place:], int(own.ends[np.searchsorted(own.ends, place, side="right")]) - place
+            n = min(end - at, limit)
+            differ = own.numbers[at : at + n] != there[:n]
+            best = max(best, (int(differ.argmax()) if differ.any() else n, self.blocks[part], place))
+        return best
+
+    def parse(self, own: Words, block: int, length: int) -> list[list[tuple[int, int, int, int]]]:
+        """Each text's factors ``(start, end, block, at)`` of ``length`` words or more.
+
+        Greedy: from the first phrase that any block holds, as far as the words are those of one place there. The
+        next factor may begin with the first phrase that crosses the end of the last, so that none is missed there.
+        """
+        found: list[list[tuple[int, int, int, int]]] = [[] for _ in own.sizes]
+        if not len(self.keys):
+            return found
+        places = np.searchsorted(self.keys, own.prints)
+        held = np.flatnonzero(self.keys[np.minimum(places, len(self.keys) - 1)] == own.prints)
+        starts, texts = own.starts[held], np.searchsorted(own.ends, own.starts[held], side="right")
+        i = 0
+        while i < len(held):
+            at, text = int(starts[i]), int(texts[i])
+            begin, end = int(own.ends[text] - own.sizes[text]), int(own.ends[text])
+            same, source, place = self.longest(own, at, end, int(places[held[i]]), block)
+            if same >= length:
+                found[text].append((at - begin, at - begin + same, source, place))
+                i = int(np.searchsorted(starts, at + same - length + 1))
+            else:
+                i += 1
+        return found
 
 
-def removed_words(spans: list[tuple[int, int]], n_words: int) -> np.ndarray:
+def removed_words(spans: list[tuple], n_words: int) -> np.ndarray:
     """Which words the spans cover."""
     change = np.zeros(n_words + 1, dtype=np.int32)
-    for a, b in spans:
+    for a, b, *_ in spans:
         change[a] += 1
         change[b] -= 1
     return np.cumsum(change)[:n_words] > 0
 
 
-def _prints_by_shard(texts: list[bytes | None], length: int, shards: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, phrases per document, each phrase's fingerprint, the distinct ones in order, and where shards end in them.
-
-    A shard is a range of fingerprints, so that the sorted distinct ones are in the order of the shards.
-    """
-    words = [split_words(t) for t in texts]
-    prints, counts = phrase_prints(words, length)
-    distinct = np.unique(prints)
-    cuts = np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64)
-    ends = np.concatenate([np.searchsorted(distinct, cuts, side="left"), [len(distinct)]])
-    return words, counts, prints, distinct, ends
-
-
-def duplicate_spans(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` and what the parse against the whole corpus found in each.
-
-    Adds ``_n_words``, ``_spans`` (array of word ranges that long factors cover, start and end) and ``_kept`` (the
-    other words joined by a space). A phrase is ``length`` words in a row of one document; it is a duplicate if it
-    starts at any other place, in the same document or another, of the input as it was given.
-
-    Every phrase of the corpus is in a reference block, by the range of its fingerprint. The documents of a task,
-    a chunk, ask each block once for their distinct phrases; the block answers, a bit a phrase, which of them
-    stand in other chunks too. Then every document is factored against all blocks. A phrase of any number of
-    copies is asked for once a chunk, so that hot passages cost no more than others, and memory is bound by the
-    chunk and by the range of a block (spark.sql.shuffle.partitions ranges).
+SPAN = "struct<start: int, end: int, block: bigint, at: bigint>"
 
-    The input is read twice and must come in the same order, as tables do; else an error is raised.
 
-    Null and empty texts have no words; documents shorter than a phrase keep all words; very long ones are chunks
-    of their own; repeated rows are duplicates of each other; an empty table gives an empty table.
-    """
+def _parsed(docs: DataFrame, length: int, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1... with n_words, spans and kept; see ``duplicate_spans``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = shuffle_partitions(spark)
-    names = docs.columns
-    at = names.index(text_col)
-    plain = docs.select(*[F.col(f"`{c}`").cast("string" if c == text_col else t).alias(f"c{i}") for i, (c, t) in enumerate(docs.dtypes)])
+    at = docs.columns.index(text_col)
+    plain = docs.select(*[F.col(f"`{c}`").cast("string" if i == at else t).alias(f"c{i}") for i, (c, t) in enumerate(docs.dtypes)])
+    cuts = np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64)
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in chunks(batches, at, BLOCK_BYTES):
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bundle(table)], pa.binary())], names=["block", "rows"])
+
+    def read(rows: list[bytes]) -> tuple[list[pa.Table], list[list[bytes]]]:
+        tables = [unbundle(blob) for blob in rows]
+        return tables, [split_words(t) for table in tables for t in table.column(at).cast(pa.binary()).to_pylist()]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in chunks(batches, at, CHUNK_BYTES):
-            texts = table.column(at).cast(pa.binary()).to_pylist()
-            mark = signature(texts)
-            _, _, prints, distinct, ends = _prints_by_shard(texts, length, shards)
-            many = np.diff(np.concatenate([np.searchsorted(np.sort(prints), distinct), [len(prints)]])) > 1
-            begin = 0
-            for shard, end in enumerate(ends.tolist()):
-                if begin < end:
-                    payload = pack((mark, squeeze(distinct[begin:end]), np.packbits(many[begin:end])), level=1)
-                    columns = [pa.array([chunk], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())]
-                    yield pa.record_batch(columns, names=["chunk", "shard", "payload"])
-                begin = end
-
-    def answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
-        lists, many, marks = [], [], []
+        """A block's distinct phrases, by ranges of fingerprints, and which of them it has more than once."""
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = Words(read([rows])[1], length, vocabulary())
+                distinct, times = np.unique(own.prints, return_counts=True)
+                ends = [*np.searchsorted(distinct, cuts, side="left").tolist(), len(distinct)]
+                begin = 0
+                for shard, end in enumerate(ends):
+                    if begin < end:
+                        payload = pack((squeeze(distinct[begin:end]), np.packbits(times[begin:end] > 1)), level=1)
+                        columns = [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())]
+                        yield pa.record_batch(columns, names=["block", "shard", "payload"])
+                    begin = end
+
+    def deal(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        """Which block has to show which phrases to which: each block gets a phrase from the one before it that has it.
+
+        The first gets it from the second, and one that has it twice from itself too. So however many blocks share a
+        phrase, none has to show it more than twice.
+        """
+        asked = asked.sort_values("block")
+        blocks = asked["block"].to_numpy()
+        lists, many = [], []
         for payload in asked["payload"]:
-            mark, squeezed, bits = unpack(payload)
-            marks.append(mark)
+            squeezed, bits = unpack(payload)
             lists.append(unsqueeze(squeezed))
             many.append(np.unpackbits(bits, count=len(lists[-1])).astype(bool))
-        block = np.sort(np.concatenate(lists))
-        twice = np.unique(block[1:][block[1:] == block[:-1]])  # in more chunks than one
-        replies = []
-        for own, local, mark in zip(lists, many, marks):
-            place = np.searchsorted(twice, own)
-            hit = local.copy()
-            inside = place < len(twice)
-            hit[inside] |= twice[place[inside]] == own[inside]
-            replies.append(pack((mark, np.packbits(hit)), level=1))
-        return pd.DataFrame({"chunk": asked["chunk"], "shard": asked["shard"], "reply": replies})
-
-    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in chunks(batches, at, CHUNK_BYTES):
-            blob = bundle(table)
-            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "rows"])
-
-    def parse(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        prints, many = np.concatenate(lists), np.concatenate(many)
+        order = np.argsort(prints, kind="stable")
+        same = prints[order][1:] == prints[order][:-1]
+        later, earlier = order[1:][same], order[:-1][same]
+        first = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
+        own = np.flatnonzero(many)
+        to = np.concatenate([owner[later], owner[order[first]], owner[own]])
+        source = np.concatenate([owner[earlier], owner[order[first + 1]], owner[own]])
+        wanted = np.concatenate([prints[later], prints[order[first]], prints[own]])
+        by = np.lexsort((wanted, to, source))
+        to, source, wanted = to[by], source[by], wanted[by]
         out = []
-        answers = sorted(zip(replies.column("shard").to_pylist(), replies.column("reply").to_pylist()))
-        for blob in rows.column("rows").to_pylist():
-            table = unbundle(blob)
-            texts = table.column(at).cast(pa.binary()).to_pylist()
-            words, counts, prints, distinct, ends = _prints_by_shard(texts, length, shards)
-            sizes = np.diff(np.concatenate([[0], ends]))
-            mark, hits = signature(texts), []
-            for shard, reply in answers:
-                asked_as, bits = unpack(reply)
-                if asked_as != mark:
-                    raise RuntimeError("the input came in another order when read again: write it to a table first")
-                hits.append(np.unpackbits(bits, count=int(sizes[shard])).astype(bool))
-            hit = np.concatenate(hits) if hits else np.zeros(0, dtype=bool)
-            duplicate = distinct[hit]
-            place = np.minimum(np.searchsorted(duplicate, prints), max(len(duplicate) - 1, 0))
-            found = duplicate[place] == prints if len(duplicate) else np.zeros(len(prints), dtype=bool)
-            spans, kept, end = [], [], 0
-            for own, n in zip(words, counts.tolist()):
-                part = found[end : end + n]
-                end += n
-                long = factors(part, length) if n and part.any() else []
-                if long:
-                    gone = removed_words(long, len(own))
+        for lo, hi in _runs(source):
+            wants = [(int(blocks[to[a]]), squeeze(wanted[a:b])) for a, b in ((lo + a, lo + b) for a, b in _runs(to[lo:hi]))]
+            out.append((int(blocks[source[lo]]), pack(wants, level=1)))
+        return pd.DataFrame({"block": [b for b, _ in out], "wants": [w for _, w in out]})
+
+    def show(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        """The parts of a block that others want, a row for each of them."""
+        wants: dict[int, list[np.ndarray]] = {}
+        for payload in asked.column("wants").to_pylist():
+            for to, squeezed in unpack(payload):
+                wants.setdefault(to, []).append(unsqueeze(squeezed))
+        out: list[tuple[int, bytes]] = []
+        if wants and rows.num_rows:
+            block = rows.column("block")[0].as_py()
+            words = read(rows.column("rows").to_pylist())[1]
+            own = Words(words, length, vocabulary())
+            for to, lists in wants.items():
+                wanted = np.sort(np.concatenate(lists))
+                shown = stretches(words, own, wanted, length)
+                if to == block:
+                    shown += stretches(words, own, wanted, length, 1)
+                out.append((to, pack([(block, a, w) for a, w in shown])))
+        return pa.table({"block": pa.array([t for t, _ in out], pa.int64()), "parts": pa.array([p for _, p in out], pa.binary())})
+
+    def parse(rows: pa.Table, shown: pa.Table) -> pa.Table:
+        out = []
+        parts = [part for payload in shown.column("parts").to_pylist() for part in unpack(payload)]
+        for block, blob in zip(rows.column("block").to_pylist(), rows.column("rows").to_pylist()):
+            tables, words = read([blob])
+            if parts:
+                known = vocabulary()
+                factors = Reference(parts, length, known).parse(Words(words, length, known), block, length)
+            else:
+                factors = [[] for _ in words]
+            spans, kept = [], []
+            for own, found in zip(words, factors):
+                if found:
+                    gone = removed_words(found, len(own))
                     own = [w for w, g in zip(own, gone.tolist()) if not g]
-                spans.append([{"start": a, "end": b} for a, b in long])
+                spans.append([{"start": a, "end": b, "block": c, "at": d} for a, b, c, d in found])
                 kept.append(b" ".join(own))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            table = table.append_column("_n_words", pa.array([len(w) for w in words], pa.int64()))
-            table = table.append_column("_spans", pa.array(spans, kind))
-            out.append(table.append_column("_kept", pa.array(kept, pa.binary()).cast(pa.string())))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("block", pa.int64()), ("at", pa.int64())]))
+            (table,) = tables
+            table = table.append_column("n_words", pa.array([len(w) for w in words], pa.int64()))
+            table = table.append_column("spans", pa.array(spans, kind))
+            out.append(table.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string())))
         return pa.concat_tables(out)
 
-    asked = plain.mapInArrow(ask, "chunk bigint, shard int, payload binary")
-    replies = asked.groupBy("shard").applyInPandas(answer, "chunk bigint, shard int, reply binary")
-    rows = plain.mapInArrow(bundled, "chunk bigint, rows binary")
+    blocks = materialize(plain.mapInArrow(bundled, "block bigint, rows binary"), "reference-blocks")
+    asked = blocks.mapInArrow(ask, "block bigint, shard int, payload binary")
+    wants = asked.groupBy("shard").applyInPandas(deal, "block bigint, wants binary")
+    dealt = blocks.repartition(shards, "block")
+    shown = dealt.groupBy("block").cogroup(wants.groupBy("block")).applyInArrow(show, "block bigint, parts binary")
     fields = ", ".join(f"c{i} {t if i != at else 'string'}" for i, (_, t) in enumerate(docs.dtypes))
-    result = f"{fields}, _n_words bigint, _spans array<struct<start: int, end: int>>, _kept string"
-    parsed = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(parse, result)
-    return parsed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "_n_words", "_spans", "_kept")
+    parsed = dealt.groupBy("block").cogroup(shown.groupBy("block"))
+    return parsed.applyInArrow(parse, f"{fields}, n_words bigint, spans array<{SPAN}>, kept string")
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cuts = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist() if len(values) else []
+    return list(zip([0, *cuts], [*cuts, len(values)])) if len(values) else []
+
+
+def duplicate_spans(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` and what the parse against the whole corpus found in each.
+
+    Adds ``_n_words``, ``_spans`` (the long factors: word ranges, start and end, with the block and the place in it
+    whose words they are) and ``_kept`` (the other words joined by a space); columns of these names in the input are
+    replaced. A phrase is ``length`` words in a row of one document; it is a duplicate if it starts at any other place,
+    in the same document or another, of the input as it was given.
+
+    Documents are gathered in blocks of about BLOCK_BYTES, written once; every block is reference and input alike.
+    Blocks list their distinct phrases by fingerprint. Where a phrase is in several blocks, each of them gets the
+    stretch of words around it from the block before it; stretches are as long as neighbouring phrases come from the
+    same block, and a block indexes those it gets. Its documents are then factored greedily: a factor goes as far as
+    the words, compared one by one, are those of a single place, and the next one is looked for from the first phrase
+    that crosses the factor's end. Fingerprints never decide: equal ones of different words only cost a comparison.
+    (A duplicate could be missed only if a third phrase had the same 64 bits and stood in a block between.)
+
+    A phrase of any number of copies is asked for once a block and shown twice by each at most, so hot passages cost no
+    more than others; memory is bound by the block, by what it wants, and by a range of fingerprints
+    (spark.sql.shuffle.partitions ranges). There are never more messages than distinct phrases of blocks.
+
+    Null and empty texts have no words; documents shorter than a phrase keep all words; very long ones are blocks of
+    their own; repeated rows are duplicates of each other; an empty table gives an empty table.
+    """
+    added = {"_n_words": "n_words", "_spans": "spans", "_kept": "kept"}
+    given = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
+    return _parsed(docs, length, text_col).select(*given, *[F.col(n).alias(c) for c, n in added.items()])
 
 
-def removed_count() -> F.col:
+def removed_count(spans: str = "_spans") -> Column:
     """How many words the spans of a row cover; spans are in order and may overlap."""
     def step(acc, span):
         begin = F.greatest(acc["upto"], span["start"])
         return F.struct((acc["n"] + F.greatest(span["end"] - begin, F.lit(0))).alias("n"), F.greatest(acc["upto"], span["end"]).alias("upto"))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    return F.aggregate("_spans", start, step, lambda acc: acc["n"].cast("bigint"))
+    return F.aggregate(spans, start, step, lambda acc: acc["n"].cast("bigint"))
 
 
 def remove_duplicates(docs: DataFrame, length: int = 35, text_col: str = "text") -> DataFrame:
-    """``docs`` with every word of a duplicate phrase removed from the text; texts without any stay as they are."""
-    found = duplicate_spans(docs, length, text_col)
-    text = F.when(F.size("_spans") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, columns of any name, with every word of a duplicate phrase removed; texts without any stay as they are."""
+    found = _parsed(docs, length, text_col)
+    text = [F.when(F.size("spans") > 0, F.col("kept")).otherwise(F.col(f"c{i}")) if c == text_col else F.col(f"c{i}") for i, c in enumerate(docs.columns)]
+    return found.select(*[x.alias(c) for x, c in zip(text, docs.columns)])
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from slatework.llm.anisotropic import nearest
 from slatework.llm.normbuckets import exact_top_k, quantise
-from slatework.llm.substrings import duplicate_spans, kept_digest, remove_duplicates, removed_count
+from slatework.llm import substrings
+from slatework.llm.substrings import Reference, Words, duplicate_spans, kept_digest, remove_duplicates, removed_count, removed_words, stretches, vocabulary
 from slatework.llm.vectors import valid
 
 
@@ -87,6 +88,72 @@ def test_duplicate_spans_against_brute_force(spark):
     assert duplicate_spans(table.where("doc_id < 0")).collect() == []
 
 
+def covered(texts, length):
+    """Brute force: which words a window covers whose words also start elsewhere."""
+    count = collections.Counter(tuple(w[i : i + length]) for w in texts for i in range(len(w) - length + 1))
+    out = []
+    for w in texts:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(gone)
+    return out
+
+
+def parsed(blocks, length):
+    """The parse of each text, block by block, every block showing others what they ask for."""
+    own = [Words(b, length, vocabulary()) for b in blocks]
+    holders = collections.defaultdict(list)
+    for k, w in enumerate(own):
+        for f, n in zip(*np.unique(w.prints, return_counts=True)):
+            holders[f].append((k, n))
+    wants = collections.defaultdict(list)
+    for f, held in holders.items():
+        for a, b in [(x[0], y[0]) for x, y in zip(held, held[1:])] + [(y[0], x[0]) for x, y in zip(held[:1], held[1:2])] + [(k, k) for k, n in held if n > 1]:
+            wants[a, b].append(f)
+    parts = collections.defaultdict(list)
+    for (source, to), prints in wants.items():
+        shown = [x for again in range(1 + (source == to)) for x in stretches(blocks[source], own[source], np.sort(np.array(prints, dtype=np.uint64)), length, again)]
+        parts[to] += [(source, at, words) for at, words in shown]
+    return [(k, t, f) for k, b in enumerate(blocks) for t, f in enumerate(Reference(parts[k], length, vocabulary()).parse(own[k], k, length) if parts[k] else [[] for _ in b])]
+
+
+def test_parse_against_brute_force_and_with_clashing_fingerprints(monkeypatch):
+    rng, plain = np.random.default_rng(6), substrings.phrase_prints
+    for trial in range(300):
+        length, words = int(rng.choice([2, 3, 5])), [b"w%d" % i for i in range(rng.choice([2, 4, 12]))]
+        passages = [list(rng.choice(words, rng.integers(1, 12))) for _ in range(4)]
+        text = lambda: sum([list(passages[rng.integers(4)]) if rng.random() < 0.5 else [rng.choice(words)] for _ in range(rng.integers(0, 8))], [])
+        blocks = [[[bytes(w) for w in text()] for _ in range(rng.integers(1, 4))] for _ in range(rng.integers(1, 5))]
+        want = covered([t for b in blocks for t in b], length)
+        monkeypatch.setattr(substrings, "phrase_prints", plain)
+        found = parsed(blocks, length)
+        assert [removed_words(f, len(blocks[k][t])).tolist() for k, t, f in found] == want
+        for k, t, factors in found:  # every factor's words stand where it says
+            for a, b, source, at in factors:
+                assert sum(blocks[source], [])[at : at + b - a] == blocks[k][t][a:b]
+        monkeypatch.setattr(substrings, "phrase_prints", lambda *x: (lambda p, s: (p & np.uint64(7), s))(*plain(*x)))
+        for (k, t, f), right in zip(parsed(blocks, length), want):  # eight different fingerprints: nothing wrong is removed
+            assert not (np.array(removed_words(f, len(right))) & ~np.array(right, dtype=bool)).any()
+
+
+def test_a_text_of_one_word_is_one_factor():
+    words = [[b"r"] * 5000]
+    own = Words(words, 35, vocabulary())
+    wanted = np.unique(own.prints)
+    parts = [(0, a, w) for again in (0, 1) for a, w in stretches(words, own, wanted, 35, again)]
+    assert len(Reference(parts, 35, vocabulary()).parse(own, 0, 35)[0]) <= 2
+
+
+def test_parse_keeps_columns_of_any_name(spark):
+    names = ["_spans", "_kept", "_n_words", "spans", "kept", "n_words", "block", "rows", "c1", "a.b"]
+    table = spark.createDataFrame([(i, "w " * 40, *range(10)) for i in range(3)], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = remove_duplicates(table)
+    assert got.columns == table.columns and [tuple(r)[1:] for r in got.collect()] == [("", *range(10))] * 3
+    assert duplicate_spans(table).columns == ["doc_id", "text", *names[3:], "_n_words", "_spans", "_kept"]
+
+
 def test_removal_keeps_columns_and_untouched_texts(spark):
     rows, table = documents(spark)
     got = remove_duplicates(table)
