@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import GROUP_ROWS, best, once, pick, search_blocks, usual_length, valid
+from .common import materialize
+from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, once, pick, search_blocks, valid
 
 #: The codebooks are fitted on this many vectors at most, those with the smallest hashes of their ids.
 SAMPLE = 8_192
@@ -101,65 +102,86 @@ class Codebook:
         return np.ascontiguousarray(out.T)
 
 
+def products(vecs: np.ndarray, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Row by row, so that equal vectors have equal products; in blocks."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.concatenate([(vecs[at[i : i + 2048]] * query).sum(1) for i in range(0, len(at), 2048)]) if len(at) else np.zeros(0)
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The length that most vectors of ``rows(id, vec)`` have, the larger of equals; 0 without any."""
+    row = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return row["size"] if row else 0
+
+
 def nearest(vectors: DataFrame, query_rows: "F.Column", k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best inner products found for the rows of ``vectors`` that satisfy ``query_rows(id)``.
 
-    Codebooks are fitted on a bounded sample, every row is encoded. In each group of candidates all are scored
-    from tables of their 4-bit codes, and the ``rerank`` best (at least 2k) by the exact inner product of the
-    original vectors in double precision, so that scores are exact and only which rows are found is approximate.
-    The error of the tables is taken from those; all others that tie with the last of them, or whose table score
-    could reach the k-th best product within ERRORS standard deviations of it, are scored exactly too, however many.
-    Ties go to the smaller id. A query is no candidate of its own, nor are rows of the same id. Vectors that are
-    null, zero or hold null or non-finite components take no part, nor those of another length than most rows have;
-    repeated vectors all take part. A query id that repeats is asked once, with its smallest vector. An empty
-    table gives an empty result.
+    Codebooks are fitted on a bounded sample; every row is encoded once, and the index of 4-bit codes is written with
+    the vectors. In each group of candidates all are scored from tables of their codes, and the ``rerank`` best (at
+    least 2k) by the exact inner product of the original vectors in double precision, so that scores are exact and only
+    which rows are found is approximate. The error of the tables is taken from those; all others that tie with the last
+    of them, or whose table score could reach the k-th best product within ERRORS standard deviations of it, are scored
+    exactly too, however many. Ties go to the smaller id. A query is no candidate of its own, nor are rows of the same
+    id. Vectors that are null, zero or hold null or non-finite components take no part; repeated vectors all take part.
+    Vectors of different lengths meet as if the shorter one had zeros at its end; those of another length than most
+    have no codes and are scored exactly. So is a whole group where the k-th best product overflows, or is so small that
+    it may have lost digits; products that overflow to infinity tie, and those of no value (infinity less infinity) take
+    no part. A query id that repeats is asked once, with its smallest vector. An empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     dim = usual_length(rows)
-    rows = rows.where(F.size("vec") == dim)
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
+    drawn = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     if not drawn:
-        return vectors.sparkSession.createDataFrame([], empty)
-    book = Codebook(np.array([r["vec"] for r in drawn]))
-    asked = once(rows.where(query_rows("id")))
-    total, n_queries = rows.agg(F.count("*"), F.count_if(query_rows("id"))).first()
-    groups = max(1, math.ceil(total / GROUP_ROWS))
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    total, n_queries, scale = rows.agg(F.count("*"), F.count_if(query_rows("id")), F.max(F.array_max(F.transform("vec", F.abs)))).first()
+    book = Codebook(np.array([r["vec"] for r in drawn]) / scale)  # of components up to 1, whatever the vectors' size
+    groups, blocks = max(1, math.ceil(total / GROUP_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
     wanted = max(rerank, 2 * k)
 
-    def search(q_ids, q_vecs, _, ids, vecs):
-        codes = book.encode(vecs)
-
-        def products(at, query):
-            """Row by row, so that equal vectors have equal products; in blocks."""
-            return np.concatenate([(vecs[at[i : i + 2048]] * query).sum(1) for i in range(0, len(at), 2048)])
-
-        out: list[tuple] = []
-        for at in range(0, len(q_ids), SCAN):
-            block_ids, block = q_ids[at : at + SCAN], q_vecs[at : at + SCAN]
-            scores = book.scan(block, codes)
-            scores[block_ids[:, None] == ids[None, :]] = -np.inf
-            n = min(wanted, len(ids))
-            top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            for own, query, table, first in zip(block_ids, block, scores, top):
-                first = first[np.isfinite(table[first])]
-                if not len(first):
-                    continue
-                exact = products(first, query)
-                error = exact - table[first]
-                last = np.partition(exact, -min(k, len(exact)))[-min(k, len(exact))]
-                bar = min(float(table[first].min()), last - error.mean() - ERRORS * error.std())
-                at = np.flatnonzero(table >= bar)
-                if len(at) > len(first):
-                    first, exact = at, products(at, query)
-                best_of = pick(exact, ids[first], k)
-                out.append((np.full(len(best_of), own), ids[first][best_of], exact[best_of]))
-        if not out:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        return tuple(np.concatenate(c) for c in zip(*out))
-
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    return best(search_blocks(asked, n_queries, grouped, groups, dim, [], search, "double"), k)
+    def encode(matrix: np.ndarray) -> np.ndarray:
+        return book.encode(matrix / scale) if matrix.shape[1] == dim else np.zeros((len(matrix), 0), dtype=np.uint8)
+
+    def search(q: Block, c: Block):
+        out: list[tuple] = [([], [], [])]
+        coded = q.vecs.shape[1] == dim and c.codes.shape[1] > 0
+        for at in range(0, len(q.ids), SCAN):
+            block = q.vecs[at : at + SCAN]
+            scores = book.scan(block / scale, c.codes) if coded else np.zeros((len(block), 1))
+            for own, query, table in zip(q.ids[at : at + SCAN], block, scores):
+                others = c.ids != own
+                found, exact = _scored(c.vecs, query, np.where(others, table, -np.inf), scale, wanted, k) if coded else (np.flatnonzero(others), None)
+                if exact is None:
+                    exact = products(c.vecs, found, query)
+                found, exact = found[~np.isnan(exact)], exact[~np.isnan(exact)]
+                best_of = pick(exact, c.ids[found], k)
+                out.append((np.full(len(best_of), own), c.ids[found][best_of], exact[best_of]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(groups)))
+    index = materialize(bundles(grouped, ["grp"], [], encode), "anisotropic-index")
+    asked = bundles(dealt_queries(once(rows.where(query_rows("id"))), blocks), ["blk"], [])
+    return best(search_blocks(asked.withColumn("grps", every(groups, "grps")), index.withColumn("blks", every(blocks, "blks")), [], search, "double"), k)
+
+
+def _scored(vecs: np.ndarray, query: np.ndarray, table: np.ndarray, scale: float, wanted: int, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which candidates to score exactly, by their table scores, and their products as far as they are known."""
+    n = min(wanted, len(table))
+    first = np.argpartition(-table, n - 1)[:n]
+    first = first[np.isfinite(table[first])]
+    if not len(first):
+        return first, None
+    exact = products(vecs, first, query)
+    worst = min(k, len(first))
+    last = np.partition(exact, -worst)[-worst]
+    if not 1e-290 < abs(last) < np.inf:
+        return np.flatnonzero(np.isfinite(table)), None
+    scaled = exact / scale / scale
+    error = scaled - table[first]
+    bar = min(float(table[first].min()), last / scale / scale - error.mean() - ERRORS * error.std())
+    more = np.flatnonzero(table >= bar)
+    return (more, None) if len(more) > len(first) else (first, exact)
 
 
 def op8_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import GROUP_ROWS, best, once, pick, search_blocks, usual_length, valid
+from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, once, pick, search_blocks, valid
 
 #: Vectors of a bucket; coordinates that coordinate pruning looks at; the local threshold from which it is used.
 BUCKET, FOCUS, COORDINATE_FROM = 1_024, 4, 0.4
+#: Sums of whole numbers below this are exact in doubles, whatever their order.
+EXACT = 2.0**53
 
 
 class Buckets:
     """The integer vectors of a group by descending length, in buckets, searched for one query after the other."""
 
     def __init__(self, ids: np.ndarray, vecs: np.ndarray):
-        norms = np.sqrt((vecs**2).sum(1))
+        with np.errstate(over="ignore"):
+            norms = np.sqrt((vecs**2).sum(1))
         order = np.argsort(-norms, kind="stable")
         self.ids, self.vecs, self.norms = ids[order], vecs[order], norms[order]
         self.unit = np.ascontiguousarray((self.vecs / np.maximum(self.norms, 1e-30)[:, None]).T)  # dimension, vector
@@ -30,7 +33,7 @@ class Buckets:
         The local threshold is the cosine that the longest vector of the bucket needs. Low ones prune little by
         direction, so the bucket is cut by length; high ones leave each coordinate of a unit vector an interval.
         """
-        if bar <= 0 or q_norm == 0:
+        if bar <= 0 or q_norm == 0 or not math.isfinite(q_norm * self.norms[begin]):
             return np.arange(begin, end)
         local = bar / (q_norm * max(self.norms[begin], 1e-30)) * (1 - 1e-9)
         if local > 1:
@@ -49,77 +52,100 @@ class Buckets:
 
     def search(self, own_id: int, query: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the k best, as far as they reach ``bar``, the k-th best known from elsewhere."""
-        q_norm = math.sqrt(float((query**2).sum()))
+        with np.errstate(over="ignore"):
+            q_norm = math.sqrt(float((query**2).sum()))
         direction = query / max(q_norm, 1e-30)
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for begin in range(0, len(self.ids), BUCKET):
             at = self.candidates(begin, min(begin + BUCKET, len(self.ids)), direction, q_norm, bar)
             if at is None:
                 break
             at = at[self.ids[at] != own_id]
-            products = self.vecs[at] @ query
+            products = whole_products(self.vecs[at], query, q_norm * self.norms[begin])
             near = products >= bar
             ids, scores = np.concatenate([ids, self.ids[at[near]]]), np.concatenate([scores, products[near]])
             top = pick(scores, ids, k)
             ids, scores = ids[top], scores[top]
             if len(scores) == k:
-                bar = max(bar, scores[-1])
+                bar = max(bar, float(scores[-1]) if abs(int(scores[-1])) < EXACT else float(scores[-1]) * (1 - 1e-12))
         return ids, scores
 
 
+def whole_products(vecs: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers, exactly; ``most`` bounds what all their terms sum to.
+
+    Beyond what doubles hold, with Python's integers. Products beyond 64 bits become the largest or smallest one.
+    """
+    if most < EXACT:
+        return (vecs @ query).astype(np.int64)
+    exact = [sum(int(a) * int(b) for a, b in zip(v, query)) for v in vecs.tolist()]
+    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], dtype=np.int64)
+
+
 def quantise(vectors: DataFrame, factor: int = 256) -> DataFrame:
-    """``(id, vec)`` with floor(factor * x) of every component, exact whole numbers in doubles."""
-    return vectors.select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(factor))).cast("double")).alias("vec"))
+    """``(id, vec)`` with floor(factor * x) of every component, whole numbers in doubles; vectors that overflow take no part."""
+    def whole(x):
+        y = x * F.lit(float(factor))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # from there on all doubles are whole
+
+    rows = vectors.select("id", F.transform("vec", whole).alias("vec"))
+    return rows.where(~F.exists("vec", lambda x: F.abs(x) == float("inf")))
 
 
 def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest products of whole-number vectors ``(id, vec)``, exactly.
 
-    Vectors are grouped by length, groups of a much repeated length are split. The longest group is searched
-    first; the k-th product found there is each query's bar for all other groups, where buckets are pruned by
-    their local cosine thresholds and what is left is verified by its product. Only what lies strictly below a
-    bar is pruned, so ties go to the smaller id. A query is no candidate of its own, nor are rows of the same
-    id. Vectors of another length than most rows have take no part. A query id that repeats is asked
-    once, with its smallest vector. Sums must stay below 2^53. Zero vectors
-    take part. An empty table gives an empty result; with fewer than k candidates all are returned.
+    Vectors are dealt into groups of about GROUP_ROWS by descending length, vectors of one length by a hash. The
+    longest group is searched first; the k-th product found there is each query's bar for all other groups. Queries
+    are dealt into blocks by the length that a vector needs to reach their bar; a block meets only the groups whose
+    longest vector has it. There buckets are pruned by their local cosine thresholds, and what is left is verified by
+    its product. Only what lies strictly below a bar is pruned, so ties go to the smaller id. A query is no candidate
+    of its own, nor are rows of the same id. Vectors of different lengths meet as if the shorter one had zeros at its
+    end. A query id that repeats is asked once, with its smallest vector. Zero vectors take part. An empty table
+    gives an empty result; with fewer than k candidates all are returned.
+
+    The driver gets two numbers for every group and every block.
     """
     rows = materialize(vectors.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))), "norms")
-    dim = usual_length(rows)
-    rows = rows.where(F.size("vec") == dim)
     total, n_queries = rows.agg(F.count("*"), F.count_if(query_rows("id"))).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    bands = max(1, math.ceil(total / GROUP_ROWS))
-    cuts = sorted(set(rows.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.2 / bands)), reverse=True) if bands > 1 else []
-    band = F.lit(0)
-    for cut in cuts:  # as many as there are groups
-        band = band + (F.col("norm") < cut).cast("int")
-    rows = rows.withColumn("band", band)
-    parts, groups = [], 0
-    for b, n in sorted((r[0], r[1]) for r in rows.groupBy("band").count().collect()):
-        split = math.ceil(n / GROUP_ROWS)
-        parts.append((b, groups, split))
-        groups += split
-    placed = rows.join(rows.sparkSession.createDataFrame(parts, "band int, first int, split int"), "band")
-    placed = placed.select("id", "vec", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("split"))).alias("grp"))
+    spark = rows.sparkSession
+
+    def search(q: Block, c: Block):
+        held = Buckets(c.ids, c.vecs)
+        bars = q.columns[0] if q.columns else np.full(len(q.ids), -np.inf)
+        found = [held.search(int(i), v, k, bar) for i, v, bar in zip(q.ids, q.vecs, bars)]
+        ids, scores = (np.concatenate(x) for x in zip(*found))
+        return np.repeat(q.ids, [len(s) for _, s in found]), ids, scores
+
+    groups = math.ceil(total / GROUP_ROWS)
+    placed = rows.repartitionByRange(groups, F.desc("norm"), F.xxhash64("id")) if groups > 1 else rows.coalesce(1)
+    placed = materialize(placed.withColumn("grp", F.spark_partition_id().cast("bigint")), "norm-groups")
+    tops = sorted((r[0], r[1]) for r in placed.groupBy("grp").agg(F.max("norm")).collect())  # by descending length
     asked = once(rows.where(query_rows("id")))
-
-    def search(q_ids, q_vecs, columns, ids, vecs):
-        held = Buckets(ids, vecs)
-        bars = columns[0] if columns else np.full(len(q_ids), -np.inf)
-        found = [held.search(int(i), q, k, bar) for i, q, bar in zip(q_ids, q_vecs, bars)]
-        ids_, scores = (np.concatenate(c) for c in zip(*found))
-        return np.repeat(q_ids, [len(s) for _, s in found]), ids_, scores.astype(np.int64)
-
-    longest = search_blocks(asked, n_queries, placed.where("grp = 0"), 1, dim, [], search, "bigint")
-    if groups == 1:
+    first = tops[0][0]
+    n_blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
+    blocks = bundles(dealt_queries(asked, n_blocks), ["blk"], []).withColumn("grps", F.array(F.lit(first)))
+    own = bundles(placed.where(F.col("grp") == first), ["grp"], []).withColumn("blks", every(n_blocks, "blks"))
+    longest = search_blocks(blocks, own, [], search, "bigint")
+    if len(tops) == 1:
         return best(longest, k)
     longest = materialize(longest, "longest")
-    bars = longest.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    bars = bars.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(None)).cast("double").alias("bar"))
+    bars = longest.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k)
+    bars = bars.select(F.col("query_id").alias("id"), F.col("low").cast("double").alias("bar"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     asked = asked.join(bars, "id", "left").select("id", "vec", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
-    others = placed.where("grp > 0").withColumn("grp", F.col("grp") - 1)
-    return best(longest.unionByName(search_blocks(asked, n_queries, others, groups - 1, dim, ["bar"], search, "bigint")), k)
+    # a length a little below what the bar asks for, so that rounding prunes nothing
+    need = F.when((F.col("bar") > 0) & (norm > 0) & (norm < float("inf")), F.col("bar") / norm * (1 - 1e-9)).otherwise(float("-inf"))
+    asked = asked.withColumn("need", need).repartitionByRange(n_blocks, "need", F.xxhash64("id")).withColumn("blk", F.spark_partition_id().cast("bigint"))
+    asked = materialize(asked, "norm-queries")
+    needs = sorted((r[0], r[1]) for r in asked.groupBy("blk").agg(F.min("need")).collect())  # by ascending need
+    seen = spark.createDataFrame([(b, [g for g, top in tops[1:] if top >= need]) for b, need in needs], "blk bigint, grps array<bigint>")
+    meets = spark.createDataFrame([(g, [b for b, need in needs if top >= need]) for g, top in tops[1:]], "grp bigint, blks array<bigint>")
+    blocks = bundles(asked.select("blk", "id", "vec", "bar"), ["blk"], ["bar"]).join(seen, "blk")
+    others = bundles(placed.where(F.col("grp") != first), ["grp"], []).join(meets, "grp")
+    return best(longest.unionByName(search_blocks(blocks, others, ["bar"], search, "bigint")), k)
 
 
 def op9_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

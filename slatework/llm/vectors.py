@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Candidates of one group and queries of one block; a task holds one of each.
@@ -23,75 +24,95 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad)
 
 
-def usual_length(rows: DataFrame) -> int:
-    """The length that most vectors of ``rows(id, vec)`` have, the larger of equals; 0 without any."""
-    row = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return row["size"] if row else 0
-
-
 def once(queries: DataFrame) -> DataFrame:
     """A row of each id, with the smallest of its vectors, so that none is asked twice."""
     return queries.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def bundles(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows ``(key..., id, vec, column...)`` gathered by task: a row per up to BUNDLE of them with equal keys.
+def bundles(rows: DataFrame, keys: list[str], columns: list[str], encode: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows ``(key..., id, vec, column...)`` gathered by task: a row per up to BUNDLE of them with equal keys and lengths.
 
-    ids, vecs and the numeric columns become binary arrays: bigint, double matrix by rows, and doubles.
+    ids, vecs, codes and the numeric columns become binary arrays: bigint, double matrix by rows of ``dim``, what
+    ``encode`` makes of the matrix, and doubles.
     """
-    names = keys + ["ids", "vecs"] + columns
-    schema = ", ".join([f"{k} bigint" for k in keys] + [f"{c} binary" for c in names[len(keys) :]])
+    names = keys + ["dim", "ids", "vecs", "codes"] + columns
+    schema = ", ".join([f"{k} bigint" for k in [*keys, "dim"]] + [f"{c} binary" for c in names[len(keys) + 1 :]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
-            for key, group in frame.groupby(keys, sort=True) if keys else [((), frame)]:
+            frame["dim"] = frame["vec"].map(len)
+            for key, group in frame.groupby([*keys, "dim"], sort=True):
                 for at in range(0, len(group), BUNDLE):
                     part = group.iloc[at : at + BUNDLE]
+                    matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
                     values = [[int(k)] for k in key]
-                    values += [[part["id"].to_numpy(np.int64).tobytes()], [np.stack(part["vec"].to_numpy()).astype(np.float64).tobytes()]]
+                    values += [[part["id"].to_numpy(np.int64).tobytes()], [matrix.tobytes()], [b"" if encode is None else encode(matrix).tobytes()]]
                     values += [[part[c].to_numpy(np.float64).tobytes()] for c in columns]
-                    yield pa.record_batch([pa.array(v, pa.int64() if i < len(keys) else pa.binary()) for i, v in enumerate(values)], names=names)
+                    yield pa.record_batch([pa.array(v, pa.int64() if i <= len(keys) else pa.binary()) for i, v in enumerate(values)], names=names)
 
     select = [F.col(k).cast("bigint").alias(k) for k in keys] + ["id", "vec"] + columns
     return rows.select(*select).mapInArrow(run, schema)
 
 
-def unbundle(frame: pd.DataFrame, dim: int, columns: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All ids, the matrix of all vectors, and the columns, of bundled rows."""
-    def joined(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, dtype=kind) for x in frame[name]]) if len(frame) else np.zeros(0, dtype=kind)
+class Block(NamedTuple):
+    """Bundled rows of one length: ids, the matrix of vectors, their codes as bytes, and the columns."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    codes: np.ndarray
+    columns: list[np.ndarray]
+
+
+def by_length(frame: pd.DataFrame, columns: list[str]) -> list[Block]:
+    """The bundles of a task as one block for each length of vectors."""
+    out = []
+    for dim, own in frame.groupby("dim"):
+        def joined(name: str, kind: type, own: pd.DataFrame = own) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, dtype=kind) for x in own[name]])
 
-    return joined("ids", np.int64), joined("vecs", np.float64).reshape(-1, dim), [joined(c, np.float64) for c in columns]
+        ids = joined("ids", np.int64)
+        out.append(Block(ids, joined("vecs", np.float64).reshape(-1, dim), joined("codes", np.uint8).reshape(len(ids), -1), [joined(c, np.float64) for c in columns]))
+    return out
 
 
-Search = Callable[[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Search = Callable[[Block, Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def search_blocks(queries: DataFrame, n_queries: int, candidates: DataFrame, n_groups: int, dim: int, columns: list[str], search: Search, score: str) -> DataFrame:
+def dealt_queries(queries: DataFrame, blocks: int) -> DataFrame:
+    """Queries with ``blk``, dealt by their hash."""
+    return queries.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint"))
+
+
+def search_blocks(queries: DataFrame, candidates: DataFrame, columns: list[str], search: Search, score: str) -> DataFrame:
     """``(query_id, vec_id, score)``: what ``search`` finds for each block of queries in each group of candidates.
 
-    ``queries(id, vec, column...)`` are dealt into blocks of about QUERY_ROWS and ``candidates(grp, id, vec)``
-    come in groups; every block meets every group in one task, so memory is bound by the two. Both travel as
-    bundles of rows. ``search`` gets the queries' ids, vectors and columns and the candidates' ids and vectors.
+    ``queries`` are bundles with ``blk`` and ``grps``, the groups that they have to see, and ``candidates`` are
+    bundles with ``grp`` and ``blks``; every block meets every group of its list in one task, so memory is bound by the
+    two. Vectors of different lengths meet as if the shorter one had zeros at its end: ``search`` gets, for each pair
+    of lengths, both blocks cut to the shorter one.
     """
-    blocks = max(1, -(-n_queries // QUERY_ROWS))
-    asked = bundles(queries.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))), ["blk"], columns)
-    asked = asked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("grp", F.col("grp").cast("bigint"))
-    held = bundles(candidates, ["grp"], [])
-    held = held.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("blk", F.col("blk").cast("bigint"))
+    asked = queries.withColumn("grp", F.explode("grps")).drop("grps")
+    held = candidates.withColumn("blk", F.explode("blks")).drop("blks")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q_ids, q_vecs, q_columns = unbundle(left, dim, columns)
-        ids, vecs, _ = unbundle(right, dim, [])
-        if not len(q_ids) or not len(ids):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = search(q_ids, q_vecs, q_columns, ids, vecs)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+        found = [([], [], [])]
+        for q in by_length(left, columns):
+            for c in by_length(right, []):
+                dim = min(q.vecs.shape[1], c.vecs.shape[1])
+                cut = [b if b.vecs.shape[1] == dim else b._replace(vecs=np.ascontiguousarray(b.vecs[:, :dim]), codes=b.codes[:, :0]) for b in (q, c)]
+                found.append(search(*cut))
+        q, v, s = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(np.int64 if score == "bigint" else np.float64)})
 
     return asked.groupBy("grp", "blk").cogroup(held.groupBy("grp", "blk")).applyInPandas(run, f"query_id bigint, vec_id bigint, score {score}")
 
 
+def every(n: int, name: str) -> Column:
+    """All numbers below ``n``, as the list of a bundle."""
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")).alias(name)
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller id, with their rank from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

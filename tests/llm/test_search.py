@@ -46,11 +46,9 @@ def test_nearest_finds_nearly_all(spark):
 
 def test_exact_top_k(spark, monkeypatch):
     import slatework.llm.normbuckets as nb
-    import slatework.llm.vectors as v
 
     monkeypatch.setattr(nb, "GROUP_ROWS", 60)
-    monkeypatch.setattr(nb, "BUCKET", 16)
-    monkeypatch.setattr(v, "QUERY_ROWS", 4)
+    monkeypatch.setattr(nb, "QUERY_ROWS", 4)
     x, table = vectors(spark)
     got = exact_top_k(quantise(valid(table)), lambda c: F.col(c) % 50 == 0).toPandas()
     whole = np.vstack([np.floor(x * 256), np.zeros((1, 16))]).astype(int)
@@ -181,12 +179,46 @@ def test_nearest_among_many_equal_and_nearly_equal_vectors(spark):
     assert len(hits) == 80 and np.mean(hits) >= 0.98 and min(hits) >= 0.8 and equal >= 60, (np.mean(hits), min(hits), equal)
 
 
-def test_searches_take_the_usual_length_and_ask_repeated_ids_once(spark):
+def test_searches_take_all_lengths_and_ask_repeated_ids_once(spark, monkeypatch):
+    import slatework.llm.normbuckets as nb
+
+    monkeypatch.setattr(nb, "GROUP_ROWS", 100)
     x, table = vectors(spark)
-    odd = [(900 + i, [9.0] * 17, 0.0, "x") for i in range(3)] + [(100, [float(f) for f in x[100]], 0.5, "x")]
+    odd = [(900 + i, [2.0] * 17, 0.0, "x") for i in range(3)] + [(100, [float(f) for f in x[100]], 0.5, "x"), (1000, [1.0] * 5, 0.0, "x")]
     more = table.unionByName(spark.createDataFrame(odd, table.schema))
-    for got, k, every in ((nearest(more, lambda c: F.col(c) % 20 == 0, rerank=60), 20, 20), (exact_top_k(quantise(valid(more)), lambda c: F.col(c) % 50 == 0), 5, 50)):
+    ids = np.array([*range(400), 900, 901, 902, 1000])
+    padded = np.zeros((404, 17))
+    padded[:400, :16], padded[400:403], padded[403, :5] = x, 2.0, 1.0
+    for got, k, every, all_ids, values in (
+        (nearest(more, lambda c: F.col(c) % 20 == 0, rerank=60), 20, 20, ids, padded),
+        (exact_top_k(quantise(valid(more)), lambda c: F.col(c) % 50 == 0), 5, 50, np.append(ids, 403), np.vstack([np.floor(padded * 256), np.zeros((1, 17))])),
+    ):
         rows = got.toPandas()
-        assert set(rows.query_id) == set(range(0, 400, every)) and not set(rows.vec_id) & {900, 901, 902}
-        own = rows[rows.query_id == 100]
-        assert len(own) == k and own.vec_id.nunique() == k
+        queries = [int(i) for i in all_ids if i % every == 0]
+        want = truth(all_ids, values, queries, k)
+        assert set(rows.query_id) == set(queries)
+        hits = 0
+        for q, own in rows.groupby("query_id"):
+            assert len(own) == k and (q != 100 or own.vec_id.nunique() == k)
+            hits += len(set(own.vec_id) & {i for i, _ in want[q]})
+            if k == 5 and 100 not in set(own.vec_id):  # a row that repeats is found twice
+                assert [(r.vec_id, r.score) for r in own.sort_values("rank").itertuples()] == want[q]
+        assert hits >= 0.95 * k * len(queries) and {900, 901, 902} & set(rows.vec_id)
+
+
+def test_searches_take_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(2)
+    for scale in (1e200, 1e-170, 1e15):
+        x = rng.normal(size=(60, 8)) * scale
+        table = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        got = nearest(table, lambda c: F.col(c) % 20 == 0).toPandas()
+        for q, own in got.groupby("query_id"):
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = (x * x[q]).sum(1)
+            order = [i for i in np.lexsort((np.arange(60), -s)) if i != q and not np.isnan(s[i])][:20]
+            assert list(own.sort_values("rank").vec_id) == order
+        exact = exact_top_k(quantise(valid(table)), lambda c: F.col(c) % 50 == 0).toPandas()
+        whole = [[int(np.floor(256 * f)) for f in v] for v in x]
+        for q, own in exact.groupby("query_id"):
+            s = [min(max(sum(a * b for a, b in zip(v, whole[q])), -(1 << 63)), (1 << 63) - 1) for v in whole]
+            assert list(own.sort_values("rank").vec_id) == sorted((i for i in range(60) if i != q), key=lambda i: (-s[i], i))[:5], scale
