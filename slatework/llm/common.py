@@ -20,14 +20,15 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all machines share: ``spark.checkpoint.dir``; where that is unset, a temporary one of a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-slatework-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
     return _OWN_DIRS[app]
 
 
@@ -39,12 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"{shared_dir(spark)}/slatework/".replace("file:///", "file:/")
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            if folder.replace("file:///", "file:/").startswith(own):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pack(value: object, level: int = 3) -> bytes:
@@ -118,36 +122,60 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges that one task contracts by itself.
+TASK_EDGES = 1_000_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: every node with the smallest one that these edges connect it to."""
+    parent: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        root = n
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[n] != root:
+            parent[n], n = root, parent[n]
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            parent[max(u, v)] = min(u, v)
+    stars = [(find(n), n) for n in parent if find(n) != n]
+    yield pa.record_batch([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges ``(u, v)``, u < v, that connect the same nodes; tasks contract up to TASK_EDGES of them each."""
+    tasks = max(1, -(-edges.count() // TASK_EDGES))
+    return materialize(edges.select("u", "v").coalesce(tasks).mapInArrow(_contract, "u bigint, v bigint"), "edges")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root the smallest node.
 
-    Alternating large-star and small-star steps; every step is a grouped minimum (combined before the
-    shuffle) joined back to the edges, so that a node with very many neighbours is split like any skewed
-    join key. Loops (u = v) and repeated edges do no harm; an empty table gives an empty result.
+    Tasks contract their edges to stars; where stars of different tasks share nodes, large-star and small-star steps
+    follow, each a grouped minimum (combined before the shuffle) joined back to the edges, so that a node with very many
+    neighbours is split like any skewed join key. Then tasks contract again, until every node has one root that has
+    none. Loops (u = v) and repeated edges do no harm; an empty table gives an empty result.
     """
-    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    edges = edges.checkpoint()
-    mark = _mark(edges)
+    given = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v"), "edges")
+    edges = contracted(given)
+    discard(given)
     for _ in range(max_rounds):
-        if not mark[0]:
+        twice = edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+        if twice.isEmpty() and edges.select("u").distinct().join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low.checkpoint(), "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct().checkpoint()
-        low = large.groupBy("v").agg(F.min("u").alias("m")).checkpoint()
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "edges")
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("v"))
-        edges = small.select(F.col("m").alias("u"), "v").where("u <> v").distinct().checkpoint()
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
+        stars = materialize(small.select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "edges")
+        discard(edges, large)
+        edges = contracted(stars)
+        discard(stars)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.groupBy("v").agg(F.min("u").alias("root"))
-    return roots.select(F.col("v").alias("node"), "root").unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of edges; equal sets have equal ones."""
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return (row[0], row[1])
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -9,10 +10,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialize
+from .common import bounded_batches, components, discard, materialize
 
 #: A block with more fingerprints than this isn't joined with itself; its fingerprints meet on their one-bit variants.
 PAIR_BLOCK = 48
@@ -112,6 +113,8 @@ FAR_BITS = 72
 SMALL_BLOCK = 8
 #: Shingle hashes of the documents that a task compares all with all, or with as many others.
 TILE_HASHES = 1_000_000
+#: Bits of the filter that keeps other texts from being shuffled when some are looked up.
+FILTER_BITS = 1 << 22
 #: Documents are near copies if they share this much of their distinct shingles of so many words.
 SIMILARITY, SHINGLE = 0.8, 5
 #: Multipliers that order a document's shingles anew for each minimum, and those that make a key of ROWS minima.
@@ -158,8 +161,20 @@ def text_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def may_hold(ids: DataFrame, column: Column) -> Column:
+    """False for most values that are not among ``ids(id)``: a bitmap of FILTER_BITS bits, whatever their number."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    found = ids.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for byte, bits in found.collect():  # a number for each byte of the bitmap at most
+        bitmap[byte] = bits
+    own = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    value = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (F.shiftright(own, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(value, (own % 8).cast("int")) == 1
+
+
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(rep, hashes)`` of the texts ``wanted(rep, id, key)``, from ``rows(id, text)``."""
+    """``(rep, hashes)`` of the texts ``wanted(rep, id, key)``, from ``rows(id, text)``; few other texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +185,8 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 found.append(shingle_hashes(words, SHINGLE).tobytes())
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "hashes"])
 
-    texts = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(run, "key binary, hashes binary")
+    ids = wanted.select("id").distinct()
+    texts = rows.where(may_hold(ids, F.col("id"))).join(ids, "id", "left_semi").select("text").mapInArrow(run, "key binary, hashes binary")
     return texts.join(wanted.select("rep", "key"), "key").select("rep", "hashes").dropDuplicates(["rep"])
 
 
@@ -189,7 +205,9 @@ def similar(links: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
     own = materialize(_sets(rows, classes.join(ends, "rep", "left_semi")), "copies-shingles")
     near = links.join(own.select(F.col("rep").alias("u"), F.col("hashes").alias("a")), "u").join(own.select(F.col("rep").alias("v"), F.col("hashes").alias("b")), "v")
-    return near.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint")
+    near = materialize(near.select("u", "v", "a", "b").mapInArrow(verify, "u bigint, v bigint"), "copies-near")
+    discard(own)
+    return near
 
 
 def compare_all(reps: np.ndarray, roots: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -258,10 +276,11 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ROWS minimum hashes each: a pair at a similarity of 0.8 is in no common block 7 times in a million, closer ones
     more rarely. The Hamming distance of PRINTS SimHashes is a cheap filter; similarity is then verified from whole texts.
 
-    All of a block are compared with one of them, the same one in as many blocks as possible. A block that is one
-    component after that needs no further look. In any other, all pairs of different components are compared: blocks of up
-    to SMALL_BLOCK by a join, and larger ones, with all that they share documents with, in tiles (_links_in_groups).
-    The smallest id of a component stays. Texts without words are only copies of each other.
+    All of a block are compared with one of them, the same one in as many blocks as possible. A block of two, or one
+    that is one component after that, needs no further look. In any other, all pairs of different components are
+    compared: blocks of up to SMALL_BLOCK by a join, and larger ones, with all that they share documents with, in tiles
+    (_links_in_groups). The smallest id of a component stays. Texts without words are only copies of each other; very
+    long texts count with all their shingles; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,53 +304,51 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialize(rows.mapInArrow(run, f"{fields}, keys array<bigint>, key binary"), "copies-prints")
     reps = prints.groupBy("key").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in [*names, "size", "keys"]])
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "copies-classes")  # written, so that numbers stay
+    whose = reps.select("rep", "id", "key")
     keyed = reps.select("rep", F.posexplode("keys").alias("k", "block"))
-    turn = F.xxhash64("rep")
-    sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n"), F.min_by("rep", turn).alias("one")).where("n > 1")
-    blocks = materialize(keyed.join(materialize(sizes, "copies-sizes"), ["k", "block"]), "copies-blocks")
-    found = spark.createDataFrame([], "u bigint, v bigint")
-    roots = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("one")).where("n > 1")
+    blocks = materialize(keyed.join(sizes, ["k", "block"]), "copies-blocks")
 
     def close(pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs whose SimHashes are near enough to be compared."""
         for end in ("u", "v"):
             pairs = pairs.join(reps.select(F.col("rep").alias(end), *[F.col(n).alias(f"{end}{n}") for n in names]), end)
         far = sum((F.bit_count(F.col(f"u{n}").bitwiseXOR(F.col(f"v{n}"))) for n in names), F.lit(0))
-        return materialize(pairs.select("u", "v", far.alias("far")).where(F.col("far") <= FAR_BITS), "copies-links")
-
-    def open_blocks() -> DataFrame:
-        """Members of the blocks that are not one component yet, with their roots."""
-        own = blocks.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "block", "n", "rep", F.coalesce("root", "rep").alias("root"))
-        apart = own.groupBy("k", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return materialize(own.join(apart.select("k", "block"), ["k", "block"]), "copies-open")
+        return materialize(pairs.where(far <= FAR_BITS).select("u", "v"), "copies-links")
 
     links = close(blocks.where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v")).distinct())
-    # the closest partner of each first; what that joins needs no further look
-    first = links.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
-    rest = links.select("u", "v").join(first, ["u", "v"], "left_anti")
-    for turn_links in (first, rest, None):
-        if turn_links is None:
-            small = open_blocks().where(F.col("n") <= SMALL_BLOCK).select("k", "block", "rep", "root")
-            other = small.select("k", "block", F.col("rep").alias("v"), F.col("root").alias("root2"))
-            pairs = small.join(other, ["k", "block"]).where("rep < v and root <> root2").select(F.col("rep").alias("u"), "v").distinct()
-            turn_links = close(pairs.join(links, ["u", "v"], "left_anti")).select("u", "v")
-        part = materialize(_apart(turn_links, roots, "u", "v"), "copies-pairs")
-        if part.isEmpty():
-            continue
-        near = materialize(similar(part, rows, reps.select("rep", "id", "key")), "copies-near")
-        if not near.isEmpty():
-            found = found.unionByName(near)
-            roots = materialize(components(found), "copies-roots")
-    large = open_blocks().where(F.col("n") > SMALL_BLOCK)
+    roots = materialize(components(similar(links, rows, whose)), "copies-roots")
+
+    # members of the blocks that hold pairs not compared yet and are not one component
+    own = blocks.where("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "block", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    apart = own.groupBy("k", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    still = materialize(own.join(apart.select("k", "block"), ["k", "block"]), "copies-open")
+    small = still.where(F.col("n") <= SMALL_BLOCK).select("k", "block", "rep", "root")
+    other = small.select("k", "block", F.col("rep").alias("v"), F.col("root").alias("root2"))
+    pairs = small.join(other, ["k", "block"]).where("rep < v and root <> root2").select(F.col("rep").alias("u"), "v").distinct()
+    pairs = close(pairs.join(links, ["u", "v"], "left_anti"))
+    found = [similar(pairs, rows, whose)]
+    large = still.where(F.col("n") > SMALL_BLOCK)
     if not large.isEmpty():
         hubs = large.groupBy("k", "block").agg(F.min("rep").alias("u"))
         groups = components(large.join(hubs, ["k", "block"]).select("u", F.col("rep").alias("v")).distinct())
         members = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(large.select("rep", "root").distinct(), "rep")
         members = materialize(members.join(reps.select("rep", "size", *names), "rep"), "copies-members")
-        sets = materialize(_sets(rows, reps.select("rep", "id", "key").join(members.select("rep"), "rep", "left_semi")), "copies-sets")
-        found = found.unionByName(materialize(_links_in_groups(members, sets, names), "copies-tiles"))
-        roots = materialize(components(found), "copies-roots")
-    owned = reps.select("rep", "id", "key").join(roots, reps.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
+        sets = materialize(_sets(rows, whose.join(members.select("rep"), "rep", "left_semi")), "copies-sets")
+        found.append(materialize(_links_in_groups(members, sets, names), "copies-tiles"))
+        discard(members, sets)
+    # components of components: links between the roots that there were
+    more = functools.reduce(DataFrame.unionByName, found)
+    if not more.isEmpty():
+        for end in ("u", "v"):
+            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+        upper = components(more.select("u", "v")).select(F.col("node").alias("lower"), F.col("root").alias("upper"))
+        below = roots.withColumnRenamed("root", "lower").join(upper, "lower", "left").select("node", F.coalesce("upper", "lower").alias("root"))
+        alone = upper.join(roots, F.col("lower") == F.col("node"), "left_anti").select(F.col("lower").alias("node"), F.col("upper").alias("root"))
+        roots = materialize(below.unionByName(alone), "copies-roots")
+    owned = whose.join(roots, whose.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
     owned = materialize(owned.groupBy("root").agg(F.min(F.struct("id", "key")).alias("one")).select("one.id", "one.key"), "copies-kept")
+    discard(reps, blocks, links, still, pairs, *found, roots)
     return prints.select("id", "key").join(owned.withColumn("keep", F.lit(True)), ["id", "key"], "left").select("id", "key", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
@@ -340,14 +357,6 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame, one: str, two: str) -> DataFrame:
-    """The rows of ``pairs`` whose two ends lie in different components of ``roots(node, root)``; an end without one is its own."""
-    for end in (one, two):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
-    same = F.coalesce(f"_{one}", one) == F.coalesce(f"_{two}", two)
-    return pairs.where(~same).select(one, two)
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: the smallest id of each group stays, once if rows repeat.
 
