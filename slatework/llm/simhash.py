@@ -164,13 +164,17 @@ def text_key(words: list[bytes]) -> bytes:
 def may_hold(ids: DataFrame, column: Column) -> Column:
     """False for most values that are not among ``ids(id)``: a bitmap of FILTER_BITS bits, whatever their number."""
     at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    found = ids.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for byte, bits in found.collect():  # a number for each byte of the bitmap at most
-        bitmap[byte] = bits
-    own = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    value = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (F.shiftright(own, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(value, (own % 8).cast("int")) == 1
+    found = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    words = found.toPandas()  # a number for each word of the bitmap at most
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        own = at.to_numpy(np.int64)
+        return pd.Series(bitmap[own >> 6] >> (own & 63) & 1 == 1)
+
+    return held(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
