@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = ("ftr", "sldNum", "hdr", "dt")
 
 
-def exclude(lines: DataFrame, ratio: float = 0.9, min_len: int = 2) -> DataFrame:
+def exclude(lines: DataFrame, ratio: float = 0.9, min_len: int = 2, fixed: DataFrame | None = None) -> DataFrame:
     """``lines(deck, page_key, seq, text, ph)`` without blank ones, with the reason that excludes a line or null.
 
-    First match: a placeholder; a text on ``ratio`` of its deck's pages or more (decks of two pages and more); a
-    text shorter than ``min_len``. Pages of a text are counted distinct in two steps, so a text of very many
+    First match: a placeholder; a text of ``fixed(deck, text)``, those of a deck's masters and layouts; a text on
+    ``ratio`` of its deck's pages or more (decks of two pages and more); a text shorter than ``min_len``. Pages of a text are counted distinct in two steps, so a text of very many
     lines is summed before it meets others; the join back is on the text, which Spark splits if it is skewed.
     """
     rows = lines.where(F.col("text") != "")
     pages = rows.groupBy("deck", "text", "page_key").agg(F.lit(1).alias("one")).groupBy("deck", "text").agg(F.count("*").alias("on_pages"))
     total = rows.groupBy("deck", "page_key").agg(F.lit(1).alias("one")).groupBy("deck").agg(F.count("*").alias("pages"))
     spread = pages.join(total, "deck").where((F.col("pages") >= 2) & (F.col("on_pages") >= ratio * F.col("pages"))).select("deck", "text", F.lit(True).alias("wide"))
-    reason = (
-        F.when(F.col("ph").isin(*PLACEHOLDERS), "placeholder").when(F.col("wide"), "global").when(F.length("text") < min_len, "short")
-    )
+    same = F.lit(False)
+    if fixed is not None:
+        rows, same = rows.join(fixed.select("deck", "text", F.lit(True).alias("same")).distinct(), ["deck", "text"], "left"), F.col("same")
+    reason = F.when(F.col("ph").isin(*PLACEHOLDERS), "placeholder").when(same, "fixed").when(F.col("wide"), "global").when(F.length("text") < min_len, "short")
     return rows.join(spread, ["deck", "text"], "left").select("deck", "page_key", "seq", "text", "ph", reason.alias("reason"))
 
 

@@ -8,6 +8,7 @@ from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
+from . import packages
 from ..sources.carriers import LINES_SQL, OBJECTS_SQL, conversation_pages, lines, objects, table
 
 WORDS = {"english": ["the", "and", "thing"], "french": ["le ", "de ", "que"], "german": ["der", "ein", "ung"]}
@@ -193,3 +194,6 @@ ORACLE_SQL = {
     "text_subject_keywords": "with h as (select doc_id, " + ", ".join("+".join(f"cast(contains(text, '{k}') as bigint)" for k in words) + f" {name}" for name, words in WORDS.items()) + """ from documents),
  b as (select *, greatest(english, french, german) hits from h) select doc_id, case when hits = 0 then 'other' when english = hits then 'english' when french = hits then 'french' else 'german' end subject, hits from b""",
 }
+
+QUERIES |= packages.QUERIES
+ORACLE_SQL |= packages.ORACLE_SQL

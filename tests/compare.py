@@ -40,7 +40,7 @@ def given(df: DataFrame) -> tuple[list[str], list[str]]:
 if __name__ == "__main__":
     import __spark_entry__
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     sql, folder = __spark_entry__.oracle_sql(), sys.argv[1]
     for name, query in __spark_entry__.queries().items():
