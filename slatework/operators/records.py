@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,15 +63,10 @@ def reasons(relevant: DataFrame) -> DataFrame:
 
 
 def merge_previous(fresh: DataFrame, previous: DataFrame, key: str, value: str) -> DataFrame:
-    """Fresh rows with the previous value where there is one; ``reused`` tells which."""
-    old = previous.select(key, F.col(value).alias("_old"))
-    rows = fresh.join(old, key, "left")
-    return rows.select(key, F.coalesce(F.col("_old"), F.col(value)).alias(value), F.col("_old").isNotNull().alias("reused"))
-
-
-def json_in_prose(text: Column) -> Column:
-    """The text from the first brace to the last as JSON; null where there is none."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+    """Fresh rows with the previous value where there is one that isn't empty; ``reused`` tells which."""
+    old = F.col("_old") if dict(previous.dtypes)[value] != "string" else F.nullif(F.trim("_old"), F.lit(""))
+    rows = fresh.join(previous.select(key, F.col(value).alias("_old")), key, "left")
+    return rows.select(key, F.coalesce(old, F.col(value)).alias(value), old.isNotNull().alias("reused"))
 
 
 def tag_histogram(pages: DataFrame, most: int = 12) -> DataFrame:

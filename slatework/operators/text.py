@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 
 #: Placeholders that are never text.
 PLACEHOLDERS = ("ftr", "sldNum", "hdr", "dt")
+#: Words that speak for a subject, in the order that decides between equals, and the subject without any.
+SUBJECTS = {
+    "电子信息工程/电子技术": ["放大电路", "电阻", "电容", "晶体管", "运放", "放大器", "信号", "频率", "半导体", "波形", "电流", "电压", "反馈", "振荡", "滤波", "二极管", "场效应", "共射", "静态工作点", "偏置"],
+    "数学": ["函数", "导数", "积分", "方程", "矩阵", "概率", "极限", "微分", "级数", "向量", "几何"],
+    "物理学": ["力学", "电场", "磁场", "量子", "热学", "光学", "电磁感应", "牛顿", "能量守恒", "波动"],
+    "计算机科学与技术": ["算法", "数据结构", "操作系统", "编程", "数据库", "网络协议", "编译器", "进程", "线程", "机器学习"],
+    "自动控制": ["控制系统", "传递函数", "稳定性", "闭环", "开环", "PID", "状态空间", "根轨迹", "频域"],
+    "经济学": ["需求", "供给", "市场", "价格", "成本", "利润", "GDP", "货币", "投资", "汇率"],
+}
+NO_SUBJECT = "相关专业"
 
 
 def exclude(lines: DataFrame, ratio: float = 0.9, min_len: int = 2, fixed: DataFrame | None = None) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
-from . import packages
+from . import packages, readers
 from ..sources.carriers import LINES_SQL, OBJECTS_SQL, conversation_pages, lines, objects, table
 
 WORDS = {"english": ["the", "and", "thing"], "french": ["le ", "de ", "que"], "german": ["der", "ein", "ung"]}
@@ -83,7 +84,7 @@ QUERIES = {
     "cap_relevance_default": lambda s, d: rc.relevance(_docs(s, d), table(s, d, "labels")),
     "cap_relevance_reasons": lambda s, d: rc.reasons(rc.relevance(_docs(s, d), table(s, d, "labels"))),
     "merge_prev": lambda s, d: rc.merge_previous(_docs(s, d).select("doc_id", F.lit(-1).alias("quality")), table(s, d, "labels"), "doc_id", "quality"),
-    "json_repair": lambda s, d: table(s, d, "events").select("event_id", F.try_variant_get(rc.json_in_prose(F.concat(F.lit("Answer: "), "props", F.lit(" (end)"))), "$.k", "bigint").alias("k")),
+    "json_repair": lambda s, d: table(s, d, "events").select("event_id", F.try_variant_get(fn.json_in_prose(F.concat(F.lit("Answer: "), "props", F.lit(" (end)"))), "$.k", "bigint").alias("k")),
     "xml_histogram": lambda s, d: rc.tag_histogram(table(s, d, "pages")),
     "del_exclusive": lambda s, d: rc.exclusive_links(table(s, d, "pages")),
     "state_plan": lambda s, d: rc.state_plan(_log(s, d)),
@@ -195,5 +196,6 @@ ORACLE_SQL = {
  b as (select *, greatest(english, french, german) hits from h) select doc_id, case when hits = 0 then 'other' when english = hits then 'english' when french = hits then 'french' else 'german' end subject, hits from b""",
 }
 
-QUERIES |= packages.QUERIES
-ORACLE_SQL |= packages.ORACLE_SQL
+for module in (packages, readers):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
