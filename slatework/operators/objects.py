@@ -48,41 +48,60 @@ def visible(objects: DataFrame) -> DataFrame:
     return kept.where(cx.between(0, PAGE_W) & cy.between(0, PAGE_H))
 
 
+def last_pages(objects: DataFrame) -> DataFrame:
+    return objects.groupBy("deck_id").agg(F.max("page").alias("last"))
+
+
+def is_cover() -> Column:
+    """The first and the last page of a deck of two pages and more."""
+    return (F.col("last") >= 2) & ((F.col("page") == 1) | (F.col("page") == F.col("last")))
+
+
 def covers(objects: DataFrame) -> DataFrame:
     """Pages of each deck: ``is_cover`` for the first and the last of decks of two pages and more."""
-    pages = objects.select(*PAGE).distinct()
-    last = pages.groupBy("deck_id").agg(F.max("page").alias("last"))
-    cover = (F.col("last") >= 2) & F.col("page").isin(1) | (F.col("last") >= 2) & (F.col("page") == F.col("last"))
-    return pages.join(last, "deck_id").select(*PAGE, cover.alias("is_cover"))
+    return objects.select(*PAGE).distinct().join(last_pages(objects), "deck_id").select(*PAGE, is_cover().alias("is_cover"))
 
 
 def body(objects: DataFrame) -> DataFrame:
     """Visible objects on pages that aren't covers."""
-    return visible(objects).join(covers(objects).where("not is_cover").select(*PAGE), PAGE)
+    return visible(objects).join(last_pages(objects), "deck_id").where(~is_cover()).drop("last")
 
 
-def seeds(objects: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
-    """Objects that start a block, numbered in z order; the first ``most`` of a page."""
+FIELDS = ("z_index", "kind", "x", "y", "w", "h", "text")
+
+
+def page_arrays(objects: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """A row a page: the objects that start a block, the first ``most`` in z order, and the shapes with text.
+
+    Seeds and what they absorb come from one grouping of the page's objects, so the objects are read once.
+    """
     big = (F.col("kind") != "raster") | (F.col("w") * F.col("h") >= SEED_SHARE * PAGE_W * PAGE_H)
     fit = F.col("kind").isin("group", "visio") | (F.col("kind").isin("vector", "raster") & (F.col("preview_of") == "") & big)
-    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("z_index"))
-    numbered = body(objects).where(fit).withColumn("n", n).where(F.col("n") <= most)
-    return numbered.withColumn("block_id", F.format_string("blk_%02d", "n")).drop("n")
+    shape = (F.col("kind") == "shape") & (F.trim("text") != "")
+    held = lambda which: F.array_sort(F.collect_list(F.when(which, F.struct(*FIELDS))))
+    rows = body(objects).where(fit | shape).groupBy(*PAGE).agg(held(fit).alias("starts"), held(shape).alias("shapes"))
+    return rows.select(*PAGE, F.slice("starts", 1, most).alias("starts"), "shapes")
 
 
-def members(objects: DataFrame) -> DataFrame:
-    """Seeds and the shapes with text that they absorb: a raster takes those whose centre lies in it, edges included.
+def _block_id(place: Column) -> Column:
+    return F.format_string("blk_%02d", place + 1)
 
-    The page is the join's key; the containment is a condition on its pairs.
-    """
-    start = seeds(objects)
-    cx, cy = centre()
-    shapes = body(objects).where((F.col("kind") == "shape") & (F.trim("text") != ""))
-    shapes = shapes.select(*PAGE, *[F.col(c).alias(f"m_{c}") for c in ("z_index", "kind", "x", "y", "w", "h", "text")], cx.alias("cx"), cy.alias("cy"))
-    inside = F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))
-    taken = start.where("kind = 'raster'").join(shapes, PAGE).where(inside)
-    own = start.select(*PAGE, "block_id", F.lit(0).alias("ord"), "z_index", "kind", "x", "y", "w", "h", "text")
-    return own.unionByName(taken.select(*PAGE, "block_id", F.lit(1).alias("ord"), *[F.col(f"m_{c}").alias(c) for c in ("z_index", "kind", "x", "y", "w", "h", "text")]))
+
+def seeds(objects: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
+    """Objects that start a block, numbered in z order; the first ``most`` of a page."""
+    rows = page_arrays(objects, most).select(*PAGE, F.posexplode("starts").alias("place", "o"))
+    return rows.select(*PAGE, *[F.col(f"o.{c}").alias(c) for c in FIELDS], _block_id(F.col("place")).alias("block_id"))
+
+
+def members(objects: DataFrame) -> DataFrame:
+    """Seeds and the shapes with text that they absorb: a raster takes those whose centre lies in it, edges included."""
+    def inside(o, m):
+        cx, cy = m["x"] + m["w"] / 2, m["y"] + m["h"] / 2
+        return (o["kind"] == "raster") & cx.between(o["x"], o["x"] + o["w"]) & cy.between(o["y"], o["y"] + o["h"])
+
+    row = lambda place, order, m: F.struct(_block_id(place).alias("block_id"), F.lit(order).alias("ord"), *[m[c].alias(c) for c in FIELDS])
+    made = F.transform("starts", lambda o, i: F.concat(F.array(row(i, 0, o)), F.transform(F.filter("shapes", lambda m: inside(o, m)), lambda m: row(i, 1, m))))
+    return page_arrays(objects).select(*PAGE, F.inline(F.flatten(made)))
 
 
 def block_type() -> Column:

@@ -136,8 +136,9 @@ ORACLE_SQL = {
     "del_summary": _O + " select deck_id, count(*) filter (kind = 'raster') deleted, count(*) filter (kind <> 'raster') kept, 1 missing from o group by all",
     "page_binding": _BOUND + " select page, has_text, images, captioned from b",
     "page_binding_summary": _BOUND + " select count(*) pages, count(*) filter (has_text) pages_with_text, count(*) filter (images > 0) pages_with_image, sum(images) images from b",
-    "rule_relations": _SEEDS + """, an as (select deck_id, page, arg_min(trim(text), z_index) text_anchor from o where trim(text) <> '' group by all)
- select deck_id, page, block_id, printf('rel_%02d_%02d', page, row_number() over (partition by deck_id, page order by z_index)) relation_id, text_anchor, 'elaboration' relation_type from sd join an using (deck_id, page)""",
+    "rule_relations": _SEEDS + f""", an as (select deck_id, page, left(arg_min(trim(text), z_index), 60) text_anchor from o where trim(text) <> '' group by all)
+ select deck_id, page, block_id, printf('rel_%02d_%02d', page, row_number() over (partition by deck_id, page order by z_index)) relation_id, coalesce(text_anchor, '') text_anchor, 'elaboration' relation_type,
+ '{bd.RULE_LINK}' semantic_link from sd left join an using (deck_id, page)""",
     "text_exclusion": _EXCLUDED + " select deck, page_key, seq, text, ph, reason from x",
     "text_numbering": _EXCLUDED + " select deck, page_key, seq, printf('TXT%03d-%02d', page_key, row_number() over (partition by deck, page_key order by seq)) id, text from x where reason is null",
     "text_tidy_adjacent": _L + " select deck, page_key, seq, text from (select *, lag(text) over (partition by deck, page_key order by seq) b from r) where b is null or b <> text",
