@@ -8,14 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe, default_files
 from .common import materialize
 
-#: About so many pieces are packed by one task, one after the other; tasks pack side by side.
-GROUP_PIECES = 4_000
+#: About so many pieces are packed by one task, one after the other; tasks pack side by side. What a group leaves
+#: open at its end is padding, and grows more slowly than the group.
+GROUP_PIECES = 16_000
+#: Sequences are numbered through so many groups at a time by tasks; the driver adds up what they give.
+BLOCK_GROUPS = 4_096
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -84,8 +87,8 @@ def pack_pieces(rows: DataFrame, window: int = 1024, group_pieces: int = GROUP_P
     """Pack ``rows`` of ``pieces`` into sequences: ``sequence_id`` (gapless from 0) and ``offset`` are added.
 
     Groups of about ``group_pieces`` pieces, dealt by a hash of the piece, are packed independently, each in
-    the order of that hash. Only the number of sequences of each group, a figure per some thousand pieces,
-    goes to the driver. An empty table gives an empty table.
+    the order of that hash. Only the number of sequences of each BLOCK_GROUPS groups goes to the driver. An empty
+    table gives an empty table.
     """
     spark = rows.sparkSession
     rows = materialize(rows, "packing-pieces")
@@ -104,12 +107,14 @@ def pack_pieces(rows: DataFrame, window: int = 1024, group_pieces: int = GROUP_P
 
     packed = keyed.groupBy("_group").applyInPandas(pack, PIECES + ", _group bigint, _sequence bigint, offset bigint")
     packed = materialize(packed, "packing-sequences")
-    made = sorted((r[0], r[1]) for r in packed.groupBy("_group").agg(F.max("_sequence")).collect())
+    made = packed.groupBy("_group").agg((F.max("_sequence") + 1).alias("_made")).withColumn("_block", F.floor(F.col("_group") / BLOCK_GROUPS))
     starts, before = [], 0
-    for group, last in made:
-        starts.append((group, before))
-        before += last + 1
-    first = spark.createDataFrame(starts, "_group bigint, _before bigint")
+    for block, n in sorted((r[0], r[1]) for r in made.groupBy("_block").agg(F.sum("_made")).collect()):
+        starts.append((block, before))
+        before += n
+    upto = Window.partitionBy("_block").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    inner = made.select("_group", "_block", F.coalesce(F.sum("_made").over(upto), F.lit(0)).alias("_inner"))
+    first = inner.join(spark.createDataFrame(starts, "_block bigint, _outer bigint"), "_block").select("_group", (F.col("_inner") + F.col("_outer")).alias("_before"))
     return packed.join(first, "_group").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_before") + F.col("_sequence")).alias("sequence_id"), "offset"
     )

@@ -90,14 +90,23 @@ def phrase_prints(hashes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[n
     return prints[starts], starts
 
 
-def stretches(words: list[list[bytes]], own: Words, wanted: np.ndarray, length: int, occurrence: int = 0) -> list[tuple[int, bytes]]:
-    """``(at, words)``: the parts of a block that hold the wanted phrases, each phrase where it occurs first or second."""
+def occurrences(own: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the ``wanted`` fingerprints, in order, occurs first and second in a block; -1 where it does not."""
     place = np.minimum(np.searchsorted(wanted, own.prints), len(wanted) - 1)
     hit = np.flatnonzero(wanted[place] == own.prints)
-    order = hit[np.argsort(place[hit], kind="stable")]  # by phrase, then where it starts
-    begins = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]]))
+    order = hit[np.argsort(place[hit], kind="stable")]  # by fingerprint, then where it starts
+    found = np.full((2, len(wanted)), -1, dtype=np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(begins, len(order)))
-    starts = np.sort(own.starts[order[begins[sizes > occurrence] + occurrence]])
+    for i in range(2):
+        at = order[begins[sizes > i] + i]
+        found[i, place[at]] = own.starts[at]
+    return found[0], found[1]
+
+
+def stretches(words: list[list[bytes]], own: Words, starts: np.ndarray, length: int) -> list[tuple[int, bytes]]:
+    """``(at, words)``: the parts of a block that the phrases with these starts cover, neighbouring ones in one."""
+    starts = np.sort(starts[starts >= 0])
     if not len(starts):
         return []
     text = np.searchsorted(own.ends, starts, side="right")
@@ -251,11 +260,13 @@ def _parsed(docs: DataFrame, length: int, text_col: str) -> DataFrame:
             block = rows.column("block")[0].as_py()
             words = read(rows.column("rows").to_pylist())[1]
             own = Words(words, length, vocabulary())
+            every = np.unique(np.concatenate([x for lists in wants.values() for x in lists]))
+            first, second = occurrences(own, every)
             for to, lists in wants.items():
-                wanted = np.sort(np.concatenate(lists))
-                shown = stretches(words, own, wanted, length)
+                at = np.searchsorted(every, np.concatenate(lists))
+                shown = stretches(words, own, first[at], length)
                 if to == block:
-                    shown += stretches(words, own, wanted, length, 1)
+                    shown += stretches(words, own, second[at], length)
                 out.append((to, pack([(block, a, w) for a, w in shown])))
         return pa.table({"block": pa.array([t for t, _ in out], pa.int64()), "parts": pa.array([p for _, p in out], pa.binary())})
 

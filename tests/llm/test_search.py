@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatework.llm.anisotropic import nearest
 from slatework.llm.normbuckets import exact_top_k, quantise
 from slatework.llm import substrings
-from slatework.llm.substrings import Reference, Words, duplicate_spans, kept_digest, remove_duplicates, removed_count, removed_words, stretches, vocabulary
+from slatework.llm.substrings import Reference, Words, duplicate_spans, kept_digest, occurrences, remove_duplicates, removed_count, removed_words, stretches, vocabulary
 from slatework.llm.vectors import valid
 
 
@@ -112,7 +112,8 @@ def parsed(blocks, length):
             wants[a, b].append(f)
     parts = collections.defaultdict(list)
     for (source, to), prints in wants.items():
-        shown = [x for again in range(1 + (source == to)) for x in stretches(blocks[source], own[source], np.sort(np.array(prints, dtype=np.uint64)), length, again)]
+        starts = occurrences(own[source], np.sort(np.array(prints, dtype=np.uint64)))
+        shown = [x for again in range(1 + (source == to)) for x in stretches(blocks[source], own[source], starts[again], length)]
         parts[to] += [(source, at, words) for at, words in shown]
     return [(k, t, f) for k, b in enumerate(blocks) for t, f in enumerate(Reference(parts[k], length, vocabulary()).parse(own[k], k, length) if parts[k] else [[] for _ in b])]
 
@@ -139,8 +140,7 @@ def test_parse_against_brute_force_and_with_clashing_fingerprints(monkeypatch):
 def test_a_text_of_one_word_is_one_factor():
     words = [[b"r"] * 5000]
     own = Words(words, 35, vocabulary())
-    wanted = np.unique(own.prints)
-    parts = [(0, a, w) for again in (0, 1) for a, w in stretches(words, own, wanted, 35, again)]
+    parts = [(0, a, w) for starts in occurrences(own, np.unique(own.prints)) for a, w in stretches(words, own, starts, 35)]
     assert len(Reference(parts, 35, vocabulary()).parse(own, 0, 35)[0]) <= 2
 
 
