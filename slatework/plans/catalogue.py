@@ -9,8 +9,9 @@ from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
-from . import packages, readers
-from ..sources.carriers import LINES_SQL, OBJECTS_SQL, conversation_pages, lines, objects, table
+from . import documents, packages, pictures, readers
+from .fragments import BLOCKS, BODY, MEMBERS, O, SEEDS
+from ..sources.carriers import LINES_SQL, conversation_pages, lines, objects, table
 
 WORDS = {"english": ["the", "and", "thing"], "french": ["le ", "de ", "que"], "german": ["der", "ein", "ung"]}
 
@@ -91,28 +92,11 @@ QUERIES = {
 }
 
 _L = f"with l as ({LINES_SQL}), r as (select * from l where text <> '')"
-_O = f"with o as ({OBJECTS_SQL})"
 _EXCLUDED = _L + """, p as (select deck, text, count(distinct page_key) on_pages from r group by all), n as (select deck, count(distinct page_key) pages from r group by all),
 x as (select r.deck, page_key, seq, r.text, ph, case when ph in ('ftr','sldNum','hdr','dt') then 'placeholder' when pages >= 2 and on_pages >= 0.1 * pages then 'global'
  when length(r.text) < 12 then 'short' end reason from r join p on r.deck = p.deck and r.text = p.text join n on r.deck = n.deck)"""
-_PAIRS = _O + """, p as (select o.*, b.z_index bz, b.kind bk, b.text bt, b.x bx, b.y byy, b.w bw, b.h bh from o join o b using (deck_id, page))"""
+_PAIRS = O + """, p as (select o.*, b.z_index bz, b.kind bk, b.text bt, b.x bx, b.y byy, b.w bw, b.h bh from o join o b using (deck_id, page))"""
 
-_NOISE = """case when kind = 'formula' then 'drop formula' when trim(text) <> '' then 'keep text'
- when kind in ('raster','vector') and w >= 864 and h > 0 and h <= 80 then 'drop banner' when kind in ('raster','vector','visio') then 'keep file' when kind = 'table' then 'keep table'
- when w * h < 1600 or least(w, h) < 48 or greatest(w, h) > 10 * least(w, h) then 'drop small' else 'keep rest' end"""
-_BODY = _O + f""", lastp as (select deck_id, max(page) last_page from o group by all),
-vis as (select o.* from o join lastp using (deck_id) where {_NOISE} like 'keep%' and kind <> 'text_region' and w > 0 and h > 0
- and x + w / 2 between 0 and 960 and y + h / 2 between 0 and 720 and not (last_page >= 2 and (page = 1 or page = last_page)))"""
-_SEEDS = _BODY + """, sd as (select *, printf('blk_%02d', n) block_id from (select *, row_number() over (partition by deck_id, page order by z_index) n from vis
- where kind in ('group','visio') or (kind in ('vector','raster') and preview_of = '' and (kind <> 'raster' or w * h >= 138240))) where n <= 6)"""
-_MEMBERS = _SEEDS + """, mem as (select deck_id, page, block_id, 0 ord, z_index, kind, x, y, w, h, text from sd union all
- select s.deck_id, s.page, block_id, 1, v.z_index, v.kind, v.x, v.y, v.w, v.h, v.text from sd s join vis v on s.deck_id = v.deck_id and s.page = v.page
- where s.kind = 'raster' and v.kind = 'shape' and trim(v.text) <> '' and v.x + v.w / 2 between s.x and s.x + s.w and v.y + v.h / 2 between s.y and s.y + s.h)"""
-_BLOCKS = _MEMBERS + """, blk as (select deck_id, page, block_id, round(min(x), 1) x, round(min(y), 1) y, round(max(x + w) - min(x), 1) w, round(max(y + h) - min(y), 1) h,
- min(z_index) z_min, max(z_index) z_max, count(*) n_members, coalesce(string_agg(text, chr(10) order by ord, z_index) filter (trim(text) <> ''), '') text,
- sum(case when kind in ('shape','connector','group') then length(text) else 0 end) chars,
- case when count(*) > 1 then 'decorated_diagram' else case arg_min(kind, ord) when 'vector' then 'vector_image' when 'visio' then 'visio_diagram' when 'group' then 'group_diagram' else 'raster_image' end end block_type
- from mem group by deck_id, page, block_id)"""
 _EDGES = _PAIRS + """, q as (select *, bx + bw / 2 - x - w / 2 dx, byy + bh / 2 - y - h / 2 dy from p where z_index <> bz),
  k as (select *, dx * dx + dy * dy d2, row_number() over (partition by deck_id, page, z_index order by dx * dx + dy * dy, bz) rn from q where dx > -10 and dy > -10 and (dx > 0 or dy > 0)),
  e as (select deck_id, page, z_index a, bz b from k where rn = 1 and d2 < 160000)"""
@@ -122,7 +106,7 @@ _ROOTS = """, s as (select deck_id, page, a, b from e union all select deck_id,
  reach(deck_id, page, z_index, r) as (select deck_id, page, z_index, z_index from o union select reach.deck_id, reach.page, s.b, r from reach join s on reach.deck_id = s.deck_id and reach.page = s.page and reach.z_index = s.a),
  roots as (select deck_id, page, z_index, min(r) root from reach group by all)"""
 _BANDS = """, {c} as (select deck_id, page, 1 + count(*) filter (d > {t}) {c}, count(*) n from (select deck_id, page, v - lag(v) over (partition by deck_id, page order by v) d from (select deck_id, page, round_even({v}, 0) v from o)) group by deck_id, page)"""
-_IMAGES = _O + """, im as (select *, case when kind = 'vector' and w * h < 10000 then 'drop vector fragment' when kind = 'raster' and w * h < 40000 and h % 10 / 10 < 0.20 then 'drop fragment'
+_IMAGES = O + """, im as (select *, case when kind = 'vector' and w * h < 10000 then 'drop vector fragment' when kind = 'raster' and w * h < 40000 and h % 10 / 10 < 0.20 then 'drop fragment'
  when least(w, h) < 48 then 'drop small' when greatest(w, h) / least(w, h) > 10 then 'drop thin' when kind = 'raster' and x % 12 <= 4 then 'drop plain' else 'keep' end verdict from o where kind in ('raster','vector'))"""
 _RELEVANT = """with rel as (select doc_id, coalesce(toxic, 0) <> 1 as keep, case when toxic = 1 then 'toxic' when toxic is null then 'no verdict' else '' end reason from documents left join labels using (doc_id))"""
 
@@ -131,12 +115,12 @@ b as (select coalesce(d.doc_id, i.page) page, d.text is not null has_text, coale
 
 ORACLE_SQL = {
     "formula_symbols": _L + f" select deck, page_key, seq, trim(text) = '' or regexp_matches(text, '{bd.formula_pattern()}') keep from l",
-    "del_renumber": _O + """ select deck_id, page, z_index, row_number() over (partition by deck_id, page order by z_index) number,
+    "del_renumber": O + """ select deck_id, page, z_index, row_number() over (partition by deck_id, page order by z_index) number,
  row_number() over (partition by deck_id order by page, z_index) deck_number from o where kind <> 'raster'""",
-    "del_summary": _O + " select deck_id, count(*) filter (kind = 'raster') deleted, count(*) filter (kind <> 'raster') kept, 1 missing from o group by all",
+    "del_summary": O + " select deck_id, count(*) filter (kind = 'raster') deleted, count(*) filter (kind <> 'raster') kept, 1 missing from o group by all",
     "page_binding": _BOUND + " select page, has_text, images, captioned from b",
     "page_binding_summary": _BOUND + " select count(*) pages, count(*) filter (has_text) pages_with_text, count(*) filter (images > 0) pages_with_image, sum(images) images from b",
-    "rule_relations": _SEEDS + f""", an as (select deck_id, page, left(arg_min(trim(text), z_index), 60) text_anchor from o where trim(text) <> '' group by all)
+    "rule_relations": SEEDS + f""", an as (select deck_id, page, left(arg_min(trim(text), z_index), 60) text_anchor from o where trim(text) <> '' group by all)
  select deck_id, page, block_id, printf('rel_%02d_%02d', page, row_number() over (partition by deck_id, page order by z_index)) relation_id, coalesce(text_anchor, '') text_anchor, 'elaboration' relation_type,
  '{bd.RULE_LINK}' semantic_link from sd left join an using (deck_id, page)""",
     "text_exclusion": _EXCLUDED + " select deck, page_key, seq, text, ph, reason from x",
@@ -144,7 +128,7 @@ ORACLE_SQL = {
     "text_tidy_adjacent": _L + " select deck, page_key, seq, text from (select *, lag(text) over (partition by deck, page_key order by seq) b from r) where b is null or b <> text",
     "text_direct_pages": "select doc_id, cast(length(replace(replace(text, ' ', ''), chr(10), '')) as bigint) n_chars_solid from documents where length(replace(replace(text, ' ', ''), chr(10), '')) > 500",
     "page_missing": "select doc_id from documents where doc_id not in (select doc_id from labels)",
-    "obj_noise_filter": _O + """ select deck_id, page, z_index, case when kind = 'formula' then 'drop formula' when trim(text) <> '' then 'keep text'
+    "obj_noise_filter": O + """ select deck_id, page, z_index, case when kind = 'formula' then 'drop formula' when trim(text) <> '' then 'keep text'
  when kind in ('raster','vector') and w >= 864 and h > 0 and h <= 80 then 'drop banner' when kind in ('raster','vector','visio') then 'keep file' when kind = 'table' then 'keep table'
  when w * h < 1600 or least(w, h) < 48 or greatest(w, h) > 10 * least(w, h) then 'drop small' else 'keep rest' end outcome from o""",
     "obj_adjacency": _PAIRS + """, g as (select *, greatest(x, bx) - least(x + w, bx + bw) gx, greatest(y, byy) - least(y + h, byy + bh) gy,
@@ -153,21 +137,21 @@ ORACLE_SQL = {
     "obj_heuristic_edges": _PAIRS + """, q as (select *, bx + bw / 2 - x - w / 2 dx, byy + bh / 2 - y - h / 2 dy from p where z_index <> bz),
  k as (select *, dx * dx + dy * dy d2, row_number() over (partition by deck_id, page, z_index order by dx * dx + dy * dy, bz) rn from q where dx > -10 and dy > -10 and (dx > 0 or dy > 0))
  select deck_id, page, z_index a, bz b from k where rn = 1 and d2 < 160000""",
-    "obj_gap_cuts": _O + """, e as (select deck_id, page, greatest(x, 0) a, least(x + w, 960) b, z_index from o),
+    "obj_gap_cuts": O + """, e as (select deck_id, page, greatest(x, 0) a, least(x + w, 960) b, z_index from o),
  m as (select *, max(b) over (partition by deck_id, page order by a, b, z_index rows between unbounded preceding and 1 preceding) reach from e)
  select deck_id, page, (reach + a) / 2 cut from m where a - reach > 40""",
-    "obj_visibility": _BODY + " select deck_id, page, z_index, kind from vis",
-    "obj_block_seeds": _SEEDS + " select deck_id, page, z_index, block_id from sd",
-    "obj_text_absorb": _MEMBERS + " select deck_id, page, block_id, ord, z_index from mem",
-    "obj_block_types": _BLOCKS + " select deck_id, page, block_id, x, y, w, h, z_min, z_max, n_members, text, block_type, round(chars / greatest(w * h, 1.0) * 1e6, 3) text_density from blk",
-    "obj_summary": _BLOCKS + """ select deck_id, slides, coalesce(t, 0) blocks_total, coalesce(sp, 0) slides_with_blocks, coalesce(c, 0) composed from (select deck_id, count(distinct page) slides from o group by all)
+    "obj_visibility": BODY + " select deck_id, page, z_index, kind from vis",
+    "obj_block_seeds": SEEDS + " select deck_id, page, z_index, block_id from sd",
+    "obj_text_absorb": MEMBERS + " select deck_id, page, block_id, ord, z_index from mem",
+    "obj_block_types": BLOCKS + " select deck_id, page, block_id, x, y, w, h, z_min, z_max, n_members, text, block_type, round(chars / greatest(w * h, 1.0) * 1e6, 3) text_density from blk",
+    "obj_summary": BLOCKS + """ select deck_id, slides, coalesce(t, 0) blocks_total, coalesce(sp, 0) slides_with_blocks, coalesce(c, 0) composed from (select deck_id, count(distinct page) slides from o group by all)
  left join (select deck_id, count(*) t, count(distinct page) sp, count(*) filter (n_members > 1) c from blk group by deck_id) using (deck_id)""",
     "obj_knn2": _PAIRS + """, k as (select *, pow(x + w / 2 - bx - bw / 2, 2) + pow(y + h / 2 - byy - bh / 2, 2) d2 from p where kind = 'connector' and bk <> 'connector')
  select deck_id, page, z_index, rank, node, d2 from (select deck_id, page, z_index, bz node, d2, row_number() over (partition by deck_id, page, z_index order by d2, bz) rank from k) where rank <= 2""",
     "obj_components": (_PAIRS + _NEAR + _ROOTS).replace("with o", "with recursive o", 1) + " select deck_id, page, z_index, root from roots",
     "obj_tree_test": (_EDGES + _ROOTS).replace("with o", "with recursive o", 1) + """ select deck_id, page, nodes, coalesce(ne, 0) edges, coalesce(ne, 0) = nodes - 1 and parts = 1 is_tree
  from (select deck_id, page, count(*) nodes, count(distinct root) parts from roots group by all) left join (select deck_id, page, count(*) ne from e group by all) using (deck_id, page)""",
-    "obj_grid_detect": _O + _BANDS.format(c="cols", t=60, v="x + w / 2") + _BANDS.format(c="rws", t=50, v="y + h / 2") + """ select deck_id, page, cols.n n, cols, rws as rows, cols >= 2 and rws >= 2 and cols.n >= 0.6 * cols * rws is_grid from cols join rws using (deck_id, page) where cols.n >= 4""",
+    "obj_grid_detect": O + _BANDS.format(c="cols", t=60, v="x + w / 2") + _BANDS.format(c="rws", t=50, v="y + h / 2") + """ select deck_id, page, cols.n n, cols, rws as rows, cols >= 2 and rws >= 2 and cols.n >= 0.6 * cols * rws is_grid from cols join rws using (deck_id, page) where cols.n >= 4""",
     "text_section_split": _L + """, x as (select *, max(case when seq % 5 = 2 then seq end) over (partition by deck, page_key order by seq) section from l) select deck, page_key, section, seq, text from x where section is not null and seq % 5 <> 2""",
     "text_dollar_toggle": _L + """, x as (select *, sum(case when seq % 4 = 0 then 1 else 0 end) over (partition by deck, page_key order by seq) marks from l) select deck, page_key, seq, cast((marks + 1) // 2 as bigint) block, text from x where marks % 2 = 1 and seq % 4 <> 0""",
     "page_outer_merge": """with t as (select conv_id, turn // 2 page, turn, role, text from conversations), a as (select conv_id, page, string_agg(text, chr(10) order by turn, text) left_text from t where role = 'user' group by all),
@@ -175,8 +159,8 @@ ORACLE_SQL = {
  select conv_id, cast(page as bigint) page, coalesce(left_text, '') left_text, coalesce(right_text, '') right_text from a full join b using (conv_id, page)""",
     "obj_preview_asof": """select v.event_id, case when epoch_us(v.ts) - epoch_us(e.ts) <= 21600000000 then e.event_id end preview_of from (from events where event_type = 'view') v
  asof left join (from events where event_type = 'error') e on v.user_id = e.user_id and v.ts >= e.ts""",
-    "rec_index": _O + " select deck_id, page, z_index, kind, row_number() over (partition by deck_id, page, kind order by z_index) as index from o",
-    "rec_inventory": _O + " select deck_id, kind, count(*) records, count(*) filter (preview_of <> '') previews from o group by all",
+    "rec_index": O + " select deck_id, page, z_index, kind, row_number() over (partition by deck_id, page, kind order by z_index) as index from o",
+    "rec_inventory": O + " select deck_id, kind, count(*) records, count(*) filter (preview_of <> '') previews from o group by all",
     "rec_media_reuse": "select l_partkey media, count(*) refs from lineitem where l_partkey is not null group by all having count(*) > 1",
     "img_rule_filter": _IMAGES + " select deck_id, page, z_index, verdict from im",
     "img_gallery": _IMAGES + " select deck_id, page, z_index, printf('IMG%04d', row_number() over (partition by deck_id order by page, z_index)) img_id from im where verdict = 'keep'",
@@ -197,6 +181,6 @@ ORACLE_SQL = {
  b as (select *, greatest(english, french, german) hits from h) select doc_id, case when hits = 0 then 'other' when english = hits then 'english' when french = hits then 'french' else 'german' end subject, hits from b""",
 }
 
-for module in (packages, readers):
+for module in (packages, readers, documents, pictures):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
