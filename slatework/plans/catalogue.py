@@ -9,7 +9,7 @@ from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
-from . import documents, packages, pictures, readers
+from . import documents, outputs, packages, pictures, readers
 from .fragments import BLOCKS, BODY, MEMBERS, O, SEEDS
 from ..sources.carriers import LINES_SQL, conversation_pages, lines, objects, table
 
@@ -181,6 +181,6 @@ ORACLE_SQL = {
  b as (select *, greatest(english, french, german) hits from h) select doc_id, case when hits = 0 then 'other' when english = hits then 'english' when french = hits then 'french' else 'german' end subject, hits from b""",
 }
 
-for module in (packages, readers, documents, pictures):
+for module in (packages, readers, documents, pictures, outputs):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -1 +1,34 @@
+"""Captions as a stream: what is new is captioned and appended in small batches, what is there is not asked for again."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The captions under ``path``; none before the first batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*empty.columns) if there else empty
+
+
+def append_captions(images: DataFrame, caption: Callable[[DataFrame], DataFrame], path: str, key: str = "file", every: str | None = "60 seconds") -> StreamingQuery:
+    """Append ``caption(new images)`` to the captions under ``path`` in batches; ``every`` None works off what there is and ends.
+
+    A file that has a caption is left out by an anti join, also after a restart; of rows of one file in a batch one is
+    taken. A batch that is run again writes its own folder anew, so nothing is there twice.
+    """
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = caption(batch.limit(0)).schema.simpleString()[len("struct<") : -1]
+        done = written(spark, path, f"{schema}, batch bigint").where(F.col("batch") != number)
+        fresh = batch.dropDuplicates([key]).join(done.select(key), key, "left_anti")
+        caption(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = images.writeStream.foreachBatch(one).option("checkpointLocation", f"{path.rstrip('/')}-state")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
