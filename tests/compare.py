@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -23,11 +24,12 @@ def rows(columns: list[str], found: list) -> list[str]:
     return sorted(repr([_plain(r[i]) for i in order]) for r in found)
 
 
-def expected(folder: str, sql: str) -> tuple[list[str], list[str]]:
+def expected(folder: str, sql: str, tables: list[str] = TABLES) -> tuple[list[str], list[str]]:
     with duckdb.connect() as db:
         db.execute("set TimeZone = 'UTC'")
-        for name in TABLES:
-            db.execute(f"create view {name} as from '{folder}/{name}.parquet'")
+        for name in tables:
+            path = f"{folder}/{name}.parquet"
+            db.execute(f"create view {name} as from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
         answer = db.execute(sql)
         columns = [c[0] for c in answer.description]
         return sorted(columns), rows(columns, answer.fetchall())
