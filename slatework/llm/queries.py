@@ -30,4 +30,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are no SQL: libraries' tokenizers, a file format, draws at random, approximate search, a hash that SQL lacks.
+ORACLE_SQL: dict[str, str] = {
+    "op7_substrings": r"""with d as (select rowid_ as rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from (select *, row_number() over () rowid_ from documents)),
+ win as (select rid, i, array_to_string(ws[i:i + 34], ' ') k from (select rid, ws, unnest(range(1, len(ws) - 33)) i from d)),
+ dup as (select k from win group by k having count(*) > 1), gone as (select distinct rid, unnest(range(i, i + 35)) p from win semi join dup using (k)),
+ word as (select rid, unnest(ws) w, generate_subscripts(ws, 1) p from d), kept as (select rid, string_agg(w, ' ' order by p) t from word anti join gone using (rid, p) group by rid), n as (select rid, count(*) removed from gone group by rid)
+ select doc_id, cast(len(ws) as bigint) n_words, coalesce(removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid) left join n using (rid)""",
+    "op9_norm_buckets": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) select query_id, cast(rank as int) rank, vec_id, score from r where rank <= 5""",
+}
