@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ class Package:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.parts = deck_parts(spark, sf_dir)
-        self.nodes = nodes(self.parts)
+        self.nodes = nodes(self.parts).persist(StorageLevel.DISK_ONLY)  # several scans of a query read it; spilled, not held
 
     @property
     def rels(self) -> DataFrame:
