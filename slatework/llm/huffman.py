@@ -124,7 +124,10 @@ class Codes:
 
 
 def encode_ids(docs: DataFrame, end_id: int = 0, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)`` of every row with ``end_id`` appended, as unsigned 16-bit integers (vocabularies below 65,536)."""
+    """``(doc_id, ids)`` of every row with ``end_id`` appended, as unsigned 16-bit integers; larger ids are an error.
+
+    Null and empty texts are the end id alone; very long ones are encoded a stretch at a time; repeated rows stay.
+    """
     files = files or default_files()
     bounded_batches(docs.sparkSession, BATCH_BYTES)
 
@@ -132,7 +135,12 @@ def encode_ids(docs: DataFrame, end_id: int = 0, files: tuple[str, str] | None =
         bpe = byte_bpe(*files)
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            found = [bpe.ids(t or "").astype("<u2").tobytes() + end for t in batch.column(1).to_pylist()]
+            found = []
+            for text in batch.column(1).to_pylist():
+                ids = bpe.ids(text or "")
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} does not fit 16 bits")
+                found.append(ids.astype("<u2").tobytes() + end)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, TOKENS)

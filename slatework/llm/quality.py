@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_perplexity`` (per byte), ``_score`` and ``_keep``.
+    """All rows and columns of ``docs`` with ``_perplexity`` (per byte), ``_score`` and ``_keep``; columns of these names are replaced.
 
     Trusted are the documents that ``labels(doc_id, quality, toxic)`` give quality 1 and not toxic 1. Four in five
     of them, by a hash of the text, train the model; all of their text counts. The rest is scored like any
@@ -228,9 +228,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     bytes' mean negative log probability, taken with PRIOR_BYTES more at the mean of the language. Languages
     without trusted documents, null among them, have the threshold of all languages together.
 
-    Null and empty texts have no perplexity; they have the mean as their score and are kept. Repeated rows get equal results;
-    an empty table gives an empty table; without any trusted document all are kept.
+    Null and empty texts have no perplexity; they have the mean as their score and are kept. Very long texts count
+    whole, as a chunk of their own. Repeated rows get equal results; an empty table gives an empty table; without any
+    trusted document all are kept. Further columns may have any name.
     """
+    added = ("_perplexity", "_score", "_keep")
+    inner = {n: n if n in ("doc_id", "text", "lang") else f"extra{i}" for i, n in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{n}`").alias(own) for n, own in inner.items()])
+    found = _classified(plain, labels, quantile, margin)
+    return found.select(*[F.col(own).alias(n) for n, own in inner.items() if n not in added], *added)
+
+
+def _classified(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """``classify`` for columns whose names don't begin with an underscore."""
     bounded_batches(docs.sparkSession)
     trusted = labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).select(F.col("doc_id").cast("bigint").alias("_trusted")).distinct()
     if labels.count() <= BROADCAST_ROWS:
@@ -264,7 +274,7 @@ def _limits(checked: DataFrame, quantile: float, margin: float) -> DataFrame:
     """``(_lang, _mean, _limit)`` a language, and a row with a null language for all."""
     both = checked.unionByName(checked.withColumn("_lang", F.lit(None).cast("string")))
     means = both.groupBy("_lang").agg((F.sum("_nats") / F.sum("_bytes")).alias("_mean"))
-    both = both.alias("b").join(F.broadcast(means.alias("m")), F.col("b._lang").eqNullSafe(F.col("m._lang")))
+    both = both.alias("b").join(means.alias("m"), F.col("b._lang").eqNullSafe(F.col("m._lang")))
     value = (F.col("_nats") + F.col("_mean") * PRIOR_BYTES) / (F.col("_bytes") + PRIOR_BYTES)
     limits = both.groupBy("b._lang").agg(F.first("_mean").alias("_mean"), (F.percentile_approx(value, quantile, 10_000) * margin).alias("_limit"))
     return materialize(limits, "limits")
@@ -274,7 +284,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns as they are, whatever further ones are called."""
     inner = {n: n if n in ("doc_id", "text", "lang") else f"extra{i}" for i, n in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{n}`").alias(own) for n, own in inner.items()])
-    return classify(plain, labels).where("_keep").select(*[F.col(own).alias(n) for n, own in inner.items()])
+    return _classified(plain, labels, QUANTILE, MARGIN).where("_keep").select(*[F.col(own).alias(n) for n, own in inner.items()])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

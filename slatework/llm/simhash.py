@@ -95,8 +95,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: in
     """``(id, fp, component)`` of every row; component is the smallest id reachable over links of ``max_bits`` bits or fewer.
 
     Equal fingerprints are one class before any pairing, so copies never multiply. Rows without words share
-    fingerprint 0 and are linked like any other. Repeated ids keep their rows; a null id has its fingerprint
-    and a null component unless its class has an id. An empty table gives an empty result.
+    fingerprint 0 and are linked like any other; of very long texts every shingle counts. Repeated ids keep their rows;
+    a null id has its fingerprint and a null component unless its class has an id. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, words, seed, id_col, text_col), "simhash-fingerprints")
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")

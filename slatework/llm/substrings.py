@@ -241,7 +241,7 @@ def _parsed(docs: DataFrame, length: int, text_col: str) -> DataFrame:
         to = np.concatenate([owner[later], owner[order[first]], owner[own]])
         source = np.concatenate([owner[earlier], owner[order[first + 1]], owner[own]])
         wanted = np.concatenate([prints[later], prints[order[first]], prints[own]])
-        by = np.lexsort((wanted, to, source))
+        by = np.argsort(source.astype(np.int64) * len(lists) + to, kind="stable")
         to, source, wanted = to[by], source[by], wanted[by]
         out = []
         for lo, hi in _runs(source):

@@ -110,6 +110,15 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, corpus):
     assert keep_quality(none, marks).collect() == drop_near_copies(none).collect() == remove_duplicates(none).collect() == []
 
 
+def test_the_classifier_takes_columns_of_any_name(spark, corpus):
+    rows, labels, _, _ = corpus
+    names = ["_nats", "_lang", "_mean", "_l", "_bytes", "_limit", "_score", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", *range(8)) for i, t, *_ in rows[:30]], "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` int" for n in names))
+    got = classify(docs, spark.createDataFrame(labels, LABELS))
+    assert got.columns == ["doc_id", "text", "lang", *[n for n in names if n != "_score"], "_perplexity", "_score", "_keep"]
+    assert {tuple(r)[3:10] for r in got.collect()} == {(0, 1, 2, 3, 4, 5, 7)}
+
+
 def test_without_trusted_documents_all_stay(spark, corpus):
     docs = spark.createDataFrame(corpus[0][:5], DOCS)
     found = classify(docs, spark.createDataFrame([], LABELS)).collect()
