@@ -138,8 +138,9 @@ def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataF
     asked = asked.join(bars, "id", "left").select("id", "vec", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
     # a length a little below what the bar asks for, so that rounding prunes nothing
     need = F.when((F.col("bar") > 0) & (norm > 0) & (norm < float("inf")), F.col("bar") / norm * (1 - 1e-9)).otherwise(float("-inf"))
-    asked = asked.withColumn("need", need).repartitionByRange(n_blocks, "need", F.xxhash64("id")).withColumn("blk", F.spark_partition_id().cast("bigint"))
-    asked = materialize(asked, "norm-queries")
+    asked = asked.withColumn("need", need)
+    asked = asked.repartitionByRange(n_blocks, "need", F.xxhash64("id")) if n_blocks > 1 else asked.coalesce(1)
+    asked = materialize(asked.withColumn("blk", F.spark_partition_id().cast("bigint")), "norm-queries")
     needs = sorted((r[0], r[1]) for r in asked.groupBy("blk").agg(F.min("need")).collect())  # by ascending need
     seen = spark.createDataFrame([(b, [g for g, top in tops[1:] if top >= need]) for b, need in needs], "blk bigint, grps array<bigint>")
     meets = spark.createDataFrame([(g, [b for b, need in needs if top >= need]) for g, top in tops[1:]], "grp bigint, blks array<bigint>")
