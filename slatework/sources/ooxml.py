@@ -23,6 +23,8 @@ PREFIXES = {
 SHAPES = ("p:sp", "p:pic", "p:graphicFrame", "p:cxnSp", "p:grpSp")
 #: Columns that name the nearest element of a kind around a node, and those kinds.
 AROUND = {"owner": SHAPES, "body": ("p:txBody",), "para": ("a:p",), "row": ("a:tr",), "cell": ("a:tc",), "bg": ("p:bg",), "ole": ("p:oleObj",), "math": ("m:oMath",)}
+#: Nodes that go to Spark together, and the rest of a part.
+BATCH_NODES = 8_192
 NODES = (
     "deck_id string, part string, node int, parent int, pos bigint, tag string, attrs map<string,string>, text string, outer_group int, group int, "
     + ", ".join(f"{name} int" for name in AROUND)
@@ -50,31 +52,42 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInArrow(run, "deck_id string, part string, content binary")
 
 
+#: For every tag that others are said to lie in, the columns that name it.
+_TRACKED = {tag: [column for column, kinds in AROUND.items() if tag in kinds] for kinds in AROUND.values() for tag in kinds}
+
+
 def shred(content: bytes) -> list[tuple]:
     """The elements of a document in order, each with what lies around it; none of one that is not well-formed."""
     rows: list[list] = []
-    stack: list[tuple[int, dict]] = []
+    nothing = {"outer_group": None, "group": None, **dict.fromkeys(AROUND)}
+    stack: list[tuple[int | None, dict]] = [(None, nothing)]
+    names: dict[str, str] = {}
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.buffer_text = True
 
     def short(name: str) -> str:
-        space, _, local = name.rpartition(" ")
-        return f"{PREFIXES[space]}:{local}" if space in PREFIXES else local
+        if (known := names.get(name)) is None:
+            space, _, local = name.rpartition(" ")
+            known = names[name] = f"{PREFIXES[space]}:{local}" if space in PREFIXES else local
+        return known
 
     def start(name: str, attrs: dict[str, str]) -> None:
-        parent, around = stack[-1] if stack else (None, {"outer_group": None, "group": None, **dict.fromkeys(AROUND)})
+        parent, around = stack[-1]
         node, tag = len(rows), short(name)
-        rows.append([node, parent, parser.CurrentByteIndex, tag, [(short(k), v) for k, v in attrs.items()], "", around])
-        own = {k: node if tag in kinds else around[k] for k, kinds in AROUND.items()}
-        groups = {"group": node, "outer_group": node if around["outer_group"] is None else around["outer_group"]} if tag == "p:grpSp" else {k: around[k] for k in ("outer_group", "group")}
-        rows[node][6] = {**groups, **own} if tag != "p:grpSp" else {**own, "outer_group": around["outer_group"], "group": around["group"]}
-        stack.append((node, {**groups, **own}))
+        own = inside = around
+        if tag in _TRACKED:
+            own = {**around, **dict.fromkeys(_TRACKED[tag], node)}
+            inside = own
+            if tag == "p:grpSp":  # a group is not in itself
+                inside = {**own, "group": node, "outer_group": node if own["outer_group"] is None else own["outer_group"]}
+        rows.append([node, parent, parser.CurrentByteIndex, tag, [(short(k), v) for k, v in attrs.items()], "", own])
+        stack.append((node, inside))
 
     def end(_: str) -> None:
         stack.pop()
 
     def text(data: str) -> None:
-        if stack:
+        if stack[-1][0] is not None:
             rows[stack[-1][0]][5] += data
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
@@ -96,10 +109,19 @@ def nodes(parts: DataFrame) -> DataFrame:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+
         for batch in batches:
             for deck, part, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if found := [(deck, part, *row) for row in shred(content or b"")]:
-                    yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*found), fields)], names=[n for n, _ in fields])
+                held += [(deck, part, *row) for row in shred(content or b"")]
+                if len(held) >= BATCH_NODES:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
 
     xml = parts.where(F.col("part").endswith(".xml") | F.col("part").endswith(".rels"))
     return xml.select("deck_id", "part", "content").mapInArrow(run, NODES)
