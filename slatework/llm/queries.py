@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .anisotropic import op8_anisotropic
+from .fillmiddle import op11_fill_middle
 from .huffman import op5_huffman
 from .normbuckets import op9_norm_buckets
 from .packing import op6_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_anisotropic": op8_anisotropic,
     "op9_norm_buckets": op9_norm_buckets,
     "op10_simhash": op10_simhash,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 #: The others are no SQL: libraries' tokenizers, a file format, draws at random, approximate search, a hash that SQL lacks.
@@ -40,4 +42,10 @@ ORACLE_SQL: dict[str, str] = {
     "op9_norm_buckets": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
  s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) select query_id, cast(rank as int) rank, vec_id, score from r where rank <= 5""",
+    "op11_fill_middle": r"""with h as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) s from documents),
+ r as (select *, cast('0x' || s[1:8] as bigint) h1, cast('0x' || s[9:16] as bigint) h2, cast('0x' || s[17:24] as bigint) h3, cast('0x' || s[25:32] as bigint) h4 from h),
+ c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from r),
+ p as (select *, substr(t, 1, a) pre, substr(t, a + 1, b - a) mid, substr(t, b + 1) suf from c)
+ select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(a as bigint) end prefix_chars, case when form <> 'plain' then cast(b - a as bigint) end middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(case form when 'plain' then t else pre || mid || suf end) restored_sha256 from p""",
 }
