@@ -10,6 +10,7 @@ from .anisotropic import op8_anisotropic
 from .fillmiddle import op11_fill_middle
 from .huffman import op5_huffman
 from .normbuckets import op9_norm_buckets
+from .ordermin import op12_order_minhash
 from .packing import op6_packing
 from .quality import op1_quality
 from .sharding import op4_sharding
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_norm_buckets": op9_norm_buckets,
     "op10_simhash": op10_simhash,
     "op11_fill_middle": op11_fill_middle,
+    "op12_order_minhash": op12_order_minhash,
 }
 
 #: The others are no SQL: libraries' tokenizers, a file format, draws at random, approximate search, a hash that SQL lacks.
