@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .anisotropic import op8_anisotropic
+from .divergence import op13_source_divergence
 from .fillmiddle import op11_fill_middle
 from .huffman import op5_huffman
 from .normbuckets import op9_norm_buckets
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_fill_middle": op11_fill_middle,
     "op12_order_minhash": op12_order_minhash,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: The others are no SQL: libraries' tokenizers, a file format, draws at random, approximate search, a hash that SQL lacks.
@@ -50,4 +52,15 @@ ORACLE_SQL: dict[str, str] = {
  p as (select *, substr(t, 1, a) pre, substr(t, a + 1, b - a) mid, substr(t, b + 1) suf from c)
  select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(a as bigint) end prefix_chars, case when form <> 'plain' then cast(b - a as bigint) end middle_chars,
  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(case form when 'plain' then t else pre || mid || suf end) restored_sha256 from p""",
+    "op13_source_divergence": r"""with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+ g as (select distinct lang, source from d), w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+ k as (select lang, term, count(*) total from w group by all having count(distinct rid) >= 10), c as (select lang, source, term, count(*) n from w semi join k using (lang, term) group by all),
+ vl as (select lang, count(*) v, sum(total) nl from k group by lang), ng as (select lang, source, sum(n) ng from c group by all),
+ x as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 2) // (coalesce(ng, 0) + 2 * v) p, 1 + cast(1000000000 as hugeint) * (total + 2) // (nl + 2 * v) q
+  from g join k using (lang) join vl using (lang) left join ng using (lang, source) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+ f as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) s from x a join x b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+ r as (select a.lang, a.source, 'pair' part, b.source item, coalesce(s, 0) s from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from x where n > 0 and p > q),
+ o as (select *, row_number() over (partition by lang, source, part order by s desc, item) rank from r)
+ select lang, source, part, item, cast(s as bigint) as value, cast(rank as int) rank from o where part = 'pair' or rank <= 10""",
 }
