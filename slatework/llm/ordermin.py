@@ -18,7 +18,7 @@ from .common import bounded_batches, shuffle_partitions
 #: Code points of a k-mer (a power of two), tuples of a fingerprint, and k-mers of a tuple.
 K, TUPLES, LENGTH = 8, 64, 2
 #: K-mers that are ordered by all orders at once.
-STRETCH = 1 << 11
+STRETCH = 1 << 13
 #: What a null id is ordered as.
 NO_ID = -(1 << 63)
 

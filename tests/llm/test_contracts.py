@@ -17,6 +17,7 @@ from slatework.llm.queries import ORACLE_SQL, QUERIES
 from ..compare import expected, given
 from .odd import TEXTS
 from .test_rows import brute as fingerprint_of
+from .test_transforms import minhash_rows
 
 
 @pytest.fixture(scope="module")
@@ -151,6 +152,20 @@ def test_op10(spark, tables):
         assert tuple(got.loc[i, ["fingerprint", "component_id"]]) == (f"{p:016x}", root[i])
 
 
+def test_op11(spark, tables):
+    assert given(QUERIES["op11_fill_middle"](spark, tables[0])) == expected(tables[0], ORACLE_SQL["op11_fill_middle"], ["documents"])
+
+
+def test_op12(spark, tables):
+    got = QUERIES["op12_order_minhash"](spark, tables[0])
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sorted(map(tuple, got.collect()), key=repr) == minhash_rows([r[:2] for r in tables[1]])
+
+
+def test_op13(spark, tables):
+    assert given(QUERIES["op13_source_divergence"](spark, tables[0])) == expected(tables[0], ORACLE_SQL["op13_source_divergence"], ["documents"])
+
+
 def kneser_ney(train, order=quality.ORDER):
     """Interpolated modified Kneser-Ney over bytes, from its definition: a function of context and byte."""
     mark = bytes([quality.BEFORE]) * (order - 1)
