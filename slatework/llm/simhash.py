@@ -94,15 +94,19 @@ def link_fingerprints(reps: DataFrame, max_bits: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component)`` of every row; component is the smallest id reachable over links of ``max_bits`` bits or fewer.
 
-    Equal fingerprints are one class before any pairing, so copies never multiply. Rows without words share
-    fingerprint 0 and are linked like any other; of very long texts every shingle counts. Repeated ids keep their rows;
-    a null id has its fingerprint and a null component unless its class has an id. An empty table gives an empty result.
+    Equal fingerprints are one class before any pairing, so copies never multiply. Classes are linked by their
+    fingerprints; ids only name what is linked, so unlike texts of one id are not joined by it, and texts without an id
+    link others like any. Rows without words share fingerprint 0 and are linked like any other; of very long texts every
+    shingle counts. Repeated rows stay; component is null where no id is reachable. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, words, seed, id_col, text_col), "simhash-fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    roots = components(link_fingerprints(reps, max_bits))
-    classes = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return prints.join(materialize(classes, "simhash-components"), "fp").select("id", "fp", "component")
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
+    roots = components(link_fingerprints(classes.select("fp", F.col("fp").alias("rep")), max_bits))
+    rooted = materialize(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-components")
+    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    named = materialize(rooted.join(least, "root").select("fp", "component"), "simhash-named")
+    discard(classes, rooted)
+    return prints.join(named, "fp").select("id", "fp", "component")
 
 
 #: The near-copy stage: 64-bit SimHashes of a document; keys of a document and how many minimum hashes make one.
@@ -366,23 +370,25 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null id counts as the smallest of all. Different texts that share an id, or have none, are documents of their own.
     """
-    groups = copy_groups(docs, id_col, text_col).groupBy("id", "key").agg(F.count("*").alias("_rows"), F.first("keep").alias("_keep"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns of docs may have any name
+    rows = docs.toDF(*names)
+    given_id, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    groups = copy_groups(rows, given_id, text).groupBy("id", "key").agg(F.count("*").alias("rows"), F.first("keep").alias("keep"))
     groups = materialize(groups, "copies-rows")
-    kept = groups.where("_keep")
-    own_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63)))
-    if groups.groupBy("id").agg(F.sum("_rows").alias("n")).where("n > 1").isEmpty():  # an id is enough to tell rows apart
-        kept = kept.select(F.col("id").alias("_copy_id"))
-        return docs.join(kept, own_id == F.col("_copy_id"), "left_semi")
+    kept = groups.where("keep").select(F.col("id").alias("copy_id"), F.col("key").alias("copy_key"), F.col("rows").alias("copy_rows"))
+    own_id = F.coalesce(F.col(given_id).cast("bigint"), F.lit(-(1 << 63)))
+    if groups.groupBy("id").agg(F.sum("rows").alias("n")).where("n > 1").isEmpty():  # an id is enough to tell rows apart
+        return rows.join(kept, own_id == F.col("copy_id"), "left_semi").toDF(*docs.columns)
 
     @F.pandas_udf("binary")
     def key_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: text_key((t or b"").lower().split()))
 
-    rows = docs.withColumn("_copy_key", key_of(F.col(f"`{text_col}`").cast("binary"))).withColumn("_copy_id", own_id)
-    kept = rows.join(kept.select(F.col("id").alias("_copy_id"), F.col("key").alias("_copy_key"), F.col("_rows").alias("_copy_rows")), ["_copy_id", "_copy_key"])
+    rows = rows.withColumn("copy_key", key_of(F.col(text).cast("binary"))).withColumn("copy_id", own_id)
+    found = rows.join(kept, ["copy_id", "copy_key"])
     # of repeated rows one stays; the others need no shuffle
-    once = kept.where("_copy_rows = 1").unionByName(kept.where("_copy_rows > 1").dropDuplicates(["_copy_id", "_copy_key"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = found.where("copy_rows = 1").unionByName(found.where("copy_rows > 1").dropDuplicates(["copy_id", "copy_key"]))
+    return once.select(*names).toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,3 +209,17 @@ def test_texts_without_an_id_or_with_the_same_are_documents_of_their_own(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[0]), (9, texts[1]), (10, texts[4]), (11, texts[4])]
     left = drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (10, texts[4])])
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_copies_keep_columns_of_any_name(spark, repeated):
+    names = ["_copy_id", "_copy_key", "_copy_rows", "copy_id", "copy_key", "copy_rows", "id", "key", "keep", "rows", "a.b", "c0", "c1", "doc_id", "text"]
+    rows = [(*(-j - 100 * i for j in range(13)), i, f"text number {i % 7}") for i in range(14)]
+    rows += [(*r[:13], 2, "of its own") for r in rows[:2]] if repeated else []
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` int" for n in names[:13]) + ", doc_id int, text string")
+    got = drop_near_copies(docs)
+    assert got.columns == names
+    want = [r for r in rows if r[13] < 7 and r[14] != "of its own"]
+    left = sorted(map(tuple, got.collect()))
+    assert [r for r in left if r[14] != "of its own"] == sorted(want)
+    assert [r for r in left if r[14] == "of its own"] == ([r for r in left if r in rows and r[14] == "of its own"]) and len(left) == 7 + repeated

@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,6 +107,38 @@ def test_fingerprints_and_components_against_brute_force(spark, monkeypatch):
     assert near_duplicates(table.where("doc_id < 0")).collect() == []
 
 
+@pytest.mark.parametrize("block", [48, 2])
+def test_ids_name_components_but_link_nothing(spark, monkeypatch, block):
+    """A text without an id between two that only it links, unlike texts of one id, and a component without any id."""
+    import slatework.llm.simhash as sh
+
+    monkeypatch.setattr(sh, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(11)
+    say = lambda: [f"w{x}" for x in rng.integers(1 << 30, size=400)]
+    chain = None
+    while chain is None:  # texts a word apart at distances 2, 2 and more than 2
+        base = say()
+        texts = [" ".join([*base[:at], "new", *base[at + 1 :]]) for at in range(40)]
+        found = [brute(t) for t in texts]
+        far = [[bin(x ^ y).count("1") for y in found] for x in found]
+        near = [(b, a, c) for b in range(40) for a in range(40) for c in range(a) if far[a][b] <= 2 and far[b][c] <= 2 < far[a][c]]
+        chain = [texts[i] for i in near[0]] if near else None
+    middle, one, two = chain
+    far = " ".join(say())
+    rows = [(1, one), (None, middle), (3, two), (0, far), (1, far + " x"), (1, "other"), (0, "none"), (None, "alone"), (None, "alone")]
+    got = [(r.id, r.component) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).orderBy("fp").collect()]
+    prints = [brute(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if bin(prints[a] ^ prints[b]).count("1") <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    low = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
+    assert sorted(got, key=repr) == sorted(((rows[i][0], low[r]) for i, r in enumerate(root)), key=repr)
+    assert [low[root[i]] for i in (0, 1, 2)] == [1, 1, 1] and low[root[5]] == 1 and low[root[7]] is None
+
+
 def test_masks_cover_all_close_pairs():
     for bits in (1, 2):
         for _ in range(200):
