@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,46 +15,67 @@ from .common import bounded_batches, discard, materialize
 
 #: Fixed value: a term, on the bytes of a text. All bytes of other characters than ASCII are among them.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-#: Distinct terms that a task counts before it hands them on; counts of terms in a block of the vocabulary.
-HELD, BLOCK = 400_000, 20_000
+#: A term of so many of a batch's documents is added up by the task, up to HELD of them; counts of terms in a block of the vocabulary.
+OFTEN, HELD, BLOCK = 8, 200_000, 20_000
 #: Probabilities are whole numbers of this part; terms of a group that are reported.
 SCALE, TOP = 1_000_000_000, 10
 
 
+def _counted(groups: np.ndarray, texts: list[bytes], n_groups: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of some texts, and for each of them in each group its number, the group's, its count and its documents."""
+    found = [TERM.findall(t.lower()) for t in texts]  # of bytes: A-Z only
+    sizes = [len(f) for f in found]
+    coded = pa.array(itertools.chain.from_iterable(found), pa.binary(), size=sum(sizes)).dictionary_encode()
+    term, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
+    # a term's documents side by side, those of a group together
+    turn = np.argsort(groups, kind="stable")
+    place = np.empty(len(texts), dtype=np.int64)
+    place[turn] = np.arange(len(texts))
+    pairs, times = np.unique(term * len(texts) + place[doc], return_counts=True)
+    keys = pairs // len(texts) * n_groups + groups[turn][pairs % len(texts)]
+    begin = np.flatnonzero(np.diff(keys, prepend=-1))
+    return coded.dictionary, keys[begin] // n_groups, keys[begin] % n_groups, np.add.reduceat(times, begin) if len(begin) else times, np.diff(np.append(begin, len(keys)))
+
+
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences of each term in a group, and documents that hold it.
+    """``(lang, source, term, n, docs)``: occurrences of each term in a group and documents that hold it, from parts of the table.
 
-    Tasks add up what they read, HELD terms at a time, before anything is shuffled.
+    Tasks add up a batch of texts at a time, and terms that many of its documents hold over all batches, so that no term
+    is in more than one row of a task and group by being frequent.
     """
     bounded_batches(docs.sparkSession)
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple, Counter] = {}
-        holders: dict[tuple, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for group, own in totals.items():
-                terms, found = list(own), holders[group]
-                for at in range(0, len(terms), 1 << 16):
-                    part = terms[at : at + (1 << 16)]
-                    columns = [pa.array([group[0]] * len(part), pa.string()), pa.array([group[1]] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())]
-                    yield pa.record_batch([*columns, pa.array([own[t] for t in part], pa.int64()), pa.array([found[t] for t in part], pa.int64())], names=["lang", "source", "term", "n", "docs"])
-            totals.clear()
-            holders.clear()
+        held: dict[tuple[str, str, bytes], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            langs, sources, terms = zip(*held)
+            n, docs = zip(*held.values())
+            held.clear()
+            return pa.record_batch([pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=schema)
 
         for batch in batches:
-            for lang, source, text in zip(*(c for c in batch.columns)):
-                terms = TERM.findall(text.as_py().lower())  # of bytes: A-Z only
-                group = (lang.as_py(), source.as_py())
-                totals.setdefault(group, Counter()).update(terms)
-                holders.setdefault(group, Counter()).update(set(terms))
-            if sum(map(len, totals.values())) > HELD:
-                yield from out()
-        yield from out()
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            known = list(dict.fromkeys(names))
+            number = {g: i for i, g in enumerate(known)}
+            terms, code, group, n, holders = _counted(np.array([number[g] for g in names], dtype=np.int64), [t.as_py() for t in batch.column(2)], max(1, len(known)))
+            often = np.bincount(code, weights=holders, minlength=len(terms))[code] >= OFTEN if len(code) else np.zeros(0, dtype=bool)
+            for c, g, m, d in zip(terms.take(pa.array(code[often])).to_pylist(), group[often].tolist(), n[often].tolist(), holders[often].tolist()):
+                sums = held.setdefault((*known[g], c), [0, 0])
+                sums[0] += m
+                sums[1] += d
+            rest = ~often
+            if rest.any():
+                of = lambda i: pa.array([g[i] for g in known], pa.string()).take(pa.array(group[rest]))
+                yield pa.record_batch([of(0), of(1), terms.take(pa.array(code[rest])).cast(pa.string()), pa.array(n[rest]), pa.array(holders[rest])], schema=schema)
+            if len(held) > HELD:
+                yield out()
+        if held:
+            yield out()
 
     rows = docs.select(*_group(lang_col, source_col), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
-    found = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def _group(lang_col: str, source_col: str) -> list[Column]:
@@ -119,25 +140,22 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = TOP, lan
     no count; repeated rows count as documents of their own; terms may be as long as the text; equal values are ranked
     by item in order of bytes; a language that keeps no term has pairs of value 0; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     groups = docs.select(*_group(lang_col, source_col)).distinct()
-    counts = materialize(term_counts(docs, lang_col, source_col, text_col), "divergence-counts")
-    # the three largest groups of a language, by which its vocabulary is ordered
-    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    first = sizes.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("size"), "source"))).where("turn <= 3").drop("size")
-    turned = counts.join(materialize(first, "divergence-first"), ["lang", "source"], "left")
-    ordered = [F.coalesce(F.max(F.when(F.col("turn") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in (1, 2, 3)]
-    alike = F.bit_xor(F.xxhash64("source", "n")).alias("alike")
-    vocabulary = turned.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), *ordered, alike).where(F.col("docs") >= least_docs)
-    vocabulary = materialize(vocabulary.drop("docs"), "divergence-vocabulary")
-    kept = counts.drop("docs").join(vocabulary, ["lang", "term"])
-    kept = materialize(kept, "divergence-kept")
-    langs = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total"))
+    term = Window.partitionBy("lang", "term")
+    # one shuffle by term: counts of its groups and documents of its language meet there, and what too few hold goes
+    counts = term_counts(docs, lang_col, source_col, text_col).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kept = counts.withColumn("held", F.sum("docs").over(term)).withColumn("all", F.sum("n").over(term)).where(F.col("held") >= least_docs)
+    kept = materialize(kept.select("lang", "term", "source", "n", "all"), "divergence-kept")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    langs = kept.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total"))
     stats = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["v", "lang_total", "total"])
-    stats = materialize(stats, "divergence-groups")
+    largest = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "source"))
+    stats = materialize(stats.withColumn("turn", largest), "divergence-groups")
 
+    # terms are ordered by their counts in the three largest groups, then by all of them
     placed = kept.join(stats, ["lang", "source"]).withColumn("p", probability("n", "total", "v"))
+    placed = placed.withColumns({f"c{i}": F.coalesce(F.max(F.when(F.col("turn") == i, F.col("n"))).over(term), F.lit(0)) for i in (1, 2, 3)})
+    placed = placed.withColumn("alike", F.bit_xor(F.xxhash64("source", "n")).over(term))
     blocks = max(1, -(-kept.count() // BLOCK))
     order = ["lang", "c1", "c2", "c3", "alike", "term"]
     placed = placed.repartitionByRange(blocks, *order).withColumn("blk", F.spark_partition_id())
@@ -161,7 +179,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = TOP, lan
     far = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(far).alias("rank"))
     result = materialize(pairs.unionByName(terms), "divergence")
-    discard(counts, vocabulary, kept, stats, placed)
+    discard(kept, stats, placed)
     return result
 
 

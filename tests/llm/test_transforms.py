@@ -167,8 +167,9 @@ def audit(rows, least=10, top=10):
     return sorted(found)
 
 
-@pytest.mark.parametrize("held, block", [(divergence.HELD, divergence.BLOCK), (5, 7)])
-def test_source_divergence(spark, monkeypatch, held, block):
+@pytest.mark.parametrize("often, held, block", [(divergence.OFTEN, divergence.HELD, divergence.BLOCK), (2, 5, 7), (1, 10_000, 50)])
+def test_source_divergence(spark, monkeypatch, often, held, block):
+    monkeypatch.setattr(divergence, "OFTEN", often)
     monkeypatch.setattr(divergence, "HELD", held)
     monkeypatch.setattr(divergence, "BLOCK", block)
     rng = np.random.default_rng(9)
