@@ -120,6 +120,21 @@ def json_in_prose(text: Column) -> Column:
     return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
+def xml_summary(xml: Column, most_tags: int = 12, most_texts: int = 60, most_chars: int = 800) -> Column:
+    """What a long piece of slide XML holds: its most frequent tags, its texts and how many formulas.
+
+    Equally frequent tags come in the order in which they first stand there.
+    """
+    tags = F.regexp_extract_all(xml, F.lit(r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)"), F.lit(1))
+    counted = F.transform(F.array_distinct(tags), lambda t: F.struct((-F.size(F.filter(tags, lambda x: x == t))).alias("n"), F.array_position(tags, t).alias("at"), t.alias("tag")))
+    shown = F.transform(F.slice(F.array_sort(counted), 1, most_tags), lambda t: F.concat(t["tag"], F.lit("×"), (-t["n"]).cast("string")))
+    plain = lambda t: F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+    texts = F.transform(F.regexp_extract_all(xml, F.lit(r"<a:t(?:\s[^>]*)?>([^<]+)</a:t>"), F.lit(1)), lambda t: strip(plain(t)))
+    said = F.left(F.array_join(F.slice(F.filter(texts, lambda t: t != ""), 1, most_texts), " | "), F.lit(most_chars))
+    formulas = F.regexp_count(xml, F.lit(r"<m:oMath[\s/>]")).cast("string")
+    return F.concat(F.lit("【组合结构】"), F.array_join(shown, "、"), F.lit("\n【组内文字】"), F.when(said == "", "（无文字节点）").otherwise(said), F.lit("\n【公式对象】"), formulas, F.lit(" 个"))
+
+
 def description(reply: Column) -> Column:
     """A model's reply as JSON: its object, or one that has the reply's start as its description."""
     plain = F.to_json(F.struct(F.left(F.trim(F.coalesce(reply, F.lit(""))), F.lit(500)).alias("semantic_description")))

@@ -63,29 +63,30 @@ def colours(pixels: Column) -> Column:
     return F.when(F.size(pixels) > 0, F.size(F.array_distinct(pixels)))
 
 
-def records(content: Column, start: int) -> Column:
-    """The types of a metafile's records in order, as far as their lengths hold."""
+#: Records that put a bitmap, and those that draw curves.
+BITMAPS, CURVES = (0x0A32, 0x0329, 0x032A, 0x032B), (0x0623, 0x0325, 0x0628, 0x0631, 0x0633, 0x0613)
+
+
+def shown(content: Column, start: int) -> Column:
+    """Whether a metafile's records put a bitmap, and whether they draw a curve, as far as their lengths hold."""
     def step(state, _):
         at = state["at"]
         value = lambda shift, size: F.conv(F.concat(*[F.hex(F.substring(content, at + shift + i + 1, F.lit(1))) for i in reversed(range(size))]), 16, 10).cast("bigint")
         size, kind = value(0, 4) * 2, value(4, 2)
         fits = (at + 6 <= F.octet_length(content)) & (size >= 6) & (at + size <= F.octet_length(content))
-        return F.struct(F.when(fits, at + size).otherwise(F.octet_length(content).cast("bigint")).alias("at"), F.when(fits, F.concat(state["kinds"], F.array(kind))).otherwise(state["kinds"]).alias("kinds"))
+        seen = lambda name, kinds: (state[name] | (fits & F.coalesce(kind.isin(*kinds), F.lit(False)))).alias(name)
+        return F.struct(F.when(fits, at + size).otherwise(F.octet_length(content).cast("bigint")).alias("at"), seen("bitmap", BITMAPS), seen("curve", CURVES))
 
     most = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.octet_length(content) - start) / 6).cast("int")))  # a record has six bytes at least
-    begin = F.struct(F.lit(start).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("kinds"))
-    return F.aggregate(most, begin, step, lambda state: state["kinds"])
-
-
-#: Records that put a bitmap, and those that draw curves.
-BITMAPS, CURVES = (0x0A32, 0x0329, 0x032A, 0x032B), (0x0623, 0x0325, 0x0628, 0x0631, 0x0633, 0x0613)
+    begin = F.struct(F.lit(start).cast("bigint").alias("at"), F.lit(False).alias("bitmap"), F.lit(False).alias("curve"))
+    return F.aggregate(most, begin, step)
 
 
 def wraps_bitmap(content: Column) -> Column:
     """Whether a wmf shows a bitmap and no curve: a symbol or a formula, not a drawing."""
     placed = F.hex(F.substring(content, 1, 4)) == PLACEABLE
-    kinds = F.when(placed, records(content, 40)).otherwise(records(content, 18))
-    return F.exists(kinds, lambda k: k.isin(*BITMAPS)) & ~F.exists(kinds, lambda k: k.isin(*CURVES))
+    found = F.when(placed, shown(content, 40)).otherwise(shown(content, 18))
+    return found["bitmap"] & ~found["curve"]
 
 
 def verdict(images: DataFrame) -> DataFrame:

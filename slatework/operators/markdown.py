@@ -16,6 +16,10 @@ PAGE = r"^##\s*第\s*(\d+)\s*(?:页|节)\s*$"
 CAPTION = r"^###\s+(IMG\d+)\s*—\s*`?([^`\s]+\.\w+)\s*`?"
 TEXT_ROW = r"^\|\s*(TXT[\d\-]+)\s*\|\s*([^|]+?)\s*\|\s*(.*?)\s*\|$"
 TITLE = "标题"
+#: Numbers of a page's formulas, the head of a new file, and what stands under a formula from a picture.
+NUMBERED = r"\(p(\d+)-(?:f|img)\d+\)"
+NEW_FILE = ("# 图片公式补充（PowerPoint 渲染 + 视觉识别）", "")
+FROM_PICTURE = "  > 来源：图片公式（PowerPoint 渲染+视觉识别）"
 
 
 def _upto(*keys: str) -> Window:
@@ -123,3 +127,39 @@ def html_blocks(lines: DataFrame) -> DataFrame:
     formula = F.concat(F.lit('<div class="formula">$$\n'), F.trim(F.array_join(values, "\n")), F.lit("\n$$</div>"))
     html = F.when(F.col("kind").isin("formula", "one"), formula).when(F.col("kind") == "item", F.concat(F.lit("<ul>"), F.array_join(values, ""), F.lit("</ul>"))).otherwise(F.concat(F.lit("<p>"), F.array_join(values, ""), F.lit("</p>")))
     return found.select("deck", F.col("block").alias("seq"), html.alias("html"))
+
+
+def place_formulas(lines: DataFrame, formulas: DataFrame) -> DataFrame:
+    """``(deck, seq, text)``: a deck's formula file with ``formulas(deck, page, n, latex)`` put in, in order of n within a page.
+
+    A formula stands at the end of its page's section, before the heading of the next larger page, or at the end of the
+    file. It is numbered on from the formulas that the file has of its page. A file without headings gets one for the
+    first formula, and an empty file a head. Headings and formulas run through one window by descending page, in which a
+    formula takes the last heading before it: the smallest larger page. Blank formulas are left out.
+    """
+    lines = lines.select("deck", F.col("seq").cast("bigint").alias("seq"), "text")
+    formulas = formulas.where(F.trim("latex") != "").select("deck", F.col("page").cast("bigint").alias("page"), F.col("n").cast("bigint").alias("n"), F.trim("latex").alias("latex"))
+    number = F.nullif(F.regexp_extract(F.trim("text"), PAGE, 1), F.lit("")).try_cast("bigint")
+    heads = lines.withColumn("page", number).where("page is not null")
+    had = lines.select("deck", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(1)))).alias("page")).groupBy("deck", F.col("page").cast("bigint").alias("page")).agg(F.count("*").alias("had"))
+    own = F.row_number().over(Window.partitionBy("deck", "page").orderBy("n", "latex"))
+    numbered = formulas.withColumn("own", own).join(had, ["deck", "page"], "left").withColumn("own", F.col("own") + F.coalesce("had", F.lit(0))).drop("had")
+    # at the same page a formula comes before the heading; of a page's headings the first line is the last to be seen
+    marks = heads.select("deck", "page", F.lit(1).alias("kind"), (-F.col("seq")).alias("turn"), F.col("seq").alias("at"), F.lit(None).cast("bigint").alias("own"), F.lit(None).cast("string").alias("latex"))
+    asked = numbered.select("deck", "page", F.lit(0).alias("kind"), F.col("own").alias("turn"), F.lit(None).cast("bigint").alias("at"), "own", "latex")
+    before = Window.partitionBy("deck").orderBy(F.desc("page"), "kind", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(asked).withColumn("at", F.last("at", ignorenulls=True).over(before)).where("kind = 0")
+    shape = lines.groupBy("deck").agg(F.max("seq").alias("last"), F.bool_or(number.isNotNull()).alias("headed"))
+    first = F.row_number().over(Window.partitionBy("deck").orderBy("page", "own"))
+    placed = placed.withColumn("first", first == 1).join(shape, "deck", "left")
+    entry = F.concat(F.array(F.concat(F.lit("- **(p"), F.col("page").cast("string"), F.lit("-img"), F.col("own").cast("string"), F.lit(")** $$"))), F.split("latex", "\n"), F.array(F.lit("$$"), F.lit(""), F.lit(FROM_PICTURE)))
+    bare = ~F.coalesce("headed", F.lit(False)) & F.col("first")
+    head = F.when(F.col("last").isNull(), F.array(*map(F.lit, NEW_FILE))).otherwise(F.array().cast("array<string>"))
+    heading = F.concat(head, F.array(F.concat(F.lit("## 第 "), F.col("page").cast("string"), F.lit(" 页")), F.lit("")), entry, F.array(F.lit("")))
+    text = F.when(bare, heading).otherwise(F.concat(F.array(F.lit("")), entry))
+    end = F.lit((1 << 62) - 1)
+    rank = lambda *parts: F.struct(*[p.cast("bigint").alias(f"r{i}") for i, p in enumerate(parts)]).alias("rank")
+    added = placed.select("deck", rank(F.coalesce("at", end), F.lit(0), F.col("page"), F.col("own")), F.posexplode(text).alias("part", "text"))
+    given = lines.select("deck", rank(F.col("seq"), F.lit(1), F.lit(0), F.lit(0)), F.lit(0).alias("part"), "text")
+    seq = F.row_number().over(Window.partitionBy("deck").orderBy("rank", "part")).cast("bigint")
+    return given.unionByName(added).select("deck", seq.alias("seq"), "text")

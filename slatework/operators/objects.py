@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = ["deck_id", "page"]
+from .spatial import PAGE, Getter, near_pairs, nearest, nearest_ahead
+
 #: Sizes in pixels and shares of the page.
 PAGE_W, PAGE_H = 960, 720
 MIN_AREA, MIN_SIDE, MAX_RATIO = 1600, 48, 10
@@ -145,9 +147,15 @@ def summary(objects: DataFrame) -> DataFrame:
     return pages.join(counts, "deck_id", "left").select("deck_id", "slides", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks_total", "slides_with_blocks", "composed")])
 
 
-def _pairs(objects: DataFrame) -> DataFrame:
-    other = objects.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("z_index", "kind", "x", "y", "w", "h", "text")])
-    return objects.join(other, PAGE)
+def grows_together(gap: float, text_gap: float) -> Callable[[Getter, Getter], Column]:
+    """Whether two boxes are apart by the threshold one way and by ``gap`` the other at most; see ``adjacency``."""
+    def near(a: Getter, b: Getter) -> Column:
+        gap_x = F.greatest(a("x"), b("x")) - F.least(a("x") + a("w"), b("x") + b("w"))
+        gap_y = F.greatest(a("y"), b("y")) - F.least(a("y") + a("h"), b("y") + b("h"))
+        wide = F.when((F.trim(a("text")) != "") & (F.trim(b("text")) != ""), text_gap).otherwise(gap)
+        return ((gap_x <= wide) & (gap_y <= gap)) | ((gap_y <= wide) & (gap_x <= gap))
+
+    return near
 
 
 def adjacency(objects: DataFrame, gap: float = GAP, text_gap: float = TEXT_GAP) -> DataFrame:
@@ -155,77 +163,92 @@ def adjacency(objects: DataFrame, gap: float = GAP, text_gap: float = TEXT_GAP)
 
     The threshold is ``text_gap`` if both have text, else ``gap``.
     """
-    gap_x = F.greatest("x", "b_x") - F.least(F.col("x") + F.col("w"), F.col("b_x") + F.col("b_w"))
-    gap_y = F.greatest("y", "b_y") - F.least(F.col("y") + F.col("h"), F.col("b_y") + F.col("b_h"))
-    wide = F.when((F.trim("text") != "") & (F.trim("b_text") != ""), text_gap).otherwise(gap)
-    near = ((gap_x <= wide) & (gap_y <= gap)) | ((gap_y <= wide) & (gap_x <= gap))
-    return _pairs(objects).where("z_index < b_z_index").where(near).select(*PAGE, F.col("z_index").alias("a"), F.col("b_z_index").alias("b"))
+    return near_pairs(objects, grows_together(gap, text_gap), max(gap, text_gap), ["text"])
+
 
+def overlapping(objects: DataFrame, gap: float = GAP) -> DataFrame:
+    """Pairs of a page's objects that overlap on both axes, or on one with a gap of at most ``gap`` on the other."""
+    def near(a: Getter, b: Getter) -> Column:
+        apart = lambda c, size: F.greatest(F.lit(0.0), F.abs((a(c) + a(size) / 2) - (b(c) + b(size) / 2)) - (a(size) + b(size)) / 2)
+        gap_x, gap_y = apart("x", "w"), apart("y", "h")
+        return ((gap_x == 0) & (gap_y <= gap)) | ((gap_y == 0) & (gap_x <= gap))
 
-def _roots(nodes: list, edges: list) -> dict:
-    parent = {n: n for n in nodes}
+    return near_pairs(objects, near, gap, [])
 
-    def find(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
+def clusters(objects: DataFrame, gap: float = GAP) -> DataFrame:
+    """``(deck_id, page, z_index, root)``: objects that overlaps and small gaps connect share the smallest number."""
+    return page_components(objects, overlapping(objects, gap))
+
+
+def roots_of(nodes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest node that edges connect each of the distinct ``nodes`` to; edges name nodes by number.
+
+    Every round both ends of an edge take the smaller label and labels jump to their own labels.
+    """
+    order = np.argsort(nodes, kind="stable")
+    one, two = (np.searchsorted(nodes, ends, sorter=order) for ends in (one, two))
+    label = np.arange(len(nodes))
+    while (label[one] != label[two]).any():
+        a, b = label[one], label[two]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    found = np.empty_like(nodes)
+    found[order] = nodes[order][label]
+    return found
 
 
 def page_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(deck_id, page, z_index, root)``: connected objects of a page share the smallest number.
 
-    Objects and edges come sorted by page, as a stream of which the task holds one page at a time.
+    Objects and edges come sorted by page, as a stream of arrays of which the task holds one page at a time. Ends of
+    edges are objects of the page, each of which stands there once.
     """
 
-    def page(held: list[tuple]) -> list[tuple]:
-        found = _roots([a for _, _, a, b in held if b is None], [(a, b) for _, _, a, b in held if b is not None])
-        return [(held[0][0], held[0][1], z, root) for z, root in found.items()]
+    def page(rows: np.ndarray) -> np.ndarray:
+        own, linked = rows[rows[:, 4] == 0], rows[rows[:, 4] == 1]
+        return np.column_stack([own[:, :3], roots_of(own[:, 2], linked[:, 2], linked[:, 3])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=[*PAGE, "z_index", "root"])
+        def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c) for c in np.ascontiguousarray(np.concatenate(found).T)], names=[*PAGE, "z_index", "root"])
 
         for frame in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in frame.columns)):
-                if held and row[:2] != held[0][:2]:
-                    out.extend(page(held))
-                    held = []
-                held.append(row)
-            if out:
-                yield batch(out)
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in frame.columns])
+            if not len(rows):
+                continue
+            if held and (rows[0, :2] != held[-1][-1, :2]).any():
+                yield batch([page(np.concatenate(held))])
+                held = []
+            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            pieces = np.split(rows, cuts)
+            if len(pieces) > 1:
+                yield batch([page(np.concatenate([*held, pieces[0]])), *map(page, pieces[1:-1])])
+                held = []
+            held.append(pieces[-1])
         if held:
-            yield batch(page(held))
+            yield batch([page(np.concatenate(held))])
 
-    own = nodes.select(*PAGE, F.col("z_index").alias("a"), F.lit(None).cast("bigint").alias("b"))
-    rows = own.unionByName(edges.select(*PAGE, "a", "b")).repartition(*PAGE).sortWithinPartitions(*PAGE, F.asc_nulls_first("b"))
+    number = lambda n: F.lit(n).cast("bigint")
+    own = nodes.select(*PAGE, F.col("z_index").alias("a"), number(0).alias("b"), number(0).alias("linked"))
+    rows = own.unionByName(edges.select(*PAGE, "a", "b", number(1).alias("linked"))).repartition(*PAGE).sortWithinPartitions(*PAGE)
     return rows.mapInArrow(run, "deck_id bigint, page bigint, z_index bigint, root bigint")
 
 
 def nearest_two(objects: DataFrame) -> DataFrame:
     """Each connector's two nearest other objects of its page by the distance of centres; ties to the lower z."""
-    d = F.pow(F.col("x") + F.col("w") / 2 - F.col("b_x") - F.col("b_w") / 2, F.lit(2)) + F.pow(F.col("y") + F.col("h") / 2 - F.col("b_y") - F.col("b_h") / 2, F.lit(2))
-    pairs = _pairs(objects).where("kind = 'connector' and b_kind <> 'connector'").withColumn("d2", d)
-    rank = F.row_number().over(Window.partitionBy(*PAGE, "z_index").orderBy("d2", "b_z_index")).cast("bigint")
-    return pairs.withColumn("rank", rank).where("rank <= 2").select(*PAGE, "z_index", "rank", F.col("b_z_index").alias("node"), "d2")
+    cx, cy = centre()
+    line = F.col("kind") == "connector"
+    return nearest(objects.select(*PAGE, "z_index", cx.alias("cx"), cy.alias("cy"), line.alias("asks"), (~line).alias("is_node")), 2)
 
 
 def neighbour_edges(objects: DataFrame, near: float = NEAR) -> DataFrame:
     """From each object to the nearest one to its right or below it, nearer than ``near``; ties to the lower z."""
-    dx = F.col("b_x") + F.col("b_w") / 2 - F.col("x") - F.col("w") / 2
-    dy = F.col("b_y") + F.col("b_h") / 2 - F.col("y") - F.col("h") / 2
-    pairs = _pairs(objects).where("z_index <> b_z_index").withColumn("dx", dx).withColumn("dy", dy)
-    pairs = pairs.where("dx > -10 and dy > -10 and (dx > 0 or dy > 0)").withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    best = pairs.groupBy(*PAGE, "z_index").agg(F.min(F.struct("d2", "b_z_index")).alias("best"))
-    return best.where(F.col("best.d2") < near * near).select(*PAGE, F.col("z_index").alias("a"), F.col("best.b_z_index").alias("b"))
+    cx, cy = centre()
+    return nearest_ahead(objects.select(*PAGE, "z_index", cx.alias("cx"), cy.alias("cy")), 10, near)
 
 
 def tree_pages(objects: DataFrame, edges: DataFrame) -> DataFrame:

@@ -46,6 +46,14 @@ def slides(nodes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
     return listed.unionByName(bare).select("deck_id", page.cast("bigint").alias("page"), "part")
 
 
+def numbered_slides(parts: DataFrame) -> DataFrame:
+    """``(deck_id, page, part)`` by the numbers in the slides' names, whatever the presentation lists."""
+    rows = parts.where(F.col("part").rlike(r"^ppt/slides/slide[0-9]+\.xml$"))
+    number = F.regexp_extract("part", r"slide([0-9]+)\.xml$", 1).cast("bigint")
+    page = F.row_number().over(Window.partitionBy("deck_id").orderBy(number, "part"))
+    return rows.select("deck_id", page.cast("bigint").alias("page"), "part")
+
+
 def slide_size(nodes: DataFrame) -> DataFrame:
     """``(deck_id, width, height)`` of a deck's pages in pixels."""
     size = nodes.where("tag = 'p:sldSz'").select("deck_id", *[(F.col("attrs")[k].try_cast("double") / EMU_PX).alias(n) for k, n in (("cx", "width"), ("cy", "height"))])
@@ -121,6 +129,18 @@ def connectors(shapes: DataFrame) -> DataFrame:
     return shapes.where("tag = 'p:cxnSp' and x is not null").select(*PART, "owner", "name", "text", F.coalesce("start_id", F.lit("")).alias("start_id"), F.coalesce("end_id", F.lit("")).alias("end_id"), *_box())
 
 
+def connector_ends(shapes: DataFrame) -> DataFrame:
+    """``(deck_id, part, name, start_name, end_name)``: the objects of its part that a connector names by their numbers.
+
+    Objects inside groups are not named; of several with one number the first in document order counts.
+    """
+    named = shapes.where("group is null and shape_id is not null").groupBy(*PART, "shape_id").agg(F.min_by(F.coalesce("name", F.lit("")), "owner").alias("named"))
+    rows = connectors(shapes)
+    for end in ("start", "end"):
+        rows = rows.join(named.select(*PART, F.col("shape_id").alias(f"{end}_id"), F.col("named").alias(f"{end}_name")), [*PART, f"{end}_id"], "left")
+    return rows.select(*PART, "name", "start_name", "end_name")
+
+
 def table_markdown(rows: Column) -> Column:
     """Cells as a Markdown table: the first row is the head, the others are filled up to the widest."""
     clean = F.transform(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))))
@@ -176,7 +196,7 @@ def backgrounds(nodes: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def previews(shapes: DataFrame, within: int = 300) -> DataFrame:
-    """``(deck_id, part, owner, preview_of)``: pictures that begin at most ``within`` bytes after an embedded object's start.
+    """``(deck_id, part, owner, preview_of)``: pictures that begin at most ``within`` characters after an embedded object's start.
 
     The latest object before a picture counts; both run through one window in document order.
     """
@@ -198,6 +218,53 @@ def group_children(shapes: DataFrame) -> DataFrame:
     return shapes.where("group is not null").select(*PART, F.col("outer_group").alias("root"), "owner", F.col("group").alias("parent"), order.alias("ord"), kind.alias("kind"), "name", "text")
 
 
+def group_segments(parts: DataFrame) -> DataFrame:
+    """``(deck_id, part, ord, xml)``: the text of each outermost group of a slide, as it stands there.
+
+    ``parts(deck_id, part, content)``. A part is cut at the marks that open and close groups. Depth is a running sum over
+    them; an opening mark is closed if depth ever comes back to what it was before it, and others are passed over, so a
+    group in one that is never closed is found too. Groups that close themselves hold nothing and are left out.
+    """
+    text = F.decode("content", "UTF-8")
+    cut = F.split(text, r"(?=<p:grpSp[\s>/])|(?<=</p:grpSp>)")
+    opens = F.col("xml").rlike(r"^<p:grpSp[\s>]") & ~F.col("xml").rlike(r"^<p:grpSp(?:\s[^>]*)?/>")
+    slides = parts.where(F.col("part").rlike(r"^ppt/slides/slide[^/]*\.xml$")).where(F.contains("content", F.encode(F.lit("<p:grpSp"), "UTF-8")))
+    pieces = slides.select(*PART, F.posexplode(cut).alias("at", "xml")).where("xml <> ''").withColumn("opens", opens).withColumn("closes", F.col("xml").endswith("</p:grpSp>"))
+    upto = Window.partitionBy(*PART).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*PART).orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    step = lambda mark: F.when(F.col(mark), 1).otherwise(0)
+    # a closing mark ends its piece, an opening one begins it
+    pieces = pieces.withColumn("sum", F.sum(step("opens") - step("closes")).over(upto))
+    pieces = pieces.withColumn("low", F.least(F.min("sum").over(upto), F.lit(0))).withColumn("ends", F.col("sum") - F.col("low"))
+    pieces = pieces.withColumn("begins", F.coalesce(F.lag("ends").over(Window.partitionBy(*PART).orderBy("at")), F.lit(0)))
+    pieces = pieces.withColumn("closed", F.col("opens") & (F.min("ends").over(after) <= F.col("begins")))
+    lost = F.sum(F.when(F.col("opens") & ~F.col("closed"), 1).otherwise(0)).over(upto)
+    pieces = pieces.withColumn("depth", F.col("begins") + step("opens") - lost)
+    number = F.sum(F.when(F.col("closed") & (F.col("depth") == 1), 1).otherwise(0)).over(upto)
+    rows = pieces.withColumn("ord", number).where("depth >= 1")
+    own = rows.groupBy(*PART, "ord").agg(F.array_sort(F.collect_list(F.struct("at", "xml"))).alias("held"))
+    return own.select(*PART, "ord", F.array_join(F.transform("held", lambda p: p["xml"]), "").alias("xml"))
+
+
+def group_blips(segments: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(deck_id, part, ord, rid, media)``: the media parts that a group's text refers to, each once."""
+    ids = F.array_distinct(F.regexp_extract_all("xml", F.lit(r'(?:embed|link)="(rId\d+)"'), F.lit(1)))
+    rows = segments.select(*PART, "ord", F.explode(ids).alias("rid"))
+    found = rows.join(rels.where(F.col("target").startswith("ppt/media/")).select(*PART, "rid", F.col("target").alias("media")), [*PART, "rid"])
+    return found.join(parts.select("deck_id", F.col("part").alias("media")), ["deck_id", "media"], "left_semi").select(*PART, "ord", "rid", "media")
+
+
+def exclusive_media(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``(deck_id, name, held_by, exclusive)``: how many of a deck's ``texts(deck_id, part, xml)`` name each of ``names(deck_id, name)``.
+
+    Texts are taken apart into the words that can be names, so that names meet them by an equal key.
+    """
+    words = texts.select(*PART, F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r"[\w.-]+"), F.lit(0)))).alias("name"))
+    held = words.groupBy("deck_id", "name").agg(F.count_distinct("part").alias("held_by"))
+    rows = names.select("deck_id", "name").distinct().join(held, ["deck_id", "name"], "left").withColumn("held_by", F.coalesce("held_by", F.lit(0)))
+    return rows.select("deck_id", "name", "held_by", (F.col("held_by") <= 1).alias("exclusive"))
+
+
 def image_records(shapes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Pictures and embedded objects with the part that holds them, numbered on the page by kind from 1.
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,31 +66,6 @@ def subject(docs: DataFrame, keywords: dict[str, list[str]], default: str) -> Da
     return docs.select("doc_id", choice.alias("subject"), best.cast("bigint").alias("hits"))
 
 
-def batches(pages: DataFrame, most_chars: int = 48_000, most_pages: int = 20) -> DataFrame:
-    """Greedy batches of ``pages(deck, page_key, size)`` in page order: ``batch`` from 0 in each deck.
-
-    A batch is closed when the next page would take it over ``most_chars`` or it has ``most_pages``; a page over
-    the limit is a batch alone. The rule depends on what went before, so a deck is run through in order, as a
-    stream of sorted rows of which the task holds only the current batch's sums.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        deck, batch, chars, count = None, 0, 0, 0
-        for frame in frames:
-            out = []
-            for own, size in zip(frame["deck"], frame["size"]):
-                if own != deck:
-                    deck, batch, chars, count = own, 0, 0, 0
-                elif count and (chars + size > most_chars or count >= most_pages):
-                    batch, chars, count = batch + 1, 0, 0
-                chars, count = chars + size, count + 1
-                out.append(batch)
-            yield frame.assign(batch=out)
-
-    ordered = pages.select("deck", "page_key", "size").repartition("deck").sortWithinPartitions("deck", "page_key")
-    return ordered.mapInPandas(run, "deck string, page_key bigint, size bigint, batch bigint")
-
-
 def sections(lines: DataFrame, header: F.col, number_of: F.col) -> DataFrame:
     """Lines under the header that was last seen on their page; lines before the first one are dropped, headers too."""
     seen = F.last(F.when(header, number_of), ignorenulls=True).over(Window.partitionBy("deck", "page_key").orderBy("seq"))

@@ -9,7 +9,7 @@ from ..operators import bindings as bd
 from ..operators import objects as ob
 from ..operators import records as rc
 from ..operators import text as tx
-from . import documents, outputs, packages, pictures, readers
+from . import documents, files, layouts, outputs, packages, pictures, readers
 from .fragments import BLOCKS, BODY, MEMBERS, O, SEEDS
 from ..sources.carriers import LINES_SQL, conversation_pages, lines, objects, table
 
@@ -57,7 +57,6 @@ QUERIES = {
     "text_tidy_adjacent": lambda s, d: tx.tidy(lines(s, d)),
     "text_direct_pages": lambda s, d: tx.direct_pages(_docs(s, d)),
     "text_subject_keywords": lambda s, d: tx.subject(_docs(s, d), WORDS, "other"),
-    "text_batches": lambda s, d: tx.batches(_docs(s, d).select(F.col("source").alias("deck"), F.col("doc_id").alias("page_key"), F.length("text").cast("bigint").alias("size"))),
     "page_titles": lambda s, d: tx.titles(_docs(s, d)),
     "page_outer_merge": lambda s, d: tx.merge_sources(conversation_pages(s, d), "user", "assistant"),
     "page_missing": lambda s, d: _docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left_anti"),
@@ -171,16 +170,12 @@ ORACLE_SQL = {
     "xml_histogram": "select tag, count(*) n from (select unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) tag from pages) group by tag order by n desc, tag limit 12",
     "del_exclusive": """select link, count(distinct page_id) pages, count(distinct page_id) <= 1 as exclusive from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) link from pages) group by link""",
     "state_plan": """select user_id deck, event_type step, case when v < 20 then 'resume' when v < 40 then 'skip' else 'run' end action from (select user_id, event_type, arg_max(value, (ts, event_id)) v from events group by all)""",
-    "text_batches": """with recursive p as (select source deck, doc_id page_key, length(text) size, row_number() over (partition by source order by doc_id) i from documents),
- b(deck, i, batch, chars, n) as (select deck, i, cast(0 as bigint), size, 1 from p where i = 1 union all
- select p.deck, p.i, case when chars + size > 48000 or n >= 20 then batch + 1 else batch end, case when chars + size > 48000 or n >= 20 then size else chars + size end, case when chars + size > 48000 or n >= 20 then 1 else n + 1 end
- from b join p on p.deck = b.deck and p.i = b.i + 1) select deck, page_key, size, batch from p join b using (deck, i)""",
     "page_titles": """with t as (select doc_id, coalesce(left(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 60), '') title from documents),
  c as (select doc_id, title, trim(regexp_replace(title, '[ \\t]+', ' ', 'g')) clean from t) select doc_id, title, case when length(clean) > 30 then left(clean, 30) || '…' else clean end short_title from c""",
     "text_subject_keywords": "with h as (select doc_id, " + ", ".join("+".join(f"cast(contains(text, '{k}') as bigint)" for k in words) + f" {name}" for name, words in WORDS.items()) + """ from documents),
  b as (select *, greatest(english, french, german) hits from h) select doc_id, case when hits = 0 then 'other' when english = hits then 'english' when french = hits then 'french' else 'german' end subject, hits from b""",
 }
 
-for module in (packages, readers, documents, pictures, outputs):
+for module in (packages, readers, documents, layouts, pictures, outputs, files):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

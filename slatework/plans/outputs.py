@@ -12,7 +12,7 @@ from ..operators import models
 from ..operators import text as tx
 from ..sources import sinks
 from ..sources.carriers import LINES_SQL, lines, table
-from ..streaming import append_captions, written
+from ..streaming import append_captions, caption_all, written
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,18 @@ def echo() -> models.Client:
     return reply
 
 
+def describe() -> models.Client:
+    """A stand-in for a model that describes: fails and says no JSON by the prompt's length, as ``echo`` does."""
+    def reply(prompt: str) -> str:
+        n = len(prompt)
+        if n % 7 == 0:
+            raise TimeoutError
+        said = {"block_type": ("chart", "odd")[n % 2], "semantic_description": f"of {n}", "formula_latex": "x" * (n % 3), "position_role": f' "role {n}” ', "relation": f"rel {n}", "expression_role": "said" * (n % 2), "vlm_caption": f"c{n}"}
+        return "plain words" if n % 5 == 0 else json.dumps(said)
+
+    return reply
+
+
 def _related(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "pages").select("page_id", "url", F.lit("rule").alias("text_anchor"), F.lit("elaboration").alias("relation_type"), F.lit("link").alias("semantic_link"))
     return models.enrich_relations(rows, echo, F.col("url")).drop("url")
@@ -81,6 +93,47 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return written(s, path, "user_id bigint, text string")
 
 
+def _tried(s: SparkSession, d: str) -> DataFrame:
+    """Users whose captions fail at first, or always, and how often they were asked for."""
+    path, events = sinks.shared_folder(s), table(s, d, "events")
+    images = s.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet").select("user_id")
+    lost = (F.col("user_id") % 7 == 0) | (F.col("user_id") % 3 == 0) & (F.col("tries") == 0)
+    say = lambda rows: rows.select("user_id", F.when(~lost, F.concat(F.lit("try "), F.col("tries").cast("string"))).alias("text"))
+    caption_all(images, say, path, "user_id", 2)
+    failed = written(s, f"{path}-failed", "user_id bigint, tries int").select("user_id", F.concat(F.lit("failed "), F.col("tries").cast("string")).alias("outcome"))
+    return written(s, path, "user_id bigint, text string").withColumnRenamed("text", "outcome").unionByName(failed)
+
+
+def _blocks_of_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages as blocks: their markup as XML, their address as text and as a picture's bytes."""
+    rows = table(s, d, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "chart").otherwise("")
+    xml = F.when(F.col("page_id") % 11 == 0, " ").otherwise(F.concat(F.lit("<p:sp><a:t>"), F.col("url"), F.lit("</a:t></p:sp>")))
+    return rows.select("page_id", kind.alias("block_type"), F.col("url").alias("text"), xml.alias("xml"), F.when(F.col("page_id") % 5 != 0, F.encode("url", "UTF-8")).alias("image"), F.lit("jpg").alias("format"), F.lit("page").alias("page_text"), F.col("url").alias("caption"))
+
+
+#: Replies need no pause here.
+QUICK = {"pause": 0.0}
+
+
+def _xml(s: SparkSession, d: str) -> DataFrame:
+    return models.read_xml(_blocks_of_pages(s, d), describe, **QUICK).select("page_id", "block_type", "semantic_description", "formula_latex", "caption_source")
+
+
+def _images(s: SparkSession, d: str) -> DataFrame:
+    return models.read_images(_blocks_of_pages(s, d), describe, **QUICK).select("page_id", "block_type", "semantic_description", "caption_source")
+
+
+def _roles(s: SparkSession, d: str) -> DataFrame:
+    return models.position_roles(_blocks_of_pages(s, d), describe, **QUICK).select("page_id", "position_role", "relation")
+
+
+def _enriched(s: SparkSession, d: str) -> DataFrame:
+    """Blocks that a model describes, with the rule's values where it says nothing."""
+    rows = _blocks_of_pages(s, d).select("page_id", "block_type", F.lit("goal").alias("expression_goal"), F.lit("role").alias("expression_role"), F.lit("").alias("vlm_caption"), "text")
+    return models.enrich_blocks(rows, describe, F.col("text")).drop("text")
+
+
 QUERIES = {
     "sink_texts": _texts,
     "sink_captions": _captions,
@@ -90,9 +143,16 @@ QUERIES = {
     "model_relations": _related,
     "model_judge": _judged,
     "stream_captions": _stream,
+    "stream_retries": _tried,
+    "model_xml": _xml,
+    "model_images": _images,
+    "model_roles": _roles,
+    "model_blocks": _enriched,
 }
 
 _TYPE, _SAYS = "['contrast', 'example', 'odd'][length(u) % 3 + 1]", "length(u) % 7 <> 0 and length(u) % 5 <> 0"
+_ASKED = "with p as (select page_id, url, case when page_id % 3 = 0 then 'chart' else '' end kind from pages)"
+_KIND = "case when m % 7 <> 0 and m % 5 <> 0 then case when m % 2 = 0 then 'chart' else 'odd' end else kind end"
 ORACLE_SQL = {
     "sink_texts": f"""with l as ({LINES_SQL}), r as (select * from l where text <> ''), p as (select deck, text, count(distinct page_key) on_pages from r group by all), n as (select deck, count(distinct page_key) pages from r group by all),
  k as (select r.* from r join p on r.deck = p.deck and r.text = p.text join n on r.deck = n.deck where ph not in ('ftr') and not (pages >= 2 and on_pages >= 0.1 * pages) and length(r.text) >= 12),
@@ -109,4 +169,15 @@ ORACLE_SQL = {
     "model_judge": """with p as (select page_id, left(url, 800) || chr(10) || chr(10) || 'text' u, page_id % 6 = 0 blank from pages), r as (select *, length(u) n from p)
  select page_id, case when blank or n % 7 = 0 or n % 5 = 0 then true else n % 2 = 0 end keep, case when blank or n % 7 = 0 then '' when n % 5 = 0 then '无法解析判定（默认保留）' else ['contrast', 'example', 'odd'][n % 3 + 1] end reason from r""",
     "stream_captions": "select distinct user_id, 'user ' || user_id as text from events",
+    "stream_retries": "select distinct user_id, case when user_id % 7 = 0 then 'failed 2' when user_id % 3 = 0 then 'try 1' else 'try 0' end outcome from events",
+    "model_xml": _ASKED + f""", q as (select *, {len(models.XML_ASKS) + 1} + length('<p:sp><a:t>' || url || '</a:t></p:sp>') + 2 + 4 n, page_id % 11 = 0 blank from p),
+ r as (select *, case when blank then null when n % 7 <> 0 then n when (n + {len(models.INSISTS)}) % 7 <> 0 then n + {len(models.INSISTS)} end m from q)
+ select page_id, {_KIND} block_type, case when m is null then '该图块为' || case kind when '' then '可视逻辑图' else kind end || '，组内内容：' || left(url, 120) when m % 5 = 0 then 'plain words' else 'of ' || m end semantic_description,
+ case when m % 5 <> 0 then repeat('x', m % 3) else '' end formula_latex, case when m is null then 'rule_fallback' else 'model_xml' end caption_source from r""",
+    "model_images": _ASKED + f""", q as (select *, {len(models.IMAGE_ASKS) + 1 + len('data:image/jpeg;base64,')} + length(to_base64(encode(url))) n, page_id % 5 = 0 blank from p), r as (select *, case when not blank and n % 7 <> 0 then n end m from q)
+ select page_id, {_KIND} block_type, case when m is null then '' when m % 5 = 0 then 'plain words' else 'of ' || m end semantic_description, case when m is null then '' else 'model_image' end caption_source from r""",
+    "model_roles": _ASKED + f""", r as (select *, {len(models.ROLE_ASKS) + 1} + 4 + 2 + length(left(url, 800)) m from p)
+ select page_id, case when m % 7 = 0 or m % 5 = 0 then '' else 'role ' || m end position_role, case when m % 7 = 0 or m % 5 = 0 then '' else 'rel ' || m end relation from r""",
+    "model_blocks": _ASKED + """, r as (select *, length(url) % 7 <> 0 and length(url) % 5 <> 0 spoken, length(url) m from p) select page_id, case when spoken and m % 2 = 0 then 'chart' else kind end block_type, 'goal' expression_goal,
+ case when spoken and m % 2 = 1 then 'said' else 'role' end expression_role, case when spoken then 'c' || m else '' end vlm_caption, '教学辅助图示' teaching_use, case when spoken then 'model' else 'rule_fallback' end caption_source from r""",
 }

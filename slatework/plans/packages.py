@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import package as pk
 from ..operators import text as tx
 from ..sources.carriers import OBJECTS_SQL, deck_parts
+from ..sources.decks import read_packages, write_media, write_packages
 from ..sources.ooxml import nodes
+from ..sources.sinks import shared_folder, stored
 
 
 class Package:
-    """The tables of the scans, each from those before it."""
+    """The tables of the scans, each from the parts that it needs; what a query reads several times is stored once."""
+
+    def __init__(self, parts: DataFrame):
+        self.parts = parts
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.parts = deck_parts(spark, sf_dir)
-        self.nodes = nodes(self.parts).persist(StorageLevel.DISK_ONLY)  # several scans of a query read it; spilled, not held
+    def nodes(self, which: Column) -> DataFrame:
+        return nodes(self.parts.where(which))
 
     @property
     def rels(self) -> DataFrame:
-        return pk.relationships(self.nodes)
+        return pk.relationships(self.nodes(F.col("part").endswith(".rels")))
+
+    @property
+    def drawn(self) -> DataFrame:
+        return self.nodes(~F.col("part").endswith(".rels") & (F.col("part") != "ppt/presentation.xml"))
 
     @property
     def shapes(self) -> DataFrame:
-        return pk.shapes(self.nodes)
+        return pk.shapes(self.drawn)
+
+    @functools.cached_property
+    def kept_shapes(self) -> DataFrame:
+        return stored(self.shapes)
 
     @property
-    def slides(self) -> DataFrame:
-        return pk.slides(self.nodes, self.rels, self.parts)
+    def presentation(self) -> DataFrame:
+        return self.nodes(F.col("part") == "ppt/presentation.xml")
 
     @property
-    def records(self) -> DataFrame:
-        return pk.image_records(self.shapes, self.rels, self.parts)
+    def slides(self) -> DataFrame:
+        return pk.slides(self.presentation, self.rels, self.parts)
 
 
 def _pictures(p: Package) -> DataFrame:
@@ -43,32 +56,56 @@ def _pictures(p: Package) -> DataFrame:
 
 def _excluded(p: Package) -> DataFrame:
     """Texts of slides without those of masters and layouts."""
-    lines = pk.slide_texts(p.shapes).where(F.col("part").contains("/slides/")).select(F.col("deck_id").alias("deck"), F.col("part").alias("page_key"), "seq", "text", "ph")
-    return tx.exclude(lines, 0.9, 4, pk.fixed_texts(p.shapes).withColumnRenamed("deck_id", "deck"))
+    lines = pk.slide_texts(p.kept_shapes).where(F.col("part").contains("/slides/")).select(F.col("deck_id").alias("deck"), F.col("part").alias("page_key"), "seq", "text", "ph")
+    return tx.exclude(lines, 0.9, 4, pk.fixed_texts(p.kept_shapes).withColumnRenamed("deck_id", "deck"))
 
 
 def _objects(p: Package) -> DataFrame:
-    return pk.slide_objects(p.shapes, p.records, pk.previews(p.shapes), p.slides).drop("preview_of")
+    records = pk.image_records(p.kept_shapes, p.rels, p.parts)
+    return pk.slide_objects(p.kept_shapes, records, pk.previews(p.kept_shapes), p.slides).drop("preview_of")
+
+
+def archived(spark: SparkSession, sf_dir: str, contents: bool = True) -> DataFrame:
+    """The decks written as archives to the shared folder, and their parts read from there."""
+    path = f"{shared_folder(spark)}/decks"
+    write_packages(deck_parts(spark, sf_dir), path)
+    return read_packages(spark, path, contents)
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media and embedded files unpacked from the archives into files, and those files."""
+    path = f"{shared_folder(spark)}/media"
+    write_media(archived(spark, sf_dir), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    at = lambda i: F.element_at(F.split("path", "/"), i)
+    return files.select(at(-3).alias("deck_id"), F.concat_ws("/", at(-2), at(-1)).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("content_md5"))
 
 
 _SCANS = {
     "package_relations": lambda p: p.rels,
-    "package_slides": lambda p: p.slides.join(pk.slide_size(p.nodes), "deck_id"),
+    "package_slides": lambda p: p.slides.join(pk.slide_size(p.presentation), "deck_id"),
+    "package_numbered_slides": lambda p: pk.numbered_slides(p.parts),
     "package_pictures": _pictures,
     "package_ole": lambda p: pk.ole_objects(p.shapes).drop("owner"),
     "package_connectors": lambda p: pk.connectors(p.shapes).drop("owner"),
     "package_tables": lambda p: pk.tables(p.shapes).drop("owner", "rows"),
     "package_texts": lambda p: pk.slide_texts(p.shapes),
     "package_text_exclusion": _excluded,
-    "package_formulas": lambda p: pk.formulas(p.nodes).drop("math"),
-    "package_backgrounds": lambda p: pk.backgrounds(p.nodes, p.rels),
+    "package_formulas": lambda p: pk.formulas(p.drawn).drop("math"),
+    "package_backgrounds": lambda p: pk.backgrounds(stored(p.drawn.where("bg is not null or parent is null")), p.rels),
     "package_children": lambda p: pk.group_children(p.shapes).drop("root", "owner", "parent"),
-    "package_records": lambda p: p.records.drop("owner", "prog_id"),
+    "package_records": lambda p: pk.image_records(p.shapes, p.rels, p.parts).drop("owner", "prog_id"),
     "package_objects": _objects,
     "package_volume": lambda p: pk.volume(p.parts),
 }
 
-QUERIES = {name: (lambda s, d, scan=scan: scan(Package(s, d))) for name, scan in _SCANS.items()}
+QUERIES = {name: (lambda s, d, scan=scan: scan(Package(deck_parts(s, d)))) for name, scan in _SCANS.items()}
+QUERIES |= {
+    # from archives: relationships unpack only those parts, the volume none, media only themselves
+    "package_archive_relations": lambda s, d: pk.relationships(nodes(archived(s, d).where("extension = 'rels'"))),
+    "package_archive_volume": lambda s, d: pk.volume(archived(s, d, contents=False)),
+    "package_media": _media,
+}
 
 _D = f"""with o as ({OBJECTS_SQL}), k as (select *, (page - 1) * 50 + deck_id as key from o),
 s as (select 'd' || (key // 16) deck_id, key % 16 + 1 page_no, 'ppt/slides/slide' || (key % 16 + 1) || '.xml' part, z_index, kind, x, y, w, h, text, preview_of,
@@ -124,3 +161,8 @@ ORACLE_SQL = {
   count(distinct target) filter (target like 'ppt/embeddings/%') embeddings, count(distinct part) slides from s group by all)
  select deck_id, slides, media, embeddings, slides * 1850 caption_tokens, greatest(1, slides * 8 // 60) caption_minutes, media * 600 relevance_tokens, greatest(1, media * 3 // 60) relevance_minutes from m""",
 }
+ORACLE_SQL["package_numbered_slides"] = _D + " select deck_id, row_number() over (partition by deck_id order by page_no) page, part from (select distinct deck_id, part, page_no from s)"
+ORACLE_SQL["package_archive_relations"] = ORACLE_SQL["package_relations"]
+ORACLE_SQL["package_archive_volume"] = ORACLE_SQL["package_volume"]
+ORACLE_SQL["package_media"] = _D + """, m as (select distinct deck_id, target from s where target is not null and not (target like '%.png' and z_index % 5 = 0) union all select distinct deck_id, 'ppt/media/bg.png' from s)
+ select deck_id, target[5:] file, cast(length(target) as bigint) bytes, md5(target) content_md5 from m"""

@@ -106,9 +106,10 @@ def deck_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ppt/slideLayouts/_rels/slideLayout1.xml.rels": F.lit(links(("rId1", "image", "../media/bg.png"), ("rId2", "slideMaster", "../slideMasters/slideMaster1.xml"))),
         "ppt/slideMasters/slideMaster1.xml": F.lit(behind("sldMaster", "rId5", "AF1000")),
         "ppt/slideMasters/_rels/slideMaster1.xml.rels": F.lit(links(("rId5", "image", "../media/bg.png"))),
-        "ppt/media/bg.png": F.lit(""),
+        "ppt/media/bg.png": F.lit("ppt/media/bg.png"),
     }
     decks = rows.groupBy("deck_id", "page").agg(F.lit(1)).groupBy("deck_id").agg(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("xml")) for k, v in whole_deck.items()]).alias("parts")).select("deck_id", F.inline("parts"))
-    held = rows.where(media.isNotNull()).select("deck_id", F.regexp_replace(media, r"^(\.\./|/ppt/)", "ppt/").alias("part"), F.lit("").alias("xml")).distinct()
+    # media say their own name
+    held = rows.where(media.isNotNull()).select("deck_id", F.regexp_replace(media, r"^(\.\./|/ppt/)", "ppt/").alias("part")).distinct().select("deck_id", "part", F.col("part").alias("xml"))
     every = files.unionByName(decks).unionByName(held.where("part not like '%.png' or cast(regexp_extract(part, '([0-9]+)', 1) as int) % 5 <> 0"))
     return every.select("deck_id", "part", F.encode("xml", "UTF-8").alias("content"))

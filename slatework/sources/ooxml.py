@@ -1,14 +1,13 @@
-"""Presentation packages: the parts of zipped decks, and the elements of their XML parts as rows."""
+"""Presentation packages: the elements of the XML parts of decks as rows."""
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The prefixes that the format's namespaces usually have; elements and attributes of others have none.
@@ -31,27 +30,6 @@ NODES = (
 )
 
 
-def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """``(deck_id, part, content)`` of every part of the .pptx files under ``path``; deck_id is the file's name.
-
-    A file that is no zip gives no parts.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pptx").option("recursiveFileLookup", "true").load(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for deck, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not zipfile.is_zipfile(io.BytesIO(content)):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(content)) as package:
-                    for name in package.namelist():
-                        columns = [pa.array([deck]), pa.array([name]), pa.array([package.read(name)], pa.binary())]
-                        yield pa.record_batch(columns, names=["deck_id", "part", "content"])
-
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.pptx$", 1).alias("deck_id"), "content")
-    return named.mapInArrow(run, "deck_id string, part string, content binary")
-
-
 #: For every tag that others are said to lie in, the columns that name it.
 _TRACKED = {tag: [column for column, kinds in AROUND.items() if tag in kinds] for kinds in AROUND.values() for tag in kinds}
 
@@ -95,14 +73,18 @@ def shred(content: bytes) -> list[tuple]:
         parser.Parse(content, True)
     except expat.ExpatError:
         return []
+    if not content.isascii():  # places in characters, not bytes
+        before = np.cumsum((np.frombuffer(content, dtype=np.uint8) & 0xC0) != 0x80)
+        for r in rows:
+            r[2] = int(before[r[2]]) - 1
     return [(*r[:6], r[6]["outer_group"], r[6]["group"], *(r[6][k] for k in AROUND)) for r in rows]
 
 
 def nodes(parts: DataFrame) -> DataFrame:
     """A row for each element of the XML parts of ``parts(deck_id, part, content)``.
 
-    node numbers a part's elements in document order; parent is the element around it and pos where it starts, in
-    bytes. outer_group and group are the outermost and the nearest group around it, the other columns the nearest
+    Where parts have an ``extension``, as those of archives, other parts are not even unpacked. node numbers a part's
+    elements in document order; parent is the element around it and pos where it starts, in characters of UTF-8. outer_group and group are the outermost and the nearest group around it, the other columns the nearest
     element of their kind, itself included. Parts that are not well-formed have no elements.
     """
     fields = [f.split() for f in NODES.split(", ")]
@@ -123,5 +105,6 @@ def nodes(parts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    xml = parts.where(F.col("part").endswith(".xml") | F.col("part").endswith(".rels"))
+    named = F.col("part").endswith(".xml") | F.col("part").endswith(".rels")
+    xml = parts.where(F.col("extension").isin("xml", "rels") if "extension" in parts.columns else named)
     return xml.select("deck_id", "part", "content").mapInArrow(run, NODES)

@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/slatework/{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the shared folder and read from there, for what is read several times."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _lines(rows: DataFrame, *parts: Column) -> DataFrame:
     """Each row's lines, null ones left out; ``rank`` orders rows of a deck."""
     listed = F.filter(F.array(*parts), lambda x: x.isNotNull())

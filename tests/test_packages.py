@@ -8,7 +8,8 @@ from slatework.operators import markdown as md
 from slatework.operators import models
 from slatework.operators import package as pk
 from slatework.sources import sinks
-from slatework.sources.ooxml import nodes, read_packages
+from slatework.sources.decks import listed_images, read_packages, write_files, write_media, write_packages
+from slatework.sources.ooxml import nodes, shred
 
 NS = (
     'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" '
@@ -98,6 +99,54 @@ def test_decks_without_a_list_or_with_broken_parts(spark, tmp_path):
     assert found.where("part like '%slide3.xml'").count() == 0
 
 
+def test_only_wanted_parts_are_unpacked(spark, tmp_path):
+    """The bytes of a picture are damaged: whoever reads XML or names never meets them."""
+    whole = deck(**{"ppt/media/photo.png": "q" * 500})
+    (tmp_path / "one.pptx").write_bytes(whole.replace(b"q" * 500, b"q" * 499 + b"!"))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "two.pptx").write_bytes(whole)
+    (tmp_path / "bad.pptx").write_bytes(b"no zip")
+    (tmp_path / "other.txt").write_bytes(b"")
+    parts = read_packages(spark, f"file://{tmp_path}")
+    slides = parts.where("extension = 'xml' and part like 'ppt/slides/%' and deck_id <> 'x'")
+    assert "StringStartsWith" in (plan := slides._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))) or "ppt/slides/" in plan
+    assert "Filter (" not in plan  # all of it is the reader's
+    assert sorted((r.deck_id, r.part) for r in slides.collect()) == [(d, f"ppt/slides/slide{i}.xml") for d in ("one", "two") for i in (1, 2)]
+    assert all(r.size == len(r.content) for r in slides.collect())
+    assert nodes(parts.where("deck_id = 'one'")).count() == nodes(parts.where("deck_id = 'two'")).count() > 0
+    assert {r.deck_id: r.content is None for r in parts.where("part = 'ppt/media/photo.png'").collect()} == {"one": True, "two": False}
+    names = read_packages(spark, f"file://{tmp_path}", contents=False)
+    assert names.where("content is not null").count() == 0 and names.where("extension in ('png', 'bin')").count() == 6
+    assert names.where("size > 100 and part like '%.png'").count() == 2 and names.where("part not like 'ppt/%'").count() == 0
+    assert read_packages(spark, f"{tmp_path}/more/two.pptx").select("deck_id").distinct().collect()[0].deck_id == "two"
+
+
+def test_archives_and_files_are_written(spark, tmp_path):
+    rows = [(f"d{i % 5}", f"ppt/{('media', 'embeddings', 'slides')[j % 3]}/f{j}.x", f"{i} {j}".encode() * 50) for i in range(5) for j in range(40)] + [("d9", "ppt/media/none.png", None), (None, "x", b"x")]
+    parts = spark.createDataFrame(rows, "deck_id string, part string, content binary").repartition(6)
+    write_packages(parts, f"file://{tmp_path}/decks")
+    assert sorted(p.name for p in (tmp_path / "decks").iterdir()) == ["d0.pptx", "d1.pptx", "d2.pptx", "d3.pptx", "d4.pptx", "d9.pptx"]
+    back = read_packages(spark, f"file://{tmp_path}/decks").select("deck_id", "part", "content")
+    assert sorted((r.deck_id, r.part, bytes(r.content)) for r in back.collect()) == sorted((d, p, c or b"") for d, p, c in rows if d)
+    write_media(back, f"file://{tmp_path}/media")
+    there = {str(p.relative_to(tmp_path / "media")): p.read_bytes() for p in (tmp_path / "media").rglob("*") if p.is_file()}
+    assert there == {f"{d}/{p[4:]}": c or b"" for d, p, c in rows if d and "slides" not in p}
+    pictures = spark.createDataFrame([(f"a/slide_{i:02d}_img{j}.png", b"12") for i in (1, 12) for j in (1, 2)] + [("b/other.png", b""), ("b/slide_x_1.png", b"")], "name string, content binary")
+    write_files(pictures, f"file://{tmp_path}/images")
+    assert sorted(map(tuple, listed_images(spark, f"file://{tmp_path}/images").collect())) == [("a", i, f"slide_{i:02d}_img{j}.png", 2) for i in (1, 12) for j in (1, 2)]
+
+
+def test_distances_to_a_preview_are_in_characters(spark, tmp_path):
+    ole = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name=""/></p:nvGraphicFramePr><p:oleObj progId="Visio.1" r:id="rId3"/></p:graphicFrame>'
+    pic = '<p:pic><p:nvPicPr><p:cNvPr id="3" name="photo"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId2"/></p:blipFill></p:pic>'
+    before = len('<p:oleObj progId="Visio.1" r:id="rId3"/></p:graphicFrame><!---->')
+    for n, want in ((300 - before, "visio"), (301 - before, "")):
+        part = f"<p:sld {NS}>{'é' * 9}{ole}<!--{'图' * n}-->{pic}</p:sld>"
+        rows = spark.createDataFrame([("d", "ppt/slides/slide1.xml", part.encode())], "deck_id string, part string, content binary")
+        assert [r.preview_of for r in pk.previews(pk.shapes(nodes(rows))).collect()] == [want]
+        assert [r[2] for r in shred(part.encode()) if r[3] == "p:pic"] == [part.index("<p:pic")]
+
+
 def test_markdown_as_html(spark):
     text = "# t\n- one **b**\n- two `c`\n\n$$\nx < 1\n$$\n$$ y\na *i* $p<q$ & <b> $$r*s*t$$"
     rows = spark.createDataFrame([("d", i, t) for i, t in enumerate(text.split("\n"))], "deck string, seq int, text string")
