@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, once, pick, search_blocks, valid
+from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, numbered, pick, search_blocks, valid
 
 #: The codebooks are fitted on this many vectors at most, those with the smallest hashes of their ids.
 SAMPLE = 8_192
@@ -122,15 +122,15 @@ def nearest(vectors: DataFrame, query_rows: "F.Column", k: int = 20, id_col: str
     least 2k) by the exact inner product of the original vectors in double precision, so that scores are exact and only
     which rows are found is approximate. The error of the tables is taken from those; all others that tie with the last
     of them, or whose table score could reach the k-th best product within ERRORS standard deviations of it, are scored
-    exactly too, however many. Ties go to the smaller id. A query is no candidate of its own, nor are rows of the same
-    id. Vectors that are null, zero or hold null or non-finite components take no part; repeated vectors all take part.
+    exactly too, however many. Ties go to the smaller id. A query is no candidate of its own; other rows of its id are,
+    and each row of an id that repeats is asked. Vectors that are null, zero or hold null or non-finite components take no part; repeated vectors all take part.
     Vectors of different lengths meet as if the shorter one had zeros at its end; those of another length than most
     have no codes and are scored exactly. So is a whole group where the k-th best product overflows, or is so small that
     it may have lost digits; products that overflow to infinity tie, and those of no value (infinity less infinity) take
-    no part. A query id that repeats is asked once, with its smallest vector. An empty table gives an empty result.
+    no part. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = valid(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
+    rows = numbered(valid(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0)), "anisotropic-rows")
     dim = usual_length(rows)
     drawn = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     if not drawn:
@@ -149,19 +149,19 @@ def nearest(vectors: DataFrame, query_rows: "F.Column", k: int = 20, id_col: str
         for at in range(0, len(q.ids), SCAN):
             block = q.vecs[at : at + SCAN]
             scores = book.scan(block / scale, c.codes) if coded else np.zeros((len(block), 1))
-            for own, query, table in zip(q.ids[at : at + SCAN], block, scores):
-                others = c.ids != own
+            for place, (query, table) in enumerate(zip(block, scores), at):
+                others = c.rows != q.rows[place]
                 found, exact = _scored(c.vecs, query, np.where(others, table, -np.inf), scale, wanted, k) if coded else (np.flatnonzero(others), None)
                 if exact is None:
                     exact = products(c.vecs, found, query)
                 found, exact = found[~np.isnan(exact)], exact[~np.isnan(exact)]
                 best_of = pick(exact, c.ids[found], k)
-                out.append((np.full(len(best_of), own), c.ids[found][best_of], exact[best_of]))
+                out.append((np.full(len(best_of), place), c.ids[found][best_of], exact[best_of]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(groups)))
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
     index = materialize(bundles(grouped, ["grp"], [], encode), "anisotropic-index")
-    asked = bundles(dealt_queries(once(rows.where(query_rows("id"))), blocks), ["blk"], [])
+    asked = bundles(dealt_queries(rows.where(query_rows("id")), blocks), ["blk"], [])
     return best(search_blocks(asked.withColumn("grps", every(groups, "grps")), index.withColumn("blks", every(blocks, "blks")), [], search, "double"), k)
 
 

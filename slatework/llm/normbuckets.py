@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, once, pick, search_blocks, valid
+from .vectors import GROUP_ROWS, QUERY_ROWS, Block, best, bundles, dealt_queries, every, numbered, pick, search_blocks, valid
 
 #: Vectors of a bucket; coordinates that coordinate pruning looks at; the local threshold from which it is used.
 BUCKET, FOCUS, COORDINATE_FROM = 1_024, 4, 0.4
@@ -20,11 +20,11 @@ EXACT = 2.0**53
 class Buckets:
     """The integer vectors of a group by descending length, in buckets, searched for one query after the other."""
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vecs: np.ndarray):
         with np.errstate(over="ignore"):
             norms = np.sqrt((vecs**2).sum(1))
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.vecs, self.norms = ids[order], vecs[order], norms[order]
+        self.ids, self.rows, self.vecs, self.norms = ids[order], rows[order], vecs[order], norms[order]
         self.unit = np.ascontiguousarray((self.vecs / np.maximum(self.norms, 1e-30)[:, None]).T)  # dimension, vector
 
     def candidates(self, begin: int, end: int, direction: np.ndarray, q_norm: float, bar: float) -> np.ndarray | None:
@@ -50,7 +50,7 @@ class Buckets:
             keep &= (x >= low - 1e-9) & (x <= high + 1e-9)
         return begin + np.flatnonzero(keep)
 
-    def search(self, own_id: int, query: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own_row: int, query: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the k best, as far as they reach ``bar``, the k-th best known from elsewhere."""
         with np.errstate(over="ignore"):
             q_norm = math.sqrt(float((query**2).sum()))
@@ -60,7 +60,7 @@ class Buckets:
             at = self.candidates(begin, min(begin + BUCKET, len(self.ids)), direction, q_norm, bar)
             if at is None:
                 break
-            at = at[self.ids[at] != own_id]
+            at = at[self.rows[at] != own_row]
             products = whole_products(self.vecs[at], query, q_norm * self.norms[begin])
             near = products >= bar
             ids, scores = np.concatenate([ids, self.ids[at[near]]]), np.concatenate([scores, products[near]])
@@ -98,32 +98,33 @@ def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataF
     Vectors are dealt into groups of about GROUP_ROWS by descending length, vectors of one length by a hash. The
     longest group is searched first; the k-th product found there is each query's bar for all other groups. Queries
     are dealt into blocks by the length that a vector needs to reach their bar; a block meets only the groups whose
-    longest vector has it. There buckets are pruned by their local cosine thresholds, and what is left is verified by
+    longest vector has it. Groups stand by descending length and blocks by ascending need, so that a block meets the first
+    of the groups and a group the first of the blocks: one number says how many. There buckets are pruned by their local cosine thresholds, and what is left is verified by
     its product. Only what lies strictly below a bar is pruned, so ties go to the smaller id. A query is no candidate
-    of its own, nor are rows of the same id. Vectors of different lengths meet as if the shorter one had zeros at its
-    end. A query id that repeats is asked once, with its smallest vector. Zero vectors take part. An empty table
-    gives an empty result; with fewer than k candidates all are returned.
+    of its own; other rows of its id are, and each row of an id that repeats is asked. Vectors of different lengths meet
+    as if the shorter one had zeros at its end. Zero vectors take part. An empty table gives
+    an empty result; with fewer than k candidates all are returned.
 
-    The driver gets two numbers for every group and every block.
+    The driver gets two numbers for every group and every block, and hands one back.
     """
-    rows = materialize(vectors.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))), "norms")
+    rows = numbered(vectors.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))), "norms")
     total, n_queries = rows.agg(F.count("*"), F.count_if(query_rows("id"))).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     spark = rows.sparkSession
 
     def search(q: Block, c: Block):
-        held = Buckets(c.ids, c.vecs)
+        held = Buckets(c.ids, c.rows, c.vecs)
         bars = q.columns[0] if q.columns else np.full(len(q.ids), -np.inf)
-        found = [held.search(int(i), v, k, bar) for i, v, bar in zip(q.ids, q.vecs, bars)]
+        found = [held.search(int(r), v, k, bar) for r, v, bar in zip(q.rows, q.vecs, bars)]
         ids, scores = (np.concatenate(x) for x in zip(*found))
-        return np.repeat(q.ids, [len(s) for _, s in found]), ids, scores
+        return np.repeat(np.arange(len(q.ids)), [len(s) for _, s in found]), ids, scores
 
     groups = math.ceil(total / GROUP_ROWS)
-    placed = rows.repartitionByRange(groups, F.desc("norm"), F.xxhash64("id")) if groups > 1 else rows.coalesce(1)
+    placed = rows.repartitionByRange(groups, F.desc("norm"), F.xxhash64("row")) if groups > 1 else rows.coalesce(1)
     placed = materialize(placed.withColumn("grp", F.spark_partition_id().cast("bigint")), "norm-groups")
     tops = sorted((r[0], r[1]) for r in placed.groupBy("grp").agg(F.max("norm")).collect())  # by descending length
-    asked = once(rows.where(query_rows("id")))
+    asked = rows.where(query_rows("id"))
     first = tops[0][0]
     n_blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
     blocks = bundles(dealt_queries(asked, n_blocks), ["blk"], []).withColumn("grps", F.array(F.lit(first)))
@@ -132,20 +133,24 @@ def exact_top_k(vectors: DataFrame, query_rows: "F.Column", k: int = 5) -> DataF
     if len(tops) == 1:
         return best(longest, k)
     longest = materialize(longest, "longest")
-    bars = longest.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k)
-    bars = bars.select(F.col("query_id").alias("id"), F.col("low").cast("double").alias("bar"))
+    bars = longest.groupBy("row").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k)
+    bars = bars.select("row", F.col("low").cast("double").alias("bar"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    asked = asked.join(bars, "id", "left").select("id", "vec", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    asked = asked.join(bars, "row", "left").select("id", "row", "vec", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
     # a length a little below what the bar asks for, so that rounding prunes nothing
     need = F.when((F.col("bar") > 0) & (norm > 0) & (norm < float("inf")), F.col("bar") / norm * (1 - 1e-9)).otherwise(float("-inf"))
     asked = asked.withColumn("need", need)
-    asked = asked.repartitionByRange(n_blocks, "need", F.xxhash64("id")) if n_blocks > 1 else asked.coalesce(1)
+    asked = asked.repartitionByRange(n_blocks, "need", F.xxhash64("row")) if n_blocks > 1 else asked.coalesce(1)
     asked = materialize(asked.withColumn("blk", F.spark_partition_id().cast("bigint")), "norm-queries")
     needs = sorted((r[0], r[1]) for r in asked.groupBy("blk").agg(F.min("need")).collect())  # by ascending need
-    seen = spark.createDataFrame([(b, [g for g, top in tops[1:] if top >= need]) for b, need in needs], "blk bigint, grps array<bigint>")
-    meets = spark.createDataFrame([(g, [b for b, need in needs if top >= need]) for g, top in tops[1:]], "grp bigint, blks array<bigint>")
-    blocks = bundles(asked.select("blk", "id", "vec", "bar"), ["blk"], ["bar"]).join(seen, "blk")
-    others = bundles(placed.where(F.col("grp") != first), ["grp"], []).join(meets, "grp")
+    falling, rising = np.array([-top for _, top in tops[1:]]), np.array([need for _, need in needs])
+    reached = np.searchsorted(falling, -rising, side="right")  # how many of the groups reach what a block needs
+    asking = np.searchsorted(rising, -falling, side="right")  # how many of the blocks need no more than a group has
+    first_of = lambda numbers: F.sequence(F.lit(numbers[0]).cast("bigint"), F.col("last").cast("bigint"))
+    last = lambda name, own, counts, of: spark.createDataFrame([(int(n), int(of[c - 1])) for n, c in zip(own, counts) if c], f"{name} bigint, last bigint")
+    grp_ids, blk_ids = [g for g, _ in tops[1:]], [b for b, _ in needs]
+    blocks = bundles(asked.select("blk", "id", "row", "vec", "bar"), ["blk"], ["bar"]).join(last("blk", blk_ids, reached, grp_ids), "blk").withColumn("grps", first_of(grp_ids)).drop("last")
+    others = bundles(placed.where(F.col("grp") != first), ["grp"], []).join(last("grp", grp_ids, asking, blk_ids), "grp").withColumn("blks", first_of(blk_ids)).drop("last")
     return best(longest.unionByName(search_blocks(blocks, others, ["bar"], search, "bigint")), k)
 
 

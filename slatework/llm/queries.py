@@ -43,9 +43,9 @@ ORACLE_SQL: dict[str, str] = {
  dup as (select k from win group by k having count(*) > 1), gone as (select distinct rid, unnest(range(i, i + 35)) p from win semi join dup using (k)),
  word as (select rid, unnest(ws) w, generate_subscripts(ws, 1) p from d), kept as (select rid, string_agg(w, ' ' order by p) t from word anti join gone using (rid, p) group by rid), n as (select rid, count(*) removed from gone group by rid)
  select doc_id, cast(len(ws) as bigint) n_words, coalesce(removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid) left join n using (rid)""",
-    "op9_norm_buckets": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
- s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
- r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) select query_id, cast(rank as int) rank, vec_id, score from r where rank <= 5""",
+    "op9_norm_buckets": """with v as (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.rid, q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q join v c on q.rid <> c.rid where q.vec_id % 50 = 0),
+ r as (select *, row_number() over (partition by rid order by score desc, vec_id) rank from s) select query_id, cast(rank as int) rank, vec_id, score from r where rank <= 5""",
     "op11_fill_middle": r"""with h as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) s from documents),
  r as (select *, cast('0x' || s[1:8] as bigint) h1, cast('0x' || s[9:16] as bigint) h2, cast('0x' || s[17:24] as bigint) h3, cast('0x' || s[25:32] as bigint) h4 from h),
  c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from r),
