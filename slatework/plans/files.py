@@ -62,7 +62,7 @@ def _folders(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s)
     rows = objects(s, d).where("kind in ('raster', 'vector') and deck_id < 10")
     name = F.concat(F.lit("deck"), F.col("deck_id").cast("string"), F.lit("/"), F.when(F.col("z_index") % 4 == 0, "x_").otherwise(""), F.format_string("slide_%02d_%d.png", "page", "z_index"))
-    write_files(rows.select(name.alias("name"), F.encode(F.col("text"), "UTF-8").alias("content")), path)
+    write_files(rows.select(name.alias("name"), F.encode(F.concat("kind", "text"), "UTF-8").alias("content")), path)
     return _deck(listed_images(s, path))
 
 
@@ -129,12 +129,12 @@ ORACLE_SQL = {
     "result_entries": f"""with l as ({LINES_SQL}) select deck deck_id, cast(page_key as int) page, 'TXT' || page_key || '-' || seq text_id, text, case when seq % 2 = 0 then cast(seq as double) else 0.0 end x, cast(0 as double) y, cast(0 as double) w, cast(0 as double) h
  from l where seq % 7 <> 0 and seq % 5 <> 0""",
     "result_manifest": O + " select cast(deck_id as varchar) deck_id, cast(page as int) page, printf('slide_%02d_%d.png', page, z_index) output_file, kind, case when z_index % 3 = 0 then 2 else 1 end as index from o where kind in ('raster', 'vector')",
-    "result_images": O + " select cast(deck_id as varchar) deck_id, page, printf('slide_%02d_%d.png', page, z_index) file, cast(length(text) as bigint) bytes from o where kind in ('raster', 'vector') and deck_id < 10 and z_index % 4 <> 0",
+    "result_images": O + " select cast(deck_id as varchar) deck_id, page, printf('slide_%02d_%d.png', page, z_index) file, cast(length(kind || text) as bigint) bytes from o where kind in ('raster', 'vector') and deck_id < 10 and z_index % 4 <> 0",
     "del_versions": SEEDS + " select deck_id, count(*) blocks, count(*) relations from sd where kind <> 'raster' group by all",
-    "md_place_formulas": _MD + f""", fm as (select doc_id deck, unnest([1, 4, 4, 7]) page, unnest([1, 2, 3, 4]) i, 'x_' || doc_id latex from documents where doc_id % 3 <> 0), fk as (select *, row_number() over (partition by deck, page order by i) own from fm),
- hd as (select deck, number hp, min(seq) hs from n where number is not null group by all), fa as (select fk.deck, page, own, latex, arg_min(hs, hp) at from fk left join hd on hd.deck = fk.deck and hp > page group by all),
+    "md_place_formulas": _MD + f""", fmu as (select doc_id deck, unnest([1, 4, 4, 7]) page, unnest([1, 2, 3, 4]) i, 'x_' || doc_id latex from documents where doc_id % 3 <> 0), fk as (select *, row_number() over (partition by deck, page order by i) own from fmu),
+ hd as (select deck, number hp, min(seq) hs from n where number is not null group by all), fa as (select fk.deck, page, own, latex, arg_min(hs, hp) place from fk left join hd on hd.deck = fk.deck and hp > page group by all),
  u as (select deck, seq r0, 1 r1, 0 r2, 0 r3, 0 part, text from m union all
-  select deck, coalesce(at, 4611686018427387903), 0, page, own, generate_subscripts(e, 1), unnest(e) from (select *, ['', '- **(p' || page || '-img' || own || ')** $$', latex, '$$', '', '{md.FROM_PICTURE}'] e from fa))
+  select deck, coalesce(place, 4611686018427387903), 0, page, own, generate_subscripts(e, 1), unnest(e) from (select *, ['', '- **(p' || page || '-img' || own || ')** $$', latex, '$$', '', '{md.FROM_PICTURE}'] e from fa))
  select deck, row_number() over (partition by deck order by r0, r1, r2, r3, part) seq, text from u""",
     "package_groups": _D + f" select deck_id, part, row_number() over (partition by deck_id, part order by z_index) ord, {_GROUP} xml from s where kind = 'group'",
     "package_line_ends": _D + f", e as (select deck_id, part, z_index, {_NAME} as name from s) select s.deck_id, s.part, 'line ' || s.z_index as name, e.name start_name, 'line ' || s.z_index end_name from s left join e on e.deck_id = s.deck_id and e.part = s.part and e.z_index = 1 where kind = 'connector'",

@@ -286,7 +286,10 @@ def write_media(parts: DataFrame, path: str) -> None:
 
 
 def listed_images(spark: SparkSession, path: str) -> DataFrame:
-    """``(folder, page, file, bytes)`` of the pictures under ``path`` whose name begins with a slide's number; contents are not read."""
+    """``(folder, page, file, bytes)`` of the pictures under ``path`` whose name begins with a slide's number.
+
+    Contents are not read; files without any are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     named = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
     page = F.regexp_extract("file", r"^slide_(\d+)_", 1)
