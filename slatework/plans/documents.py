@@ -9,6 +9,7 @@ from ..operators import bindings as bd
 from ..operators import documents as dc
 from ..operators import objects as ob
 from ..sources.carriers import objects
+from ..sources.sinks import stored
 from .fragments import BLOCKS, MEMBERS, SEEDS, O
 from .readers import _MD, markdown_lines
 
@@ -19,9 +20,13 @@ def _relations(s: SparkSession, d: str) -> DataFrame:
     return bd.rule_relations(objects(s, d), ob.seeds(objects(s, d)))
 
 
-def _gone(s: SparkSession, d: str) -> DataFrame:
-    """Blocks of rasters on every third page, and on every page one that is not there."""
-    rows = ob.blocks(objects(s, d))
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """The blocks, stored: deletes read them several times."""
+    return stored(ob.blocks(objects(s, d)))
+
+
+def _gone(rows: DataFrame) -> DataFrame:
+    """Of blocks, those of rasters on every third page, and on every page one that is not there."""
     own = rows.where("block_type = 'raster_image' and page % 3 = 0").select(*dc.BLOCK)
     return own.unionByName(rows.select(*PAGE, F.lit("blk_99").alias("block_id")).distinct())
 
@@ -37,12 +42,13 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cascade(s: SparkSession, d: str) -> DataFrame:
-    return dc.renumber(dc.delete_blocks(_relations(s, d), _gone(s, d))).select(*PAGE, "block_id", "relation_id", "binding_id", "text_anchor")
+    return dc.renumber(dc.delete_blocks(_relations(s, d), _gone(_blocks(s, d)))).select(*PAGE, "block_id", "relation_id", "binding_id", "text_anchor")
 
 
 def _verify(s: SparkSession, d: str) -> DataFrame:
     """After blocks and bindings were deleted and relations forgotten."""
-    gone, blocks, relations = _gone(s, d), ob.blocks(objects(s, d)), _relations(s, d)
+    blocks, relations = _blocks(s, d), stored(_relations(s, d))
+    gone = _gone(blocks)
     return dc.verify(gone, blocks=dc.delete_blocks(blocks, gone), relations=relations, bindings=dc.delete_blocks(dc.bindings(blocks, relations), gone))
 
 
@@ -77,9 +83,9 @@ QUERIES = {
     "bind_blocks": lambda s, d: dc.bindings(ob.blocks(objects(s, d)), _relations(s, d)).select(*dc.BLOCK, "relation_id", "block_type", "text_anchor", "relation_type"),
     "block_histogram": lambda s, d: dc.histogram(ob.blocks(objects(s, d))),
     "page_documents": _documents,
-    "del_plan": lambda s, d: dc.delete_plan(ob.blocks(objects(s, d)), _gone(s, d)),
+    "del_plan": lambda s, d: dc.delete_plan(rows := _blocks(s, d), _gone(rows)),
     "del_cascade": _cascade,
-    "del_deck_summary": lambda s, d: dc.deck_summary(objects(s, d), dc.delete_blocks(ob.blocks(objects(s, d)), _gone(s, d))),
+    "del_deck_summary": lambda s, d: dc.deck_summary(objects(s, d), dc.delete_blocks(rows := _blocks(s, d), _gone(rows))),
     "del_verify": _verify,
     "del_captions": _captions_left,
     "block_sources": _sources,

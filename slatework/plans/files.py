@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bindings as bd
 from ..operators import documents as dc
+from ..operators import exports as ex
 from ..operators import markdown as md
 from ..operators import objects as ob
 from ..operators import package as pk
@@ -20,7 +21,7 @@ from ..sources.carriers import LINES_SQL, deck_parts, lines, objects, table
 from ..sources.decks import listed_images, write_files
 from ..sources.ooxml import nodes
 from ..sources.sinks import shared_folder
-from .fragments import SEEDS, O
+from .fragments import MEMBERS, SEEDS, O
 from .packages import _D
 from .readers import _MD, markdown_lines
 
@@ -109,7 +110,47 @@ def _pngs(s: SparkSession, d: str) -> DataFrame:
     return px.measured(table(s, d, "pages").select("page_id").mapInArrow(run, "page_id bigint, content binary"))
 
 
+def _resource_files(s: SparkSession, d: str) -> DataFrame:
+    """What the members of blocks bring along: vectors as emf or svg, diagrams, and pictures, which are none."""
+    rows = objects(s, d)
+    form = F.when(F.col("kind") == "vector", F.when(F.col("z_index") % 2 == 0, "EMF").otherwise("svg")).when(F.col("kind") == "visio", "vsdx").when(F.col("kind") == "raster", "png")
+    files = rows.where(form.isNotNull()).select(*ob.PAGE, "z_index", F.concat(F.lit("m"), F.col("z_index").cast("string"), F.lit("."), form).alias("file"), form.alias("form"))
+    return ex.resource_files(ex.member_resources(ob.members(rows), files))
+
+
+def _binding(s: SparkSession, d: str) -> DataFrame:
+    """Binding files written beside each deck's resources, and read again with what is in the folders."""
+    path, rows = shared_folder(s), objects(s, d)
+    blocks, sources = ob.blocks(rows), _resource_files(s, d)
+    at = lambda name: F.concat(F.lit("deck"), F.col("deck_id").cast("string"), F.lit("/"), name).alias("name")
+    write_files(sources.select(at(F.concat(F.lit("sources/"), "name")), F.encode("file", "UTF-8").alias("content")), path)
+    bound = dc.bindings(blocks, bd.rule_relations(rows, ob.seeds(rows)))
+    write_files(ex.binding_files(rows, blocks, bound, sources).select(at(F.lit("binding.json")), "content"), path)
+    summary = "struct<slides: bigint, blocks_total: bigint, bindings_total: bigint, sources_total: bigint, xml_sources_total: bigint, rldimg_total: bigint>"
+    said = s.read.schema(f"stem string, summary {summary}, bindings array<struct<relation_id: string>>").json(f"{path}/*/binding.json")
+    there = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "slide_*").load(path)
+    there = there.select(F.regexp_extract("path", r"deck([^/]*)/sources/", 1).alias("deck_id"), F.regexp_extract("path", r"/sources/(.*)$", 1).alias("name"))
+    counted = ex.source_counts(there).withColumnRenamed("sources_total", "files").select("deck_id", "files")
+    return said.join(counted, said.stem == counted.deck_id, "left").select(F.col("stem").alias("deck_id"), "summary.*", F.size("bindings").cast("bigint").alias("listed"), "files")
+
+
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "pages").select((F.col("page_id") % 20).alias("deck"), F.element_at(F.array(*map(F.lit, ex.FORMULA_SOURCES)), (F.col("page_id") % 4 + 1).cast("int")).alias("source"), (F.col("page_id") % 3 > 0).alias("keep"))
+    wanted = rows.groupBy("deck").agg(F.count_if(F.col("source") == "native").alias("natives"), (F.count_if(F.col("source") != "native") + F.first("deck") % 2).alias("equations"))
+    return ex.formula_counts(rows, wanted)
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    rows = markdown_lines(s, d)
+    images = table(s, d, "embeddings").select((F.col("vec_id") % 300).alias("deck"), F.col("vec_id").alias("file"))
+    return ex.report(rows.where("deck % 2 = 0"), rows.where("deck % 3 = 0"), images)
+
+
 QUERIES = {
+    "block_resources": _resource_files,
+    "binding_files": _binding,
+    "formula_counts": _counts,
+    "report_counts": _report,
     "result_objects": _objects,
     "result_entries": _entries,
     "result_manifest": _manifest,
@@ -124,7 +165,19 @@ QUERIES = {
 _EMU = "<a:xfrm><a:off x=\"' || cast(x * 9525 as bigint) || '\" y=\"' || cast(y * 9525 as bigint) || '\"/><a:ext cx=\"' || cast(w * 9525 as bigint) || '\" cy=\"' || cast(h * 9525 as bigint) || '\"/></a:xfrm>"
 _GROUP = f"""'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="' || z_index || '" name="group ' || z_index || '"/></p:nvGrpSpPr><p:grpSpPr>{_EMU}</p:grpSpPr><p:sp><p:nvSpPr><p:cNvPr id="' || z_index || '" name="inner ' || z_index || '"/></p:nvSpPr><p:spPr>{_EMU}</p:spPr><p:txBody><a:p><a:r><a:t>in </a:t></a:r><a:r><a:t>' || text || '</a:t></a:r></a:p></p:txBody></p:sp></p:grpSp>'"""
 _NAME = "case kind when 'group' then 'group ' when 'raster' then 'pic ' when 'vector' then 'pic ' when 'visio' then 'drawing ' when 'formula' then case when z_index % 2 = 1 then 'equation ' else 'math ' end when 'connector' then 'line ' when 'table' then 'table ' else 'box ' end || z_index"
+_FILES = MEMBERS + """, rf as (select deck_id, page, block_id, printf('slide_%02d_', page) || block_id || '.' || case mem.kind when 'visio' then 'vsdx' when 'vector' then case when z_index % 2 = 0 then 'emf' else 'svg' end end as name, mem.ord, z_index,
+  'm' || z_index || '.' || case mem.kind when 'visio' then 'vsdx' else case when z_index % 2 = 0 then 'EMF' else 'svg' end end as file from mem where mem.kind in ('visio', 'vector')),
+ src as (select deck_id, page, block_id, file, name from (select *, row_number() over (partition by deck_id, name order by ord desc, z_index desc) n from rf) where n = 1)"""
 ORACLE_SQL = {
+    "block_resources": _FILES + " select * from src",
+    "binding_files": _FILES + """, b as (select deck_id, count(*) n from sd group by all), f as (select deck_id, count(*) n from src group by all)
+ select cast(deck_id as varchar) deck_id, slides, coalesce(b.n, 0) blocks_total, coalesce(b.n, 0) bindings_total, coalesce(f.n, 0) sources_total, 0 xml_sources_total, 0 rldimg_total, coalesce(b.n, 0) listed, f.n files
+ from (select deck_id, count(distinct page) slides from o group by all) left join b using (deck_id) left join f using (deck_id)""",
+    "formula_counts": """with f as (select page_id % 20 deck, page_id % 4 s, page_id % 3 > 0 keep from pages)
+ select deck, count(*) filter (keep and s = 0) native, count(*) filter (keep and s = 1) eq3, count(*) filter (keep and s = 2) ocr, count(*) filter (keep and s = 3) placeholder, count(*) filter (keep) total, count(*) filter (not keep) filtered,
+ count(*) + deck % 2 expected, deck % 2 = 0 agrees from f group by deck""",
+    "report_counts": _MD + """, t as (select deck, count(*) filter (text like '## 第%') pages from m where deck % 2 = 0 group by all), c as (select deck, count(*) filter (text like '### IMG%') captions from m where deck % 3 = 0 group by all),
+ i as (select vec_id % 300 deck, count(*) images from embeddings group by all) select deck, coalesce(pages, 0) pages, coalesce(captions, 0) captions, coalesce(images, 0) images from t full join c using (deck) full join i using (deck)""",
     "result_objects": O + " select cast(deck_id as varchar) deck_id, 's' || page || '_' || z_index obj_id, cast(page as int) page, kind, text, x, y, w, h, cast(z_index as int) z_index, preview_of, '' output_file from o",
     "result_entries": f"""with l as ({LINES_SQL}) select deck deck_id, cast(page_key as int) page, 'TXT' || page_key || '-' || seq text_id, text, case when seq % 2 = 0 then cast(seq as double) else 0.0 end x, cast(0 as double) y, cast(0 as double) w, cast(0 as double) h
  from l where seq % 7 <> 0 and seq % 5 <> 0""",
