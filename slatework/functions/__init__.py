@@ -139,3 +139,39 @@ def description(reply: Column) -> Column:
     """A model's reply as JSON: its object, or one that has the reply's start as its description."""
     plain = F.to_json(F.struct(F.left(F.trim(F.coalesce(reply, F.lit(""))), F.lit(500)).alias("semantic_description")))
     return F.coalesce(json_in_prose(reply), F.parse_json(plain))
+
+
+#: What is said of a picture in which nothing was found, and the namespaces that a formula's markup needs by itself.
+NO_DETECTION = "未检出明显目标（可能为框图/电路图/波形图等教学图形）"
+FORMULA_SPACES = {
+    "m": "http://schemas.openxmlformats.org/officeDocument/2006/math", "a": "http://schemas.openxmlformats.org/drawingml/2006/main", "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main",
+}
+
+
+def marked(text: Column) -> Column:
+    """Escaped, with what stands between double stars as strong."""
+    return F.regexp_replace(escape(text), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
+
+
+def page_body(text: Column) -> Column:
+    """A page's text as one line of HTML."""
+    return marked(strip(F.regexp_replace(text, r"\s+", " ")))
+
+
+def snippet(text: Column, n: int = 260) -> Column:
+    """The first ``n`` characters of a page's text as HTML, with a mark if there is more."""
+    line = strip(F.regexp_replace(text, r"\s+", " "))
+    return marked(F.concat(F.left(line, F.lit(n)), F.when(F.length(line) > n, "…").otherwise("")))
+
+
+def figure(content: Column, form: Column, file: Column, caption: Column, most: int = 120) -> Column:
+    """A picture with its caption as HTML; empty without a picture."""
+    said = inline_html(F.left(strip(F.regexp_replace(F.coalesce(caption, F.lit("")), r"\s+", " ")), F.lit(most)))
+    shown = F.concat(F.lit('<figure class="fig"><img src="'), data_url(content, form), F.lit('" alt="'), file, F.lit('"><figcaption>'), said, F.lit("</figcaption></figure>"))
+    return F.when(F.octet_length(content) > 0, shown).otherwise("")
+
+
+def whole_formula(xml: Column) -> Column:
+    """A formula's markup in a document of its own, with the namespaces that it uses."""
+    spaces = "".join(f' xmlns:{k}="{v}"' for k, v in FORMULA_SPACES.items())
+    return F.concat(F.lit(f"<m:oMathPara{spaces}>"), xml, F.lit("</m:oMathPara>"))

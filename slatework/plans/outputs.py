@@ -7,12 +7,18 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..operators import markdown as md
 from ..operators import models
+from ..operators import objects as ob
+from ..operators import prompts as pr
 from ..operators import text as tx
 from ..sources import sinks
-from ..sources.carriers import LINES_SQL, lines, table
+from ..sources.carriers import LINES_SQL, lines, objects, table
 from ..streaming import append_captions, caption_all, written
+from . import readers
+from .fragments import SEEDS
+from .readers import merged
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
@@ -134,7 +140,39 @@ def _enriched(s: SparkSession, d: str) -> DataFrame:
     return models.enrich_blocks(rows, describe, F.col("text")).drop("text")
 
 
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    """Merged pages in batches of three, as they are put to a model."""
+    pages = merged(s, d)
+    said = pr.page_prompts(pages)
+    batches = pages.select("deck", "page", F.floor(F.col("page") / 3).cast("bigint").alias("batch"))
+    return pr.batch_prompts(said, batches, F.lit("数学"), F.when(F.col("batch") > 0, F.concat(F.lit("第 "), F.col("batch").cast("string"), F.lit(" 批")))).select("deck", "batch", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("chars"))
+
+
+def _first(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select((F.col("doc_id") % 97).alias("deck"), F.floor(F.col("doc_id") / 97).cast("bigint").alias("page"), "text")
+    return pr.first_pages(pr.on_pages(docs, "0-1, 3,5 - 9"), 3).select("deck", F.md5("snippet").alias("snippet_md5"))
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "pages").withColumn("said", F.concat(F.lit(" **"), "url", F.lit("**  & <x>\n")))
+    html = fn.figure(F.when(F.col("page_id") % 3 > 0, F.encode("url", "UTF-8")), F.lit("JPG"), F.lit("f.jpg"), F.col("said"), 60)
+    return rows.select("page_id", fn.page_body(F.col("said")).alias("body"), fn.snippet(F.col("said"), 30).alias("snippet"), html.alias("figure"), F.md5(fn.whole_formula(F.lit("<m:oMath/>"))).alias("formula_md5"))
+
+
+def _renders(s: SparkSession, d: str) -> DataFrame:
+    """Blocks without a caption of an earlier run and their pictures, and pictures that no block has."""
+    blocks = ob.seeds(objects(s, d))
+    old = blocks.where("page % 3 = 0").select(*ob.PAGE, "block_id", F.when(F.col("z_index") % 2 == 0, "said").otherwise(" ").alias("caption"))
+    todo = pr.not_interpreted(blocks, old).select("deck_id", F.lit("todo").alias("what"), pr.rendered_image(F.col("page"), F.col("block_id"), F.col("w") - 100, F.col("h")).alias("file"))
+    files = objects(s, d).where("kind = 'visio'").select("deck_id", F.explode(F.array(F.format_string("slide_%02d_blk_%02d.png", "page", "z_index"), F.format_string("slide_%02d_x.png", "page"))).alias("file"))
+    return todo.unionByName(pr.unreferenced(files, blocks).select("deck_id", F.lit("left").alias("what"), "file"))
+
+
 QUERIES = {
+    "page_prompts": _prompts,
+    "page_first": _first,
+    "page_figures": _shown,
+    "block_renders": _renders,
     "sink_texts": _texts,
     "sink_captions": _captions,
     "sink_textbook": _textbook,
@@ -151,6 +189,8 @@ QUERIES = {
 }
 
 _TYPE, _SAYS = "['contrast', 'example', 'odd'][length(u) % 3 + 1]", "length(u) % 7 <> 0 and length(u) % 5 <> 0"
+_ITEMS = "case when {c} <> '' then chr(10) || '{h}' || chr(10) || array_to_string(list_transform(string_split({c}, '¶'), lambda x: '{a}' || x || '{z}'), chr(10)) || chr(10) else '' end"
+_HTML = "regexp_replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g')"
 _ASKED = "with p as (select page_id, url, case when page_id % 3 = 0 then 'chart' else '' end kind from pages)"
 _KIND = "case when m % 7 <> 0 and m % 5 <> 0 then case when m % 2 = 0 then 'chart' else 'odd' end else kind end"
 ORACLE_SQL = {
@@ -180,4 +220,15 @@ ORACLE_SQL = {
  select page_id, case when m % 7 = 0 or m % 5 = 0 then '' else 'role ' || m end position_role, case when m % 7 = 0 or m % 5 = 0 then '' else 'rel ' || m end relation from r""",
     "model_blocks": _ASKED + """, r as (select *, length(url) % 7 <> 0 and length(url) % 5 <> 0 spoken, length(url) m from p) select page_id, case when spoken and m % 2 = 0 then 'chart' else kind end block_type, 'goal' expression_goal,
  case when spoken and m % 2 = 1 then 'said' else 'role' end expression_role, case when spoken then 'c' || m else '' end vlm_caption, '教学辅助图示' teaching_use, case when spoken then 'model' else 'rule_fallback' end caption_source from r""",
+    "page_prompts": f"""with g as ({readers.ORACLE_SQL['md_merge']}), i as (select deck, page, {_ITEMS.format(c='texts', a='- ', z='', h='【文本】')} || {_ITEMS.format(c='formulas', a='- $$ ', z=' $$', h='【公式】')} || {_ITEMS.format(c='captions', a='- ', z='', h='【图片解读】')} parts from g),
+ b as (select deck, page // 3 batch, string_agg('## 第 ' || page || ' 页' || parts, chr(10) order by page) whole from i group by all), p as (select deck, batch, '学科：数学' || chr(10) || chr(10) || case when batch > 0 then '第 ' || batch || ' 批' || chr(10) || chr(10) else '' end || whole prompt from b)
+ select deck, batch, md5(prompt) prompt_md5, length(prompt) chars from p""",
+    "page_first": """with d as (select doc_id % 97 deck, doc_id // 97 page, text from documents where doc_id // 97 in (0, 1, 3, 5, 6, 7, 8, 9)), r as (select *, row_number() over (partition by deck order by page) n from d)
+ select deck, md5(left(string_agg('## 第 ' || page || ' 页' || chr(10) || coalesce(text, ''), chr(10) order by page), 6000)) snippet_md5 from r where n <= 3 group by deck""",
+    "page_figures": f"""with p as (select page_id, url, '**' || url || '** & <x>' line from pages), q as (select *, left(line, 60) cut, left(line, 30) short from p)
+ select page_id, {_HTML.format(x='line')} body, {_HTML.format(x='short')} || '…' snippet, case when page_id % 3 > 0 then '<figure class="fig"><img src="data:image/jpeg;base64,' || to_base64(encode(url)) || '" alt="f.jpg"><figcaption>' || {_HTML.format(x='cut')} || '</figcaption></figure>' else '' end figure,
+ md5('<m:oMathPara xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><m:oMath/></m:oMathPara>') formula_md5 from q""",
+    "block_renders": SEEDS + """, f as (select deck_id, unnest([printf('slide_%02d_blk_%02d.png', page, z_index), printf('slide_%02d_x.png', page)]) file from o where kind = 'visio')
+ select deck_id, 'todo' what, case when w > 100 and h > 0 then printf('./images/slide_%02d_', page) || block_id || '.png' end file from sd where not (page % 3 = 0 and z_index % 2 = 0)
+ union all select deck_id, 'left', file from f where file like '%\\_blk\\_%' escape '\\' and (deck_id, file) not in (select (deck_id, printf('slide_%02d_', page) || block_id || '.png') from sd)""",
 }

@@ -25,13 +25,18 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(doc.alias("deck"), "seq", line.alias("text"))
 
 
-def _merged(s: SparkSession, d: str) -> DataFrame:
+def merged(s: SparkSession, d: str) -> DataFrame:
+    """Texts, formulas and captions of every page, as arrays."""
     rows = markdown_lines(s, d)
     texts = md.text_rows(rows).select("deck", "page", F.col("seq").alias("ord"), F.concat(F.lit("["), "type", F.lit("] "), "text").alias("item"))
     formulas = md.formula_blocks(rows).select("deck", "page", F.col("block").alias("ord"), F.col("latex").alias("item"))
     notes = md.captions(rows).where("n_lines > 0").select("deck", "page", F.col("seq").alias("ord"), F.col("text").alias("item"))
+    return md.merge_pages(texts, formulas, notes)
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
     joined = [F.array_join(c, "¶").alias(c) for c in ("texts", "formulas", "captions")]
-    return md.merge_pages(texts, formulas, notes).select("deck", "page", *joined)
+    return merged(s, d).select("deck", "page", *joined)
 
 
 def _names(s: SparkSession, d: str) -> DataFrame:
