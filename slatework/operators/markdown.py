@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SYMBOLS_ONLY, inline_html, page_of
+from ..functions import SYMBOLS_ONLY, inline_html, page_of, strip
 
 #: The headings of pages and captions, and the rows of texts.
 PAGE = r"^##\s*第\s*(\d+)\s*(?:页|节)\s*$"
@@ -111,7 +111,7 @@ def html_blocks(lines: DataFrame) -> DataFrame:
 
     A block has the number of its first line; blank lines separate and are dropped.
     """
-    text = F.trim("text")
+    text = strip(F.col("text"))
     rows = lines.withColumn("line", text).withColumn("bare", text == "$$")
     rows = rows.withColumn("open", F.sum(F.col("bare").cast("int")).over(_upto("deck")) % 2 == 1)
     inside = F.col("bare") | F.col("open")
@@ -124,7 +124,7 @@ def html_blocks(lines: DataFrame) -> DataFrame:
         F.col("kind") == "one", F.substring("line", 3, 1 << 30)).otherwise(inline_html(F.col("line")))
     found = rows.groupBy("deck", "block").agg(F.max("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("seq", said.alias("v")))).alias("parts"))
     values = F.transform(F.filter("parts", lambda p: p["v"].isNotNull()), lambda p: p["v"])
-    formula = F.concat(F.lit('<div class="formula">$$\n'), F.trim(F.array_join(values, "\n")), F.lit("\n$$</div>"))
+    formula = F.concat(F.lit('<div class="formula">$$\n'), strip(F.array_join(values, "\n")), F.lit("\n$$</div>"))
     html = F.when(F.col("kind").isin("formula", "one"), formula).when(F.col("kind") == "item", F.concat(F.lit("<ul>"), F.array_join(values, ""), F.lit("</ul>"))).otherwise(F.concat(F.lit("<p>"), F.array_join(values, ""), F.lit("</p>")))
     return found.select("deck", F.col("block").alias("seq"), html.alias("html"))
 

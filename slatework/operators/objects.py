@@ -266,6 +266,17 @@ def bands(objects: DataFrame, value: Column, tolerance: float, name: str) -> Dat
     return rows.groupBy(*PAGE).agg((1 + F.count_if(F.col("gap") > tolerance)).alias(name), F.count("*").alias("n"))
 
 
+def band_means(objects: DataFrame, value: Column, tolerance: float) -> DataFrame:
+    """``(deck_id, page, band, mean, n)``: the groups that a page's values make, from 1 in ascending order, with their means.
+
+    A new group begins after each gap over ``tolerance``.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("v")
+    rows = objects.select(*PAGE, value.alias("v")).where("v is not null").withColumn("gap", F.col("v") - F.lag("v").over(order))
+    band = 1 + F.sum(F.when(F.col("gap") > tolerance, 1).otherwise(0)).over(order)
+    return rows.withColumn("band", band).groupBy(*PAGE, "band").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+
+
 def grids(objects: DataFrame) -> DataFrame:
     """Pages of four objects and more whose centres stand in columns and rows, three fifths of the places taken."""
     cx, cy = centre()

@@ -282,6 +282,17 @@ def image_records(shapes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataF
     return rows.select(*PART, "owner", "kind", index.alias("index"), "name", F.coalesce("target", F.lit("")).alias("source_media"), file.alias("file"), form.alias("original_format"), note.alias("note"), F.col("group").isNotNull().alias("in_group"), "prog_id", *_box())
 
 
+def record_counts(records: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``(deck_id, kind, records, missing, cropped, vectors_whole)``: records of a kind, those without a file, pictures that are cut
+    to a part, and vectors that say a part but are kept whole."""
+    part = F.greatest(*[F.coalesce(F.col(f"src_rect.{k}"), F.lit(0.0)) for k in "ltrb"]) > 0
+    rows = records.join(shapes.select(*PART, "owner", part.alias("partly")), [*PART, "owner"], "left")
+    there, vector = F.col("file") != "", F.col("original_format").isin(*VECTORS)
+    return rows.groupBy("deck_id", "kind").agg(
+        F.count("*").alias("records"), F.count_if(~there).alias("missing"), F.count_if(there & ~vector & F.col("partly")).alias("cropped"), F.count_if(there & vector & F.col("partly")).alias("vectors_whole")
+    )
+
+
 def slide_objects(shapes: DataFrame, records: DataFrame, preview: DataFrame, pages: DataFrame) -> DataFrame:
     """The objects of every slide in z order: top-level groups, shapes, connectors and tables share a counter from 0,
     files stand at 1000 and their number; what groups hold is theirs. Text regions are shapes with such a placeholder.

@@ -29,6 +29,7 @@ QUERIES = {
     "obj_small_cuts": lambda s, d: _pieces(s, d, SMALL),
     "obj_regions": lambda s, d: rg.regions(objects(s, d)),
     "obj_big": lambda s, d: rg.big_objects(objects(s, d)).select("deck_id", "page", "z_index", "is_big"),
+    "obj_band_means": lambda s, d: ob.band_means(objects(s, d), F.bround(ob.centre()[0], 0), 60),
     "text_batches": lambda s, d: bt.batches(table(s, d, "documents").select(F.col("source").alias("deck"), F.col("doc_id").alias("page_key"), F.length("text").cast("bigint").alias("size"))),
 }
 
@@ -72,6 +73,8 @@ ORACLE_SQL = {
     "obj_small_cuts": _cut_sql(SMALL),
     "obj_regions": _REGIONS + " select deck_id, page, z_index, dense_rank() over (partition by deck_id, page order by root) region from roots",
     "obj_big": O + f" select deck_id, page, z_index, kind in ('raster', 'vector', 'visio') and w * h >= {rg.BIG_SHARE * ob.PAGE_W * ob.PAGE_H} is_big from o",
+    "obj_band_means": O + """, v as (select deck_id, page, round_even(x + w / 2, 0) v from o), g as (select *, v - lag(v) over (partition by deck_id, page order by v) gap from v),
+ b as (select *, 1 + sum(case when gap > 60 then 1 else 0 end) over (partition by deck_id, page order by v) band from g) select deck_id, page, cast(band as bigint) band, avg(v) mean, count(*) n from b group by all""",
     "text_batches": """with recursive p as (select source deck, doc_id page_key, length(text) size, row_number() over (partition by source order by doc_id) i from documents),
  b(deck, i, batch, chars, n) as (select deck, i, cast(0 as bigint), size, 1 from p where i = 1 union all
  select p.deck, p.i, case when chars + size > 48000 or n >= 20 then batch + 1 else batch end, case when chars + size > 48000 or n >= 20 then size else chars + size end, case when chars + size > 48000 or n >= 20 then 1 else n + 1 end

@@ -95,6 +95,7 @@ _SCANS = {
     "package_backgrounds": lambda p: pk.backgrounds(stored(p.drawn.where("bg is not null or parent is null")), p.rels),
     "package_children": lambda p: pk.group_children(p.shapes).drop("root", "owner", "parent"),
     "package_records": lambda p: pk.image_records(p.shapes, p.rels, p.parts).drop("owner", "prog_id"),
+    "package_record_counts": lambda p: pk.record_counts(pk.image_records(p.kept_shapes, p.rels, p.parts), p.kept_shapes),
     "package_objects": _objects,
     "package_volume": lambda p: pk.volume(p.parts),
 }
@@ -166,3 +167,5 @@ ORACLE_SQL["package_archive_relations"] = ORACLE_SQL["package_relations"]
 ORACLE_SQL["package_archive_volume"] = ORACLE_SQL["package_volume"]
 ORACLE_SQL["package_media"] = _D + """, m as (select distinct deck_id, target from s where target is not null and not (target like '%.png' and z_index % 5 = 0) union all select distinct deck_id, 'ppt/media/bg.png' from s)
  select deck_id, target[5:] file, cast(length(target) as bigint) bytes, md5(target) content_md5 from m"""
+ORACLE_SQL["package_record_counts"] = _D + """, h as (select *, case kind when 'visio' then 'visio' when 'formula' then 'formula_ole' else 'picture' end rk, kind = 'raster' and z_index % 5 = 0 gone from s where target is not null)
+ select deck_id, rk as kind, count(*) records, count(*) filter (gone) missing, count(*) filter (kind = 'raster' and not gone and preview_of <> '') cropped, count(*) filter (kind = 'vector' and preview_of <> '') vectors_whole from h group by all"""

@@ -227,3 +227,53 @@ def test_a_stream_asks_once_and_again_where_it_failed(spark, tmp_path):
     assert sorted((r.file, r.text) for r in written(spark, path, "file string, text string").collect()) == [("a", "of a"), ("b", "of b"), ("c", "of c"), ("old", "kept")]
     assert [(r.file, r.tries) for r in written(spark, f"{path}-failed", "file string, tries int").collect()] == [("never", 2)]
     assert sorted(asked) == [("a", 0), ("b", 0), ("b", 1), ("c", 0), ("never", 0), ("never", 1)]
+
+
+def as_html(lines):
+    """Blocks with the number of their first line: a toggle tells formulas, neighbours of one kind make a list."""
+    import itertools
+    import re
+
+    def inline(text):
+        formula = re.compile(r"\$\$.*?\$\$|(?<!\$)\$[^$\n]+?\$(?!\$)", re.S)
+        kept = iter(formula.findall(text))
+        rest = formula.sub("\0", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        for mark, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"(?<!\*)\*([^*\n]+?)\*(?!\*)", "em"), (r"`([^`\n]+?)`", "code")):
+            rest = re.sub(mark, rf"<{tag}>\1</{tag}>", rest)
+        return re.sub("\0", lambda _: next(kept), rest)
+
+    inside, marked_ = 0, []
+    for i, line in enumerate(lines):
+        bare = line.strip() == "$$"
+        if bare and not inside % 2:
+            start = i
+        inside += bare
+        if bare or inside % 2:
+            marked_.append((("formula", start), i, None if bare else line))
+        else:
+            line = line.strip()
+            kind = "one" if line.startswith("$$") else "item" if line.startswith("- ") else "text"
+            marked_.append((("item", -1) if kind == "item" else (kind, i), i, line))
+    found = []
+    for (kind, _), own in itertools.groupby(marked_, key=lambda m: m[0]):
+        own = list(own)
+        held = [t for _, _, t in own if t is not None]
+        if kind in ("formula", "one"):
+            found.append((own[0][1], '<div class="formula">$$\n' + "\n".join(t if kind == "formula" else t[2:] for t in held).strip() + "\n$$</div>"))
+        elif kind == "item":
+            found.append((own[0][1], "<ul>" + "".join(f"<li>{inline(t[2:])}</li>" for t in held) + "</ul>"))
+        elif held[0]:
+            found.append((own[0][1], f"<p>{inline(held[0])}</p>"))
+    return found
+
+
+def test_markdown_as_html_against_python(spark):
+    rng = np.random.default_rng(21)
+    words = ["a", "b*", "*c*", "**d**", "**", "`x`", "$p<q$", "$$r*s$$", "$", "&", "<b>", "- ", "é", "1 $ 2 $", "***e***"]
+    line = lambda: str(rng.choice(["", "- ", "  - ", "$$ ", "\t", " "], p=[0.4, 0.25, 0.1, 0.05, 0.1, 0.1])) + " ".join(rng.choice(words, rng.integers(0, 5)))
+    files = {f"f{i}": [str(rng.choice(["$$", "", " $$ ", line(), line(), line()])) for _ in range(rng.integers(1, 25))] for i in range(120)}
+    rows = spark.createDataFrame([(d, i, t) for d, own in files.items() for i, t in enumerate(own)], "deck string, seq int, text string")
+    got = {}
+    for r in md.html_blocks(rows).orderBy("deck", "seq").collect():
+        got.setdefault(r.deck, []).append((r.seq, r.html))
+    assert got == {d: html for d, own in files.items() if (html := as_html(own))}
