@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, discard, materialize
+from .common import bounded_batches, components, discard, materialize, squeeze, unsqueeze
 
 #: A block with more fingerprints than this isn't joined with itself; its fingerprints meet on their one-bit variants.
 PAIR_BLOCK = 48
@@ -109,8 +109,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: in
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-#: The near-copy stage: 64-bit SimHashes of a document; keys of a document and how many minimum hashes make one.
-PRINTS, KEYS, ROWS = 4, 30, 5
+#: The near-copy stage: 64-bit SimHashes of a document, and the first of them, which tell how far apart documents are.
+WIDE, PRINTS = 32, 4
+#: Keys of a document and how many bits of its SimHashes make one.
+KEYS, KEY_BITS = 960, 26
 #: Bits of all PRINTS together in which documents of a similarity of 0.8 differ at most: 39 on average, 6 about it.
 FAR_BITS = 72
 #: Blocks of up to so many documents are joined with themselves.
@@ -121,9 +123,20 @@ TILE_HASHES = 1_000_000
 FILTER_BITS = 1 << 22
 #: Documents are near copies if they share this much of their distinct shingles of so many words.
 SIMILARITY, SHINGLE = 0.8, 5
-#: Multipliers that order a document's shingles anew for each minimum, and those that make a key of ROWS minima.
-ORDERS = np.random.default_rng(42).integers(1 << 63, size=KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIXERS = np.random.default_rng(43).integers(1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What makes hashes of their own for each SimHash.
+SALTS = np.random.default_rng(42).integers(1 << 63, size=WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of each key, drawn at random, filled up to 32 with one that is always zero.
+PLACES = np.full((KEYS, 32), 64 * WIDE)
+PLACES[:, :KEY_BITS] = np.random.default_rng(43).random((KEYS, 64 * WIDE)).argsort(axis=1, kind="stable")[:, :KEY_BITS]
+#: Documents whose keys a task deals out at a time, and about how many meet in a task.
+DEALT, MET = 1 << 13, 1 << 20
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers, each bit of which depends on all bits of the given ones."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
 
 
 def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
@@ -134,30 +147,94 @@ def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, shingles)), dtype=np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS 64-bit SimHashes of shingle hashes, each from hashes of its own; zeros without any."""
-    found = np.zeros(PRINTS, dtype=np.int64)
-    for i in range(PRINTS):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 15):
-            block = hashes[at : at + (1 << 15)]
-            if i:
-                block = (block ^ (block >> np.uint64(29 + i))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
-                block ^= block >> np.uint64(32)
-            ones += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        found[i] = np.packbits(2 * ones > len(hashes)).view(">i8")[0]
+def wide_fingerprint(hashes: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """The first ``prints`` 64-bit SimHashes of sorted shingle hashes, each from hashes of its own; zeros without any.
+
+    A bit is 1 if it is set in over half of the hashes; of exactly half, the smallest hash decides.
+    """
+    if not len(hashes):
+        return np.zeros(prints, dtype=np.int64)
+    ones, every, shifts = np.zeros((8, prints * 8), dtype=np.int64), np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)
+    for at in range(0, len(hashes), 255):  # so many ones fit a byte
+        block = mixed(SALTS[:prints, None] + hashes[at : at + 255])
+        if not at:
+            tie = np.unpackbits(block[:, 0].copy().view(np.uint8), bitorder="little")
+        ones += ((block >> shifts[:, None, None]) & every).sum(axis=2).view(np.uint8)
+    return np.packbits(2 * ones.T.ravel() + tie > len(hashes), bitorder="little").view(np.int64)
+
+
+def print_keys(prints: np.ndarray) -> np.ndarray:
+    """KEYS keys of each row of WIDE SimHashes: KEY_BITS of their bits each.
+
+    SimHashes of sets at a similarity of 0.8 differ in 15 % of their bits, so a key of theirs agrees 14 times in
+    1000 and all KEYS differ 4 times in 100,000.
+    """
+    found = np.zeros((len(prints), KEYS), dtype=np.uint32)
+    for at in range(0, len(prints), 64):
+        own = np.ascontiguousarray(prints[at : at + 64]).view(np.uint8)
+        bits = np.pad(np.unpackbits(own, axis=1, bitorder="little"), ((0, 0), (0, 1)))
+        found[at : at + 64] = np.packbits(bits.take(PLACES.ravel(), axis=1), axis=1, bitorder="little").view(np.uint32)
     return found
 
 
 def copy_keys(hashes: np.ndarray) -> np.ndarray:
-    """KEYS signed keys of ROWS minimum hashes each; sets of a similarity s agree in any one of them with probability s ** ROWS."""
-    low = np.full(len(ORDERS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1 << 11):
-        np.minimum(low, (ORDERS[:, None] * hashes[None, at : at + (1 << 11)]).min(axis=1), out=low)
-    low ^= low >> np.uint64(31)
-    keys = (low.reshape(KEYS, ROWS) * MIXERS).sum(axis=1, dtype=np.uint64)
-    keys ^= keys >> np.uint64(32)
-    return (keys * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    """The KEYS keys of the SimHashes of sorted shingle hashes."""
+    return print_keys(wide_fingerprint(hashes, WIDE)[None])[0]
+
+
+def key_blocks(reps: DataFrame) -> DataFrame:
+    """``(k, block, n, one, rep)``: the documents of ``reps(rep, prints)`` that share their k-th key with others.
+
+    n of them share the key; one is one of them, the same in as many blocks as possible. Tasks deal out their
+    documents' keys, sorted and compressed; the keys of one number meet in a task, or, of many documents, those with
+    the same first bits.
+    """
+    split = min(KEY_BITS, (reps.count() // MET).bit_length())
+
+    def dealt(ids: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids)
+        keys, whose = print_keys(prints[order]), squeeze(ids[order].view(np.uint64))
+        for first in range(0, KEYS, 64):
+            rows = []
+            for k in range(first, min(first + 64, KEYS)):
+                own = np.sort(keys[:, k].astype(np.uint64) << np.uint64(32) | np.arange(len(ids), dtype=np.uint64))
+                parts, starts = np.unique(own >> np.uint64(32 + KEY_BITS - split), return_index=True)
+                rows += [(k, int(part), whose, squeeze(some)) for part, some in zip(parts, np.split(own, starts[1:]))]
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["k", "part", "whose", "own"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, prints, size = [], [], 0
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            prints.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64).reshape(-1, WIDE))
+            size += batch.num_rows
+            if size >= DEALT:
+                yield from dealt(np.concatenate(ids), np.concatenate(prints))
+                ids, prints, size = [], [], 0
+        if size:
+            yield from dealt(np.concatenate(ids), np.concatenate(prints))
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, ids = [], []
+        for whose, own in zip(table.column("whose").to_pylist(), table.column("own").to_pylist()):
+            own = unsqueeze(own)
+            keys.append(own >> np.uint64(32))
+            ids.append(unsqueeze(whose)[own & np.uint64(0xFFFFFFFF)].view(np.int64))
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        own = np.sort(keys << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+        keys, at = own >> np.uint64(32), (own & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = keys[1:] == keys[:-1]
+        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        keys, ids = keys[more], ids[at[more]]
+        order = np.lexsort((mixed(ids.view(np.uint64)), keys))
+        ids = ids[order]
+        block, starts, n = np.unique(keys, return_index=True, return_counts=True)
+        found = [np.full(len(ids), table.column("k")[0].as_py(), dtype=np.int32), np.repeat(block.astype(np.int64), n), np.repeat(n.astype(np.int64), n), np.repeat(ids[starts], n), ids]
+        return pa.table(found, names=["k", "block", "n", "one", "rep"])
+
+    entries = reps.select("rep", "prints").mapInArrow(deal, "k int, part bigint, whose binary, own binary")
+    return entries.groupBy("k", "part").applyInArrow(meet, "k int, block bigint, n bigint, one bigint, rep bigint")
 
 
 def text_key(words: list[bytes]) -> bytes:
@@ -281,8 +358,9 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Near copies have a Jaccard similarity of SIMILARITY or more in distinct five-word shingles. Texts of equal words
     are one class, with a number of its own; ids only choose what stays. Classes meet in the blocks of KEYS keys of
-    ROWS minimum hashes each: a pair at a similarity of 0.8 is in no common block 7 times in a million, closer ones
-    more rarely. The Hamming distance of PRINTS SimHashes is a cheap filter; similarity is then verified from whole texts.
+    KEY_BITS bits of their SimHashes each: a pair at a similarity of 0.8 is in no common block 4 times in 100,000, closer
+    ones more rarely, very short texts more often. Those whose first PRINTS SimHashes are at a Hamming distance of up to
+    FAR_BITS are candidates; similarity is then verified from whole texts.
 
     All of a block are compared with one of them, the same one in as many blocks as possible. A block of two, or one
     that is one component after that, needs no further look. In any other, all pairs of different components are
@@ -294,28 +372,25 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            found, sizes, keys, texts = np.zeros((n, PRINTS), dtype=np.int64), np.zeros(n, dtype=np.int64), [], []
+            found, sizes, texts = np.zeros((n, WIDE), dtype=np.int64), np.zeros(n, dtype=np.int64), []
             for row, text in enumerate(batch.column(1)):  # the words of one text at a time
                 words = (text.as_py() or b"").lower().split()
                 hashes = shingle_hashes(words, SHINGLE)
-                found[row], sizes[row] = wide_fingerprint(hashes), len(hashes)
-                keys.append(copy_keys(hashes) if len(hashes) else [])
+                found[row], sizes[row] = wide_fingerprint(hashes, WIDE), len(hashes)
                 texts.append(text_key(words))
-            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
-            yield pa.record_batch(columns, names=["id", *names, "size", "keys", "key"])
+            columns = [batch.column(0), *[pa.array(found[:, i]) for i in range(PRINTS)], pa.array(sizes), pa.array([row.tobytes() for row in found], pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.record_batch(columns, names=["id", *names, "size", "prints", "key"])
 
     spark = docs.sparkSession
     bounded_batches(spark, 2 << 20)
     names = [f"f{i}" for i in range(PRINTS)]
     rows = _plain(docs, id_col, text_col)
     fields = ", ".join(f"{n} bigint" for n in ["id", *names, "size"])
-    prints = materialize(rows.mapInArrow(run, f"{fields}, keys array<bigint>, key binary"), "copies-prints")
-    reps = prints.groupBy("key").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in [*names, "size", "keys"]])
+    prints = materialize(rows.mapInArrow(run, f"{fields}, prints binary, key binary"), "copies-prints")
+    reps = prints.groupBy("key").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in [*names, "size", "prints"]])
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "copies-classes")  # written, so that numbers stay
     whose = reps.select("rep", "id", "key")
-    keyed = reps.select("rep", F.posexplode("keys").alias("k", "block"))
-    sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("one")).where("n > 1")
-    blocks = materialize(keyed.join(sizes, ["k", "block"]), "copies-blocks")
+    blocks = materialize(key_blocks(reps.where("size > 0")), "copies-blocks")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs whose SimHashes are near enough to be compared."""

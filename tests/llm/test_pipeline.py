@@ -223,3 +223,39 @@ def test_near_copies_keep_columns_of_any_name(spark, repeated):
     left = sorted(map(tuple, got.collect()))
     assert [r for r in left if r[14] != "of its own"] == sorted(want)
     assert [r for r in left if r[14] == "of its own"] == ([r for r in left if r in rows and r[14] == "of its own"]) and len(left) == 7 + repeated
+
+
+@pytest.mark.parametrize("size", [1, 4, 7, 600])
+def test_keys_of_near_copies_are_bits_of_simhashes(size):
+    """By plain counting: each key is made of bits that over half of the shingles' hashes have."""
+    hashes = np.unique(np.random.default_rng(size).integers(1 << 63, size=size, dtype=np.uint64))
+    bits = []
+    for salt in simhash.SALTS:
+        own = [int(x) for x in simhash.mixed(hashes + salt)]
+        bits += [2 * sum(v >> b & 1 for v in own) + (own[0] >> b & 1) > size for b in range(64)]
+    wide = simhash.wide_fingerprint(hashes, simhash.WIDE)
+    assert [bool(int(x) >> b & 1) for x in wide for b in range(64)] == bits
+    assert (simhash.wide_fingerprint(hashes) == wide[: simhash.PRINTS]).all()
+    want = [sum(bits[at] << j for j, at in enumerate(places[: simhash.KEY_BITS])) for places in simhash.PLACES]
+    assert simhash.copy_keys(hashes).tolist() == want
+
+
+@pytest.mark.parametrize("met", [1 << 20, 8])
+def test_documents_meet_in_the_blocks_of_all_equal_keys(spark, monkeypatch, met):
+    monkeypatch.setattr(simhash, "MET", met)
+    monkeypatch.setattr(simhash, "DEALT", 16)
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(1 << 63), 1 << 63, size=(40, simhash.WIDE))
+    for i in range(1, 40, 2):  # a few bits from the one before, or none
+        prints[i] = prints[i - 1] ^ (1 << rng.integers(63, size=simhash.WIDE) if i % 4 == 1 else 0)
+    reps = spark.createDataFrame([(5 << 33 | i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "rep bigint, prints binary")
+    got = {}
+    for r in simhash.key_blocks(reps.repartition(3)).collect():
+        got.setdefault((r.k, r.block, r.n, r.one), []).append(r.rep)
+    want = collections.defaultdict(list)
+    for i, keys in enumerate(simhash.print_keys(prints)):
+        for k, key in enumerate(keys.tolist()):
+            want[k, key].append(5 << 33 | i)
+    want = {at: reps for at, reps in want.items() if len(reps) > 1}
+    assert want and {at[:2]: sorted(reps) for at, reps in got.items()} == want
+    assert all(n == len(reps) and one in reps for (_, _, n, one), reps in got.items())
