@@ -109,7 +109,10 @@ class Codes:
         independent, so they advance together, a token each a step.
         """
         raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
-        window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+        window = raw[:-3] << 24
+        window |= raw[1:-2] << 16
+        window |= raw[2:-1] << 8
+        window |= raw[3:]
         order = np.argsort(-sizes, kind="stable")
         at, place = starts[order].astype(np.int64), (np.cumsum(sizes) - sizes)[order]
         active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
@@ -123,6 +126,22 @@ class Codes:
         return out
 
 
+def decode_block(codes: Codes, index: bytes, payload: bytes, limit: int = 4 * STRETCH) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Documents of a block in order, their counts of tokens and all their ids: as many as have ``limit`` tokens, or a longer one."""
+    docs, ns, sizes, marks = unpack(index)
+    stretches = -(-ns // CHECKPOINT)
+    before, bits_at, mark_at = (np.concatenate([[0], np.cumsum(x)]) for x in (ns, sizes, stretches))
+    lo = 0
+    while lo < len(docs):
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + limit, side="right")) - 1)
+        own = slice(mark_at[lo], mark_at[hi])
+        starts = marks[own].astype(np.int64) + np.repeat(8 * (bits_at[lo:hi] - bits_at[lo]), stretches[lo:hi])
+        counts = np.full(len(starts), CHECKPOINT, dtype=np.int64)
+        counts[mark_at[lo + 1 : hi + 1] - mark_at[lo] - 1] = ns[lo:hi] - CHECKPOINT * (stretches[lo:hi] - 1)
+        yield docs[lo:hi], ns[lo:hi], codes.decode(payload[bits_at[lo] : bits_at[hi]], starts, counts)
+        lo = hi
+
+
 def encode_ids(docs: DataFrame, end_id: int = 0, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` of every row with ``end_id`` appended, as unsigned 16-bit integers; larger ids are an error.
 
@@ -245,19 +264,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         codes = Codes(lengths)
         for batch in batches:
             for part, start, index, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                docs, ns, sizes, marks = unpack(index)
-                stretches = -(-ns // CHECKPOINT)
-                doc_bits = 8 * (np.cumsum(sizes) - sizes)
-                starts = marks.astype(np.int64) + np.repeat(doc_bits, stretches)
-                counts = np.full(len(marks), CHECKPOINT, dtype=np.int64)
-                counts[np.cumsum(stretches) - 1] = ns - CHECKPOINT * (stretches - 1)
-                raw = memoryview(codes.decode(payload, starts, counts)).cast("B")
-                ends = np.cumsum(ns)
-                ids = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), ns.tolist())]
-                yield pa.record_batch(
-                    [pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()), pa.array(start + ends - ns, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "part", "start", "ids"],
-                )
+                for docs, ns, found in decode_block(codes, index, payload):
+                    raw, ends = found.tobytes(), np.cumsum(ns)  # pyarrow never lets go of memoryviews
+                    ids = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), ns.tolist())]
+                    yield pa.record_batch(
+                        [pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()), pa.array(start + ends - ns, pa.int64()), pa.array(ids, pa.binary())],
+                        names=["doc_id", "part", "start", "ids"],
+                    )
+                    start += int(ends[-1])
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "start", "index", "payload")
     found = blocks.mapInArrow(run, "doc_id bigint, part int, start bigint, ids binary")

@@ -141,3 +141,17 @@ def test_byte_ids_match_the_library_around_specials_and_cuts():
     texts = [f"a{end} b  {end}{end}c {end[:-1]}", f"  x {end}", "y " * 70_000 + "  \n b", "q" * 70_000, "d\u00e9  \x85 y " * 9_000]
     for text in texts:
         assert byte_bpe(*default_files()).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_blocks_of_ids_are_decoded_a_few_documents_at_a_time():
+    from slatework.llm.common import pack
+    from slatework.llm.huffman import Codes, code_lengths, decode_block
+
+    rng = np.random.default_rng(6)
+    docs = [np.minimum(rng.geometric(0.01, n), 999).astype("<u2") for n in (1, 700, 512, 1024, 9000, 3, 2000, 513, 1)]
+    codes = Codes(code_lengths(np.bincount(np.concatenate(docs), minlength=1000)))
+    bits, marks = zip(*codes.encode(docs))
+    index = pack((list(range(len(docs))), np.array([len(d) for d in docs]), np.array([len(b) for b in bits]), np.concatenate(marks).astype("<u4")))
+    got = list(decode_block(codes, index, b"".join(bits), 3000))
+    assert [own for own, _, _ in got] == [[0, 1, 2, 3], [4], [5, 6, 7, 8]]
+    assert all(ids.tolist() == np.concatenate([docs[i] for i in own]).tolist() and ns.tolist() == [len(docs[i]) for i in own] for own, ns, ids in got)
