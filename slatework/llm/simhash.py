@@ -115,8 +115,12 @@ WIDE, PRINTS = 32, 4
 KEYS, KEY_BITS = 960, 26
 #: Bits of all PRINTS together in which documents of a similarity of 0.8 differ at most: 39 on average, 6 about it.
 FAR_BITS = 72
-#: Blocks of up to so many documents are joined with themselves.
+#: Blocks of up to so many documents give their pairs one by one.
 SMALL_BLOCK = 8
+#: The pairs of a block's members ``m(rep, root, grp)`` that neither a component nor a group has both ends of.
+APART = """flatten(transform(m, a -> transform(
+    filter(m, b -> a.rep < b.rep and a.root <> b.root and (a.grp is null or b.grp is null or a.grp <> b.grp)),
+    b -> struct(a.rep as u, b.rep as v))))"""
 #: Shingle hashes of the documents that a task compares all with all, or with as many others.
 TILE_HASHES = 1_000_000
 #: Bits of the filter that keeps other texts from being shuffled when some are looked up.
@@ -185,7 +189,7 @@ def copy_keys(hashes: np.ndarray) -> np.ndarray:
 def key_blocks(reps: DataFrame) -> DataFrame:
     """``(k, block, n, one, rep)``: the documents of ``reps(rep, prints)`` that share their k-th key with others.
 
-    n of them share the key; one is one of them, the same in as many blocks as possible. Tasks deal out their
+    n of them share the key; one is the smallest of them, so the same in many blocks. Tasks deal out their
     documents' keys, sorted and compressed; the keys of one number meet in a task, or, of many documents, those with
     the same first bits.
     """
@@ -227,8 +231,7 @@ def key_blocks(reps: DataFrame) -> DataFrame:
         same = keys[1:] == keys[:-1]
         more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         keys, ids = keys[more], ids[at[more]]
-        order = np.lexsort((mixed(ids.view(np.uint64)), keys))
-        ids = ids[order]
+        ids = ids[np.lexsort((ids, keys))]
         block, starts, n = np.unique(keys, return_index=True, return_counts=True)
         found = [np.full(len(ids), table.column("k")[0].as_py(), dtype=np.int32), np.repeat(block.astype(np.int64), n), np.repeat(n.astype(np.int64), n), np.repeat(ids[starts], n), ids]
         return pa.table(found, names=["k", "block", "n", "one", "rep"])
@@ -362,11 +365,12 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ones more rarely, very short texts more often. Those whose first PRINTS SimHashes are at a Hamming distance of up to
     FAR_BITS are candidates; similarity is then verified from whole texts.
 
-    All of a block are compared with one of them, the same one in as many blocks as possible. A block of two, or one
-    that is one component after that, needs no further look. In any other, all pairs of different components are
-    compared: blocks of up to SMALL_BLOCK by a join, and larger ones, with all that they share documents with, in tiles
-    (_links_in_groups). The smallest id of a component stays. Texts without words are only copies of each other; very
-    long texts count with all their shingles; an empty table gives an empty result.
+    First, each text is compared with two of those that blocks name to it, at most: the smallest number, which is the same
+    for most of a group of copies, and that of the most shared blocks. Then all pairs of different components that share a
+    block are compared: those of larger blocks, with all that they share documents with, in tiles of groups
+    (_links_in_groups), and what pairs blocks of up to SMALL_BLOCK have beyond that one by one. So many texts that share
+    keys, but are not similar, meet in tiles and not as pairs. The smallest id of a component stays. Texts without words are
+    only copies of each other; very long texts count with all their shingles; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,27 +403,27 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         far = sum((F.bit_count(F.col(f"u{n}").bitwiseXOR(F.col(f"v{n}"))) for n in names), F.lit(0))
         return materialize(pairs.where(far <= FAR_BITS).select("u", "v"), "copies-links")
 
-    links = close(blocks.where("rep <> one").select(F.least("rep", "one").alias("u"), F.greatest("rep", "one").alias("v")).distinct())
+    shared = blocks.where("rep <> one").groupBy("rep", "one").agg(F.count("*").alias("times"))
+    first = shared.groupBy("rep").agg(F.array(F.min("one"), F.max_by("one", F.struct("times", "one"))).alias("ones"))
+    links = close(first.select(F.explode(F.array_distinct("ones")).alias("u"), F.col("rep").alias("v")))
     roots = materialize(components(similar(links, rows, whose)), "copies-roots")
+    own = roots.withColumnRenamed("node", "rep")
 
-    # members of the blocks that hold pairs not compared yet and are not one component
-    own = blocks.where("n > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "block", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    apart = own.groupBy("k", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    still = materialize(own.join(apart.select("k", "block"), ["k", "block"]), "copies-open")
-    small = still.where(F.col("n") <= SMALL_BLOCK).select("k", "block", "rep", "root")
-    other = small.select("k", "block", F.col("rep").alias("v"), F.col("root").alias("root2"))
-    pairs = small.join(other, ["k", "block"]).where("rep < v and root <> root2").select(F.col("rep").alias("u"), "v").distinct()
-    pairs = close(pairs.join(links, ["u", "v"], "left_anti"))
-    found = [similar(pairs, rows, whose)]
-    large = still.where(F.col("n") > SMALL_BLOCK)
-    if not large.isEmpty():
-        hubs = large.groupBy("k", "block").agg(F.min("rep").alias("u"))
-        groups = components(large.join(hubs, ["k", "block"]).select("u", F.col("rep").alias("v")).distinct())
-        members = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(large.select("rep", "root").distinct(), "rep")
-        members = materialize(members.join(reps.select("rep", "size", *names), "rep"), "copies-members")
+    # documents that larger blocks connect, unless they are one component
+    groups = components(blocks.where((F.col("n") > SMALL_BLOCK) & (F.col("rep") > F.col("one"))).select(F.col("one").alias("u"), F.col("rep").alias("v")).distinct())
+    members = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(own, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("grp")
+    members = materialize(members.join(apart, "grp").join(reps.select("rep", "size", *names), "rep"), "copies-members")
+    found = []
+    if not members.isEmpty():
         sets = materialize(_sets(rows, whose.join(members.select("rep"), "rep", "left_semi")), "copies-sets")
         found.append(materialize(_links_in_groups(members, sets, names), "copies-tiles"))
-        discard(members, sets)
+        discard(sets)
+    place = own.join(members.select("rep", "grp"), "rep", "full")
+    small = blocks.where(F.col("n") <= SMALL_BLOCK).join(place, "rep", "left")
+    small = small.groupBy("k", "block").agg(F.collect_list(F.struct("rep", F.coalesce("root", "rep").alias("root"), "grp")).alias("m"))
+    pairs = close(small.select(F.inline(F.expr(APART))).distinct().join(links, ["u", "v"], "left_anti"))
+    found.append(similar(pairs, rows, whose))
     # components of components: links between the roots that there were
     more = functools.reduce(DataFrame.unionByName, found)
     if not more.isEmpty():
@@ -431,7 +435,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         roots = materialize(below.unionByName(alone), "copies-roots")
     owned = whose.join(roots, whose.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
     owned = materialize(owned.groupBy("root").agg(F.min(F.struct("id", "key")).alias("one")).select("one.id", "one.key"), "copies-kept")
-    discard(reps, blocks, links, still, pairs, *found, roots)
+    discard(reps, blocks, links, members, pairs, *found, roots)
     return prints.select("id", "key").join(owned.withColumn("keep", F.lit(True)), ["id", "key"], "left").select("id", "key", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 

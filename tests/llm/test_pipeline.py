@@ -178,6 +178,34 @@ def test_a_hub_joins_its_copies_that_are_not_similar_to_each_other(spark, monkey
     assert drop_near_copies(docs.where("doc_id <> 250")).count() == 500
 
 
+def test_pairs_grow_with_documents_where_many_share_keys(spark, monkeypatch):
+    """Copies of one text at all similarities: each pair is compared in a group, few are written one by one."""
+    rng, n, looked = np.random.default_rng(51), 400, []
+    base, texts = [f"w{x}" for x in rng.integers(100_000, size=150)], []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 16), replace=False):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    similar = simhash.similar
+
+    def counted(links, rows, classes):
+        looked.append(links.count())
+        return similar(links, rows, classes)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    got = {r.doc_id for r in drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {min(i for i, g in enumerate(group) if g == k) for k in set(group)} and 10 < len(got) < n - 10
+    assert 0 < sum(looked) <= 8 * n, looked  # some 30 a document when all of a block met its smallest
+
+
 def test_keys_meet_nearly_all_pairs_at_the_least_similarity():
     """Sets at a similarity of 0.8 to 0.85: random ones, and a stretch that is replaced or appended."""
     rng, met, close, n = np.random.default_rng(31), 0, 0, 0
