@@ -82,7 +82,7 @@ def toggled(lines: DataFrame, mark: F.col) -> DataFrame:
 
 def titles(docs: DataFrame, most: int = 30) -> DataFrame:
     """The first line that isn't blank, cut to 60 characters, then cleaned and cut to ``most`` with a mark."""
-    first = F.element_at(F.filter(F.split("text", "\n"), lambda line: F.trim(line) != ""), 1)
+    first = F.get(F.filter(F.split("text", "\n"), lambda line: F.trim(line) != ""), 0)  # null if all are blank
     title = F.coalesce(F.left(F.trim(first), F.lit(60)), F.lit(""))
     clean = F.trim(F.regexp_replace(title, "[ \t]+", " "))
     short = F.when(F.length(clean) > most, F.concat(F.left(clean, F.lit(most)), F.lit("…"))).otherwise(clean)
