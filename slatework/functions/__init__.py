@@ -96,8 +96,8 @@ def half_split(text: Column, mark: str = "。") -> Column:
 
 
 def data_url(content: Column, form: Column) -> Column:
-    """An image as a URL of its own; jpg is jpeg."""
-    return F.concat(F.lit("data:image/"), F.when(F.lower(form) == "jpg", "jpeg").otherwise(F.lower(form)), F.lit(";base64,"), F.base64(content))
+    """An image as a URL of its own; jpg is jpeg. Spark breaks base64 into lines, which a URL has none of."""
+    return F.concat(F.lit("data:image/"), F.when(F.lower(form) == "jpg", "jpeg").otherwise(F.lower(form)), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def latex_block(latex: Column, display: Column) -> Column:
